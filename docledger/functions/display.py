@@ -9,7 +9,7 @@ from .. import fixed_values as V
 
 
 def one_decimal(c: Column) -> Column:
-    return F.format_string("%.1f", c)
+    return F.when(c.isNotNull(), F.format_string("%.1f", c))
 
 
 def human_size(c: Column) -> Column:
