@@ -34,27 +34,31 @@ def strip_diacritics(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"\p{M}+", "")
 
 
+# more than six letters, all of them capitals
+_SHOUTED_TITLE = r"^(?:\P{L}*\p{Lu}){7,}\P{L}*$"
+_AU_ONLY = [V.ANGLE_PLACEHOLDER, V.CURLY_PLACEHOLDER]
+_ALWAYS = [
+    "^$",
+    V.FILLER_START,
+    V.BRACKET_PLACEHOLDER,
+    f"(?iU)^(?:{'|'.join(V.GENERIC_ROLES)})$",
+    V.BOILERPLATE,
+    _SHOUTED_TITLE,
+    ":",
+]
+
+
 def clean_value(c: Column, locale: str = "au") -> Column:
     """The stripped value, or NULL when it is a placeholder, a title, boilerplate or text
-    bled over from another label (CLN1)."""
-
-    def judge(v: Column) -> Column:
-        letters = F.regexp_replace(v, r"\P{L}+", "")
-        reject = (
-            (v == "")
-            | v.rlike(V.FILLER_START)
-            | v.rlike(V.BRACKET_PLACEHOLDER)
-            | v.contains(":")
-            | F.lower(v).isin(V.GENERIC_ROLES)
-            | strip_diacritics(v).rlike(V.PLACEHOLDER_NAME)
-            | v.rlike(V.BOILERPLATE)
-            | ((F.length(letters) > 6) & ~letters.rlike(r"\P{Lu}"))
-        )
-        if locale == "au":
-            reject = v.rlike(V.ANGLE_PLACEHOLDER) | v.rlike(V.CURLY_PLACEHOLDER) | reject
-        return F.when(~reject, v)
-
-    return let(strip(c), judge)
+    bled over from another label (CLN1).
+
+    The tests that look at the text as it is form one pattern, so a value is scanned once.
+    """
+    refused = "|".join(f"(?:{p})" for p in [*(_AU_ONLY if locale == "au" else []), *_ALWAYS])
+    return let(
+        strip(c),
+        lambda v: F.when(~(v.rlike(refused) | strip_diacritics(v).rlike(V.PLACEHOLDER_NAME)), v),
+    )
 
 
 def looks_like_name(c: Column) -> Column:

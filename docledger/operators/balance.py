@@ -202,7 +202,9 @@ def marked_cells(rows: DataFrame) -> DataFrame:
 
     marks = F.filter(F.transform(cells, one), lambda m: m["kind"].isNotNull())
     return (
-        wide.withColumn("__m", F.explode(marks))
+        # outer: an inner explode would make the optimizer classify every cell twice
+        wide.withColumn("__m", F.explode_outer(marks))
+        .filter(F.col("__m").isNotNull())
         .drop("__numeric", "__n")
         .select("*", "__m.*")
         .drop("__m")
@@ -357,7 +359,6 @@ def read_pages(rows: DataFrame) -> DataFrame:
         .withColumn("value", _value_at(F.lit(0)))
         .filter(F.col("value").isNotNull())
         .withColumn("field", fuzzy_label(F.col("text")))
-        .filter(F.col("field").isNotNull())
     )
     fuzzy_pages = _firsts(misread)
     both = exact_pages.withColumn("tier", F.lit(1)).unionByName(fuzzy_pages.withColumn("tier", F.lit(2)))

@@ -107,7 +107,11 @@ def repair_split(pages: DataFrame, lines: DataFrame, is_person=reads_as_person)
         )
         for basis, p in V.AU_INCOME.items()
     ]
-    labels = pages.select(*PAGE, F.explode(F.array_compact(F.array(*wanted))).alias("w")).select(*PAGE, "w.*")
+    labels = (
+        pages.select(*PAGE, F.explode_outer(F.array_compact(F.array(*wanted))).alias("w"))
+        .filter(F.col("w").isNotNull())
+        .select(*PAGE, "w.*")
+    )
     found = adjacent_value(lines, labels).withColumn("v", clean_value(F.col("value")))
     gates = {
         "name": looks_like_name(F.col("v")) & is_person(F.col("v")),
@@ -176,7 +180,8 @@ def row_label_matches(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     field (JOI9): a left semi join, so neighbours are tested, not paired."""
     named = F.array_compact(F.array(*[F.when(F.col("joined").rlike(label_pattern(f)), F.lit(f)) for f in V.BALANCE_KEYS]))
     labels = (
-        texts.withColumn("field", F.explode(named))
+        texts.withColumn("field", F.explode_outer(named))
+        .filter(F.col("field").isNotNull())
         .select(*TABLE, "field", F.col("cell_idx").alias("label_cell"), F.col("cy1").alias("ly1"),
                 F.col("cy2").alias("ly2"), F.col("cx2").alias("lx2"))
         .withColumn("band", F.explode(bands(F.col("ly1"), F.col("ly2"))))
@@ -345,7 +350,8 @@ def box_candidates(pages: DataFrame) -> DataFrame:
     ).otherwise(empty)
     parts.append(bare)
     return (
-        work.select(*PAGE, F.posexplode(F.concat(*[p.cast(kind) for p in parts])).alias("item_idx", "i"))
+        work.select(*PAGE, F.posexplode_outer(F.concat(*[p.cast(kind) for p in parts])).alias("item_idx", "i"))
+        .filter(F.col("item_idx").isNotNull())
         .select(*PAGE, "item_idx", "i.*")
         .withColumn("grp", F.when(F.col("tier") == 0, F.col("item_idx")).otherwise(-1))
         .withColumn("rank", F.struct("tier", "start"))
@@ -468,7 +474,8 @@ def recover_rows(frags: DataFrame, missing: DataFrame) -> DataFrame:
         )
     )
     rows = (
-        runs.withColumn("field", F.explode(named))
+        runs.withColumn("field", F.explode_outer(named))
+        .filter(F.col("field").isNotNull())
         .join(missing.select(*PAGE, "field"), [*PAGE, "field"], "left_semi")
         .groupBy(*TABLE, "field")
         .agg(F.min_by("row_y1", "run").alias("row_y1"))

@@ -86,8 +86,7 @@ def report_lines(scored: DataFrame) -> DataFrame:
     """``ord, key, line`` of the accuracy report (SNK2): header, one line per field, the
     overall line, then every miss. Order by ``ord, key`` when writing."""
     table = accuracy(scored)
-    pad = F.lpad(F.col("correct").cast("string"), 3, " "), F.lpad(F.col("total").cast("string"), 3, " ")
-    counts = F.concat(pad[0], F.lit(" / "), pad[1], F.lit("  ("), F.col("pct"), F.lit(")"))
+    counts = F.format_string("%3d / %3d  (%s)", "correct", "total", "pct")
     per_field = table.filter(F.col("field").isNotNull()).select(
         F.lit(2).alias("ord"), F.col("field").alias("key"),
         F.concat(F.lit("  "), F.rpad("field", 15, " "), F.lit(": "), counts).alias("line"),

@@ -89,7 +89,7 @@ def visible_fields(docs: DataFrame) -> DataFrame:
         )
         chain = F.when(F.col("type") == kind, entries) if chain is None else chain.when(F.col("type") == kind, entries)
     present = F.filter(chain, lambda e: e["value"].isNotNull())
-    return docs.select("doc_id", F.explode(present).alias("e")).select("doc_id", "e.*")
+    return docs.select("doc_id", F.explode_outer(present).alias("e")).filter(F.col("e").isNotNull()).select("doc_id", "e.*")
 
 
 def skip_pages(pages: DataFrame) -> DataFrame:

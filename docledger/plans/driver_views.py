@@ -111,10 +111,10 @@ VIEWS = {
         UNION ALL SELECT doc_id, 'income', CASE WHEN k % 9 = 0 THEN '$1.00' ELSE '$' || CAST(pay AS STRING) || '.50' END, 'gross' FROM {v_payslip_values}""",
     "v_balance": """
         SELECT CAST(l_orderkey AS STRING) AS doc_id, l_orderkey AS k,
-               CAST(floor(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice ELSE 0 END)) AS BIGINT) AS current_assets,
-               CAST(floor(sum(l_extendedprice)) AS BIGINT) AS assets,
-               CAST(floor(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END)) AS BIGINT) AS current_liabilities,
-               CAST(floor(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END)) AS BIGINT) AS liabilities
+               CAST(floor(round(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice ELSE 0 END), 2)) AS BIGINT) AS current_assets,
+               CAST(floor(round(sum(l_extendedprice), 2)) AS BIGINT) AS assets,
+               CAST(floor(round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END), 2)) AS BIGINT) AS current_liabilities,
+               CAST(floor(round(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END), 2)) AS BIGINT) AS liabilities
         FROM {lineitem} GROUP BY l_orderkey""",
     # rows of a printed balance sheet: cells separated by a bar; page 1 carries what page 0 opens
     "v_balance_lines": """

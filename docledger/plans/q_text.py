@@ -55,7 +55,7 @@ def _joined(expr: str) -> str:
 )
 def _(t):
     cols = extract_au.regex_fields(F.col("text"))
-    return t["v_payslip"].select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in cols.items()])
+    return t.spread("v_payslip").select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in cols.items()])
 
 
 @query(
@@ -68,7 +68,7 @@ def _(t):
 )
 def _(t):
     cols = extract_au.regex_fields(F.col("text"))
-    return t["documents"].select("doc_id", *[F.size(c).alias(k) for k, c in cols.items()])
+    return t.spread("documents").select("doc_id", *[F.size(c).alias(k) for k, c in cols.items()])
 
 
 @query(
@@ -76,7 +76,7 @@ def _(t):
     "SELECT doc_id, " + ", ".join(f"{_sql_first('text', _sql_braces(p))} AS {k}" for k, p in _LABEL.items()) + " FROM {v_payslip}",
 )
 def _(t):
-    return t["v_payslip"].select("doc_id", *[c.alias(k) for k, c in extract_au.label_fields(F.col("text")).items()])
+    return t.spread("v_payslip").select("doc_id", *[c.alias(k) for k, c in extract_au.label_fields(F.col("text")).items()])
 
 
 _GROSS = _sql_braces(V.AU_INCOME["gross"].replace("(?iU)", "(?i)"))
@@ -89,7 +89,7 @@ _NET = _sql_braces(V.AU_INCOME["net"].replace("(?iU)", "(?i)"))
         FROM (SELECT doc_id, {_sql_amount(_sql_first('text', _GROSS))} AS g, {_sql_amount(_sql_first('text', _NET))} AS n FROM {{v_payslip}}) s""",
 )
 def _(t):
-    return t["v_payslip"].select("doc_id", extract_au.income(F.col("text")).alias("i")).select("doc_id", "i.*")
+    return t.spread("v_payslip").select("doc_id", extract_au.income(F.col("text")).alias("i")).select("doc_id", "i.*")
 
 
 @query(
@@ -97,13 +97,13 @@ def _(t):
     "SELECT doc_id, CASE WHEN k % 5 = 0 THEN CAST(annual_k * 1000 AS DOUBLE) END AS annual_salary FROM {v_payslip_values}",
 )
 def _(t):
-    return t["v_payslip"].select("doc_id", extract_au.annual_salary(F.col("text")).alias("annual_salary"))
+    return t.spread("v_payslip").select("doc_id", extract_au.annual_salary(F.col("text")).alias("annual_salary"))
 
 
 @query("ext5_pay_period_days", "SELECT doc_id, period_days AS days, CAST(NULL AS VARCHAR) AS error FROM {v_payslip_values}")
 def _(t):
     c = F.col("text")
-    return t["v_payslip"].select("doc_id", extract_au.pay_period_days(c).alias("days"), extract_au.pay_period_error(c).alias("error"))
+    return t.spread("v_payslip").select("doc_id", extract_au.pay_period_days(c).alias("days"), extract_au.pay_period_error(c).alias("error"))
 
 
 @query(
@@ -123,7 +123,7 @@ def _(t):
     "SELECT doc_id, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN k % 2 <> 0 AND k % 5 = 0 THEN 1 ELSE 0 END AS n FROM {v_payslip_values}",
 )
 def _(t):
-    df = extract_au.with_text_fields(t["v_payslip"], keys=["salary"])
+    df = extract_au.with_text_fields(t.spread("v_payslip"), keys=["salary"])
     k = F.col("k")
     df = df.withColumns({f: F.lit(None).cast("double") for f in V.BALANCE_KEYS}).withColumn("total_assets", F.when(k % 2 == 0, 5.0))
     return extract_au.suppress_salary(df).select("doc_id", F.size("salary").alias("n"))
@@ -146,12 +146,12 @@ def _(t):
     "SELECT doc_id, CAST(len(regexp_extract_all(substr(text, 1, CAST(n_chars // 2 AS BIGINT)), chr(10))) AS INT) AS line FROM {documents}",
 )
 def _(t):
-    return t["documents"].select("doc_id", text.line_of_offset(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int")).alias("line"))
+    return t.spread("documents").select("doc_id", text.line_of_offset(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int")).alias("line"))
 
 
 @query("win1_first_accepted", "SELECT doc_id, CASE WHEN k % 10 <> 0 THEN employee END AS name FROM {v_payslip_values}")
 def _(t):
-    return t["v_payslip"].select("doc_id", extract_au.first_accepted(F.col("text"), V.AU_LABELS["name"]).alias("name"))
+    return t.spread("v_payslip").select("doc_id", extract_au.first_accepted(F.col("text"), V.AU_LABELS["name"]).alias("name"))
 
 
 # --- cleaning and amounts ------------------------------------------------------------
@@ -199,7 +199,7 @@ def _(t):
 
 @query("mat1_despace", "SELECT doc_id, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INT) AS n FROM {documents}")
 def _(t):
-    return t["documents"].select("doc_id", F.length(text.despace(F.col("text"))).alias("n"))
+    return t.spread("documents").select("doc_id", F.length(text.despace(F.col("text"))).alias("n"))
 
 
 @query(
@@ -211,7 +211,7 @@ def _(t):
     c = F.col("text")
     at = F.position(F.lit("\n"), c)
     value = F.concat(F.substring(c, at - 3, F.lit(3)), F.substring(c, at + 1, F.lit(4)))
-    df = t["documents"].filter(c.rlike(r"^[^\n\r]{6,}\n[^\n\r]{4}")).withColumn("hit", text.find_dewrapped(c, value))
+    df = t.spread("documents").filter(c.rlike(r"^[^\n\r]{6,}\n[^\n\r]{4}")).withColumn("hit", text.find_dewrapped(c, value))
     return df.filter(F.col("hit.start") == at - 4).select("doc_id", F.col("hit.start").alias("start"), F.lit(True).alias("found"))
 
 
@@ -223,7 +223,7 @@ _MONTHLY = """SELECT doc_id, department_id, repayment, basis,
 
 
 def _fields(t):
-    return extract_au.with_text_fields(t["v_payslip"], keys=["income", "annual_salary", "pay_period_days"])
+    return extract_au.with_text_fields(t.spread("v_payslip"), keys=["income", "annual_salary", "pay_period_days"])
 
 
 def _monthly(df):
@@ -324,19 +324,19 @@ def _(t):
 def _(t):
     from ..operators.views import visible_fields
 
-    df = extract_au.with_text_fields(t["v_payslip"].withColumn("type", F.when(F.col("k") % 2 == 0, "PAY_SLIP").otherwise("CONTRACT")), is_person=lambda c: F.lit(False))
+    df = extract_au.with_text_fields(t.spread("v_payslip").withColumn("type", F.when(F.col("k") % 2 == 0, "PAY_SLIP").otherwise("CONTRACT")), is_person=lambda c: F.lit(False))
     shown = visible_fields(df.select("doc_id", "type", F.struct(*extract_au.TEXT_KEYS).alias("fields")))
     return shown.join(df.select("doc_id", "type"), "doc_id").groupBy("type", "key").agg(F.count("*").alias("n"))
 
 
 @query("acl7_sensitive_keys", "SELECT 'abn,account_number,address,annual_salary,bsb,employer_address,employer_name,income,name,phone,salary,total_assets,total_current_assets,total_current_liabilities,total_equity,total_liabilities' AS keys, count(*) AS n FROM {documents}")
 def _(t):
-    return t["documents"].groupBy(F.array_join(spans.sensitive_keys(), ",").alias("keys")).agg(F.count("*").alias("n"))
+    return t.spread("documents").groupBy(F.array_join(spans.sensitive_keys(), ",").alias("keys")).agg(F.count("*").alias("n"))
 
 
 # --- spans ---------------------------------------------------------------------------
 def _payslip_spans(t):
-    df = extract_au.with_text_fields(t["v_payslip"], is_person=lambda c: F.lit(False))
+    df = extract_au.with_text_fields(t.spread("v_payslip"), is_person=lambda c: F.lit(False))
     return df.withColumn("spans", spans.sensitive_spans(F.col("text"), {k: F.col(k) for k in extract_au.TEXT_KEYS}))
 
 
@@ -357,12 +357,12 @@ _SPANS = """SELECT doc_id, field, value, position(marker in text) - 1 + length(m
 
 @query("red1_sensitive_spans", f"SELECT doc_id, field, value, CAST(start AS INT) AS start, CAST(start + length(value) AS INT) AS \"end\" FROM ({_SPANS}) s")
 def _(t):
-    return _payslip_spans(t).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.field", "s.value", "s.start", "s.end")
+    return _payslip_spans(t).select("doc_id", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("doc_id", "s.field", "s.value", "s.start", "s.end")
 
 
 @query("set1_spans_by_detector", f"SELECT field, count(*) AS n, CAST(0 AS BIGINT) AS broken FROM ({_SPANS}) s GROUP BY 1")
 def _(t):
-    found = _payslip_spans(t).select("text", F.explode("spans").alias("s"))
+    found = _payslip_spans(t).select("text", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL")
     wrong = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) != F.col("s.value")
     return found.groupBy("s.field").agg(F.count("*").alias("n"), F.count_if(wrong).alias("broken"))
 
@@ -385,7 +385,7 @@ def _(t):
     "SELECT doc_id, CAST(len(string_split(text, '. ')) - 1 AS INT) AS n, CAST(CASE WHEN contains(text, '. ') THEN position('. ' in text) - 1 END AS INT) AS first_at FROM {documents}",
 )
 def _(t):
-    df = t["documents"].withColumn("o", text.literal_occurrences(F.col("text"), F.lit(". ")))
+    df = t.spread("documents").withColumn("o", text.literal_occurrences(F.col("text"), F.lit(". ")))
     return df.select("doc_id", F.size("o").alias("n"), F.get("o", F.lit(0))["start"].alias("first_at"))
 
 
@@ -394,7 +394,7 @@ def _(t):
     "SELECT doc_id, CAST(position('$' in substr(text, position('Pay period' in text) + 45 + CASE WHEN k % 5 = 0 THEN 40 ELSE 0 END)) + position('Pay period' in text) + 43 + CASE WHEN k % 5 = 0 THEN 40 ELSE 0 END AS INT) AS start FROM {v_payslip}",
 )
 def _(t):
-    df = extract_au.with_text_fields(t["v_payslip"], keys=["income"])
+    df = extract_au.with_text_fields(t.spread("v_payslip"), keys=["income"])
     return df.select("doc_id", spans.amount_occurrence(F.col("text"), F.col("income"))["start"].alias("start"))
 
 
@@ -412,7 +412,7 @@ def _(t):
     found = spans.balance_spans(
         F.col("body"), {k: target if k in ("total_current_assets", "total_assets", "total_equity") else F.lit(None).cast("double") for k in V.BALANCE_KEYS}
     )
-    return t["v_balance"].withColumn("body", body).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.field", "s.start")
+    return t["v_balance"].withColumn("body", body).select("doc_id", F.explode_outer(found).alias("s")).filter("s IS NOT NULL").select("doc_id", "s.field", "s.start")
 
 
 @query("set4_accepted_only", "SELECT doc_id, CASE WHEN k % 5 = 0 AND k % 2 = 0 THEN 1 ELSE 0 END AS n FROM {v_payslip_values}")
@@ -421,7 +421,7 @@ def _(t):
 
     hits = text.match_spans(F.col("text"), V.SALARY)
     accepted = F.when(F.col("k") % 2 == 0, F.slice(F.filter(text.find_all(F.col("text"), V.SALARY), lambda v: v.endswith(",000")), 1, 1)).otherwise(F.array())
-    return t["v_payslip"].select("doc_id", F.size(accepted_only(hits, accepted)).alias("n"))
+    return t.spread("v_payslip").select("doc_id", F.size(accepted_only(hits, accepted)).alias("n"))
 
 
 # --- page merging --------------------------------------------------------------------
@@ -476,7 +476,7 @@ def _(t):
 
 @query("agg11_any_list_filled", "SELECT doc_id, k % 6 = 0 AS filled, k % 2 = 0 AS has_total FROM {v_payslip_values}")
 def _(t):
-    df = extract_au.with_text_fields(t["v_payslip"], keys=["phone"]).withColumns({k: F.array().cast("array<string>") for k in ("abn", "dates", "salary")})
+    df = extract_au.with_text_fields(t.spread("v_payslip"), keys=["phone"]).withColumns({k: F.array().cast("array<string>") for k in ("abn", "dates", "salary")})
     df = df.withColumn("total_equity", F.when(F.col("k") % 2 == 0, 1.0))
     return df.select("doc_id", merge.any_list_filled(df).alias("filled"), merge.has_any_total(df).alias("has_total"))
 
@@ -495,7 +495,7 @@ def _vn_sql(p: str) -> str:
     + f", {_joined(f'list_filter({_vn_sql(V.TAX_CODE)}, lambda x: NOT list_contains({_vn_sql(V.VN_PHONE)}, x))')} AS tax_code FROM {{documents}}",
 )
 def _(t):
-    return t["documents"].select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in extract_vn.vn_regex_fields(F.col("text")).items()])
+    return t.spread("documents").select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in extract_vn.vn_regex_fields(F.col("text")).items()])
 
 
 @query(
@@ -558,12 +558,12 @@ def _(t):
 @query("exv6_strip_diacritics", "SELECT doc_id, strip_accents(text) = text AS plain, md5(strip_accents(text)) AS digest FROM {documents}")
 def _(t):
     flat = cleaning.strip_diacritics(F.col("text"))
-    return t["documents"].select("doc_id", (flat == F.col("text")).alias("plain"), F.md5(flat).alias("digest"))
+    return t.spread("documents").select("doc_id", (flat == F.col("text")).alias("plain"), F.md5(flat).alias("digest"))
 
 
 # --- scoring -------------------------------------------------------------------------
 def _prediction(t):
-    return extract_au.with_text_fields(t["v_payslip"], keys=["name", "bsb", "abn", "income"], is_person=lambda c: F.lit(False))
+    return extract_au.with_text_fields(t.spread("v_payslip"), keys=["name", "bsb", "abn", "income"], is_person=lambda c: F.lit(False))
 
 
 _CORRECT = "SELECT doc_id, field, expected, CASE WHEN field = 'income' THEN CAST(doc_id AS BIGINT) % 9 <> 0 AND CAST(doc_id AS BIGINT) % 7 <> 0 ELSE true END AS correct FROM {v_payslip_truth}"
@@ -576,7 +576,7 @@ def _(t):
 
 @query("joi12_unanswered", "SELECT doc_id, field FROM {v_payslip_truth} WHERE CAST(doc_id AS BIGINT) % 50 = 0")
 def _(t):
-    answered = t["v_payslip"].filter(F.col("k") % 50 != 0)
+    answered = t.spread("v_payslip").filter(F.col("k") % 50 != 0)
     return scoring.unanswered(t["v_payslip_truth"], answered).select("doc_id", "field")
 
 

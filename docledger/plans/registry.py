@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from .driver_views import BASE_TABLES, VIEWS, spark_sql_text, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,10 @@ class Tables:
                 self._seen[name] = self.sql(VIEWS[name])
         return self._seen[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """A table about to be read with CPU-heavy text functions."""
+        return spread(self[name])
+
     def sql(self, text: str) -> DataFrame:
         used = [n for n in [*BASE_TABLES, *VIEWS] if "{" + n + "}" in text]
         return self.spark.sql(spark_sql_text(text), **{n: self[n] for n in used})

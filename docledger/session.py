@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # building large expressions is faster without a call-site record for each part
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # documents differ in size by four orders of magnitude: keep input splits small
     "spark.sql.files.maxPartitionBytes": "64m",
 }
@@ -35,6 +37,13 @@ def local_session(cores: int | str = 8, memory: str = "12g", **extra: str) -> Sp
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input all cores. A table in few files may arrive in
+    fewer partitions than there are cores; a large one never does and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it from there, so several uses do not recompute it and a
     lost executor does not lose it. Uses the session's checkpoint folder; where none is
