@@ -51,4 +51,5 @@ def fuzzy_label(c: Column) -> Column:
     import pandas as pd
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(score, StringType())(c)
+    # kept from being evaluated a second time in a filter on its result
+    return F.pandas_udf(score, StringType()).asNondeterministic()(c)

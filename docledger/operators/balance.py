@@ -32,6 +32,12 @@ ROW_BLOCK = 4096
 PAGE_BLOCK = 1024
 
 
+# every period word contains one of these once blanks are gone
+_PERIOD_HINT = r"(?iU)CURRENT|THISY|PRIOR|PREVIOUS|LASTY|Y\d|YEAR\d"
+# headers, totals, labels and misread labels all contain two letters side by side
+_LETTERS = r"\p{L}{2}"
+
+
 def label_pattern(field: str) -> str:
     return f"(?iU)(?:{V.BALANCE_LABELS[field]})"
 
@@ -81,7 +87,9 @@ def row_period_column(cells: Column) -> Column:
         )
         return F.when(F.size(found) >= 2, F.coalesce(current, numbered["col"]))
 
-    return let(F.filter(kinds, lambda k: k["kind"].isNotNull()), decide)
+    # most rows hold no period word at all: one scan of the joined row settles those
+    worth_reading = despace(F.array_join(cells, " ")).rlike(_PERIOD_HINT)
+    return F.when(worth_reading, let(F.filter(kinds, lambda k: k["kind"].isNotNull()), decide))
 
 
 def page_period_columns(rows: DataFrame) -> DataFrame:
@@ -179,22 +187,24 @@ def marked_cells(rows: DataFrame) -> DataFrame:
             def with_flat(flat: Column) -> Column:
                 alone = F.col("__n") - F.get(F.col("__numeric"), i) == 0
                 assets, liabilities = flat.rlike(V.SECTION_ASSETS), flat.rlike(V.SECTION_LIABILITIES)
-                other = flat.rlike(V.SECTION_OTHER)
-                fields = label_hits(raw)
-                kind = (
-                    F.when(raw == "", F.lit(None))
-                    .when(alone & assets, "assets")
-                    .when(alone & liabilities, "liabilities")
-                    .when(alone & other, "other")
-                    .when(flat.rlike(V.BARE_TOTAL), "total")
-                    .when(raw.contains("/"), F.lit(None))
-                    .when(F.size(fields) > 0, "label")
-                    .when(~(assets | liabilities | other) & plausible(raw), "text")
-                )
-                return F.struct(
-                    i.alias("col"), kind.alias("kind"), raw.alias("text"), fields.alias("fields"),
-                    (~(assets | liabilities | other)).alias("may_be_misread"),
-                )
+                header = assets | liabilities | flat.rlike(V.SECTION_OTHER)
+
+                def with_fields(fields: Column) -> Column:
+                    kind = (
+                        F.when(alone & assets, "assets")
+                        .when(alone & liabilities, "liabilities")
+                        .when(alone & header, "other")
+                        .when(flat.rlike(V.BARE_TOTAL), "total")
+                        .when(raw.contains("/"), F.lit(None))
+                        .when(F.size(fields) > 0, "label")
+                        .when(~header & plausible(raw), "text")
+                    )
+                    return F.struct(
+                        i.alias("col"), kind.alias("kind"), raw.alias("text"), fields.alias("fields"),
+                        (~header).alias("may_be_misread"),
+                    )
+
+                return F.when(flat.rlike(_LETTERS), let(label_hits(raw), with_fields))
 
             return let(despace(raw), with_flat)
 
@@ -325,6 +335,20 @@ def _ranked_pages(cells: DataFrame) -> DataFrame:
     return state.select("doc_id", "page", *[F.col(f"s_{f}").alias(f) for f in KEYS])
 
 
+def _kept_cells(rows: DataFrame) -> DataFrame:
+    """Marked cells worth shuffling, all decided without one: ``misread`` names the field of
+    a misread label (other text is dropped here), ``bare`` tells that the row holds no
+    amount for the cell."""
+    may_be = F.col("kind").isin("text", "label") & F.col("may_be_misread") & plausible(F.col("text"))
+    scored = marked_cells(rows).withColumn("misread", F.when(may_be, fuzzy_label(F.when(may_be, F.col("text")))))
+    none = F.lit(None).cast("int")
+    return (
+        scored.filter((F.col("kind") != "text") | F.col("misread").isNotNull())
+        .withColumn("bare", own_row_value(F.col("cells"), F.col("col"), none).isNull())
+        .drop("text", "may_be_misread")
+    )
+
+
 def read_pages(rows: DataFrame) -> DataFrame:
     """Totals of every page that has any, ``doc_id, page`` and one column per field (BAL6).
 
@@ -332,15 +356,21 @@ def read_pages(rows: DataFrame) -> DataFrame:
     The kept cells are read several times below, so their lineage is cut once.
     """
     rows = rows.select("doc_id", "page", "row_idx", "cells")
-    marked = _with_section(marked_cells(with_row_below(rows)))
+    kept = cut(_kept_cells(rows))
     total = F.col("kind") == "total"
-    usable = marked.filter(F.col("kind").isin("label", "text") | (total & _section_field().isNotNull())).withColumn(
-        "fields", F.when(total, F.array(_section_field())).otherwise(F.col("fields"))
+    usable = (
+        _with_section(kept)
+        .filter(F.col("kind").isin("label", "text") | (total & _section_field().isNotNull()))
+        .withColumn("fields", F.when(total, F.array(_section_field())).otherwise(F.col("fields")))
     )
+    # the row below matters only where a row holds no amount: few pages are read again
+    lacking = kept.filter(F.col("bare") & F.col("kind").isin("label", "text", "total"))
+    below = with_row_below(rows.join(lacking.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"))
     valued = cut(
         usable.join(period_columns(rows), ["doc_id", "page"], "left")
         .withColumn("own", own_row_value(F.col("cells"), F.col("col"), F.col("prefer_col")))
-        .select("doc_id", "page", "row_idx", "col", "kind", "text", "fields", "may_be_misread", "own", "below")
+        .join(below.select("doc_id", "page", "row_idx", "below"), ["doc_id", "page", "row_idx"], "left")
+        .select("doc_id", "page", "row_idx", "col", "kind", "fields", "misread", "own", "below")
     )
 
     exact = valued.filter(F.col("kind").isin("total", "label"))
@@ -355,10 +385,9 @@ def read_pages(rows: DataFrame) -> DataFrame:
     exact_pages = _firsts(plain).unionByName(ranked)
 
     misread = (
-        valued.filter(F.col("kind").isin("text", "label") & F.col("may_be_misread") & plausible(F.col("text")))
+        valued.filter(F.col("misread").isNotNull())
         .withColumn("value", _value_at(F.lit(0)))
-        .filter(F.col("value").isNotNull())
-        .withColumn("field", fuzzy_label(F.col("text")))
+        .withColumnRenamed("misread", "field")
     )
     fuzzy_pages = _firsts(misread)
     both = exact_pages.withColumn("tier", F.lit(1)).unionByName(fuzzy_pages.withColumn("tier", F.lit(2)))

@@ -17,6 +17,7 @@ from ..functions.amounts import parse_amount, parse_amount_bs, same_amount
 from ..functions.cleaning import clean_value, looks_like_address, looks_like_bsb, looks_like_name
 from ..functions.extract_au import reads_as_person
 from ..functions.text import despace, line_of_offset, literal_occurrences, match_spans, strip
+from ..session import cut
 from .balance import label_pattern
 from .ordered import carry_last, number_rows, running_sum
 from .spans import annual_salary_spans, cleaned_spans, income_spans
@@ -373,7 +374,8 @@ def sensitive_boxes(
     ``pages``: doc_id, page, text, field columns; ``geom``: doc_id, page, width, height.
     A range without words gets no box.
     """
-    candidates = box_candidates(pages)
+    # read twice below: once to place words, once to name the boxes
+    candidates = cut(box_candidates(pages))
     placed = union_box(candidates, words).join(candidates, [*PAGE, "item_idx"])
     keep = F.struct("field", "value", "x1", "y1", "x2", "y2")
     boxes = (
@@ -450,29 +452,33 @@ def recover_rows(frags: DataFrame, missing: DataFrame) -> DataFrame:
         labels, TABLE, ["y1", "x1", "text", "frag_idx"], "n", [F.floor(F.col("y1") / BAND)]
     )
 
-    # fragment n belongs to the runs starting at n-7 .. n; runs start where a label could
-    starts = F.sequence(F.greatest(F.col("n") - V.LABEL_RUN + 1, F.lit(1)), F.col("n"))
-    runs = (
-        labels.withColumn("run", F.explode(starts))
-        .groupBy(*TABLE, "run")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"),
-            F.min_by("y1", "n").alias("row_y1"),
-        )
-    )
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size("parts")),
-        lambda k: despace(F.array_join(F.transform(F.slice("parts", F.lit(1), k), lambda p: p["text"]), "")),
-    )
-    runs = runs.withColumn("prefixes", prefixes)
-    named = F.array_compact(
-        F.array(
-            *[
-                F.when(F.exists("prefixes", lambda p: p.rlike(f"(?iU)^(?:{V.BALANCE_LABELS[f]})")), F.lit(f))
-                for f in V.BALANCE_KEYS
-            ]
-        )
+    # runs start only at a fragment that could begin a label; each takes the eight
+    # fragments from there on
+    starts = labels.filter(F.col("text").rlike(r"(?iU)^\s*(?:[tn]|$)")).select(
+        *TABLE, F.col("n").alias("run"), F.col("y1").alias("row_y1"),
+        F.explode(F.sequence(F.col("n"), F.col("n") + V.LABEL_RUN - 1)).alias("n"),
     )
+    runs = (
+        starts.join(labels.select(*TABLE, "n", "text"), [*TABLE, "n"])
+        .groupBy(*TABLE, "run", "row_y1")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
+    )
+
+    def joined(parts: Column) -> Column:
+        return despace(F.array_join(F.transform(parts, lambda p: p["text"]), ""))
+
+    whole = joined(F.col("parts"))
+    # a label found in a shorter run is found in the whole one, unless it depends on what
+    # follows; those are tried on every length
+    def begins(field: str) -> Column:
+        pattern = f"(?iU)^(?:{V.BALANCE_LABELS[field]})"
+        if "(?!" not in pattern:
+            return F.col("whole").rlike(pattern)
+        lengths = F.sequence(F.lit(1), F.size("parts"))
+        return F.exists(lengths, lambda k: joined(F.slice("parts", F.lit(1), k)).rlike(pattern))
+
+    runs = runs.withColumn("whole", whole)
+    named = F.array_compact(F.array(*[F.when(begins(f), F.lit(f)) for f in V.BALANCE_KEYS]))
     rows = (
         runs.withColumn("field", F.explode_outer(named))
         .filter(F.col("field").isNotNull())

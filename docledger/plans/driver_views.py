@@ -116,19 +116,31 @@ VIEWS = {
                CAST(floor(round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END), 2)) AS BIGINT) AS current_liabilities,
                CAST(floor(round(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END), 2)) AS BIGINT) AS liabilities
         FROM {lineitem} GROUP BY l_orderkey""",
-    # rows of a printed balance sheet: cells separated by a bar; page 1 carries what page 0 opens
-    "v_balance_lines": """
-        SELECT doc_id, k, 0 AS page, 0 AS row_idx,
-               CASE k % 3 WHEN 0 THEN '|Year 1|Year 2' WHEN 1 THEN '|CURRENT YEAR|PRIOR YEAR' ELSE '|Amount|Share' END AS line FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 0, 1, 'Current assets||' FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 0, 2, 'Total|$' || CAST(current_assets AS STRING) || '|$' || CAST(current_assets + 7 AS STRING) FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 0, 3, 'TOTAL ASSETS|$' || CAST(assets AS STRING) || '|$' || CAST(assets + 7 AS STRING) FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 0, 4, 'Current/short-term liabilities||' FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 1, 0, 'Total|$' || CAST(current_liabilities AS STRING) || '|$' || CAST(current_liabilities + 7 AS STRING) FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 1, 1, CASE WHEN k % 4 = 0 THEN 'Total Liabililies' ELSE 'TOTAL LIABILITIES' END || '|$' || CAST(liabilities AS STRING) || '|$' || CAST(liabilities + 7 AS STRING) FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 1, 2, 'NET ASSETS (NET WORTH)|' FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 1, 3, '||' FROM {v_balance}
-        UNION ALL SELECT doc_id, k, 1, 4, '$' || CAST(assets AS STRING) || '|$3' FROM {v_balance}""",
+}
+
+# rows of a printed balance sheet: (page, row, cells separated by a bar). Page 1 carries on
+# what page 0 opens.
+_BALANCE_LINES = [
+    (0, 0, "CASE k % 3 WHEN 0 THEN '|Year 1|Year 2' WHEN 1 THEN '|CURRENT YEAR|PRIOR YEAR' ELSE '|Amount|Share' END"),
+    (0, 1, "'Current assets||'"),
+    (0, 2, "'Total|$' || CAST(current_assets AS STRING) || '|$' || CAST(current_assets + 7 AS STRING)"),
+    (0, 3, "'TOTAL ASSETS|$' || CAST(assets AS STRING) || '|$' || CAST(assets + 7 AS STRING)"),
+    (0, 4, "'Current/short-term liabilities||'"),
+    (1, 0, "'Total|$' || CAST(current_liabilities AS STRING) || '|$' || CAST(current_liabilities + 7 AS STRING)"),
+    (1, 1, "CASE WHEN k % 4 = 0 THEN 'Total Liabililies' ELSE 'TOTAL LIABILITIES' END || '|$' || CAST(liabilities AS STRING) || '|$' || CAST(liabilities + 7 AS STRING)"),
+    (1, 2, "'NET ASSETS (NET WORTH)|'"),
+    (1, 3, "'||'"),
+    (1, 4, "'$' || CAST(assets AS STRING) || '|$3'"),
+]
+VIEWS["v_balance_lines"] = " UNION ALL ".join(
+    f"SELECT doc_id, k, {page} AS page, {row} AS row_idx, {line} AS line FROM {{v_balance}}" for page, row, line in _BALANCE_LINES
+)
+# the same rows in one pass over the totals
+SPARK_VIEWS = {
+    **VIEWS,
+    "v_balance_lines": "SELECT doc_id, k, page, row_idx, line FROM {v_balance} LATERAL VIEW inline(array("
+    + ", ".join(f"named_struct('page', {page}, 'row_idx', {row}, 'line', {line})" for page, row, line in _BALANCE_LINES)
+    + ")) r",
 }
 
 

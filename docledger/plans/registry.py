@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import spread
-from .driver_views import BASE_TABLES, VIEWS, spark_sql_text, with_views
+from .driver_views import BASE_TABLES, SPARK_VIEWS, VIEWS, spark_sql_text, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ class Tables:
             if name in BASE_TABLES:
                 self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
-                self._seen[name] = self.sql(VIEWS[name])
+                self._seen[name] = self.sql(SPARK_VIEWS[name])
         return self._seen[name]
 
     def spread(self, name: str) -> DataFrame:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # text work is CPU-bound: do not merge small partitions down to a single task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # building large expressions is faster without a call-site record for each part
@@ -45,19 +47,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it from there, so several uses do not recompute it and a
-    lost executor does not lose it. Uses the session's checkpoint folder; where none is
-    set (tests), a temporary one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docledger-checkpoint-")
-        )
-    return df.checkpoint()
+    """Write ``df`` once as a table and read it from there: several uses do not recompute
+    it, later steps read only the columns they need, and a lost executor loses nothing.
+
+    ``checkpoint()`` would compute the plan twice (once to run it, once to save it)."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for written results, below the session's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docledger-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        # only where the session names no shared folder, as in tests on one machine
+        base = tempfile.mkdtemp(prefix="docledger-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

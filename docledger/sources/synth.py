@@ -51,9 +51,9 @@ class _Dice:
         return F.concat(F.lit("$"), F.format_number(self.number(salt, 30, 150) * 1000, 0))
 
 
-def _corpus(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, _Dice]:
+def _corpus(ids: DataFrame, seed: int) -> tuple[DataFrame, _Dice]:
     dice = _Dice(seed)
-    base = spark.range(n).withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("id") % len(KINDS) + 1).cast("int")))
+    base = ids.select(F.col("id").cast("long").alias("id")).withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("id") % len(KINDS) + 1).cast("int")))
     return base.withColumn("doc_id", F.concat(F.col("kind"), F.lit("-"), F.col("id").cast("string"))), dice
 
 
@@ -120,10 +120,11 @@ def _years_rows(d: _Dice) -> Column:
     return F.array(*[F.array(*r) for r in rows])
 
 
-def synth_docs(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+def synth_docs(ids: DataFrame, seed: int = 7) -> DataFrame:
     """``doc_id, kind, text, rows``: filled contracts, payslips and two kinds of balance
-    sheet (SRC7). ``rows`` is empty for the first two."""
-    base, d = _corpus(spark, n, seed)
+    sheet, one per row of ``ids`` (column ``id``; ``spark.range(n)`` for n documents)
+    (SRC7). ``rows`` is empty for the first two."""
+    base, d = _corpus(ids, seed)
     empty = F.array().cast("array<array<string>>")
     rows = (
         F.when(F.col("kind") == "balance_single", _single_rows(d))
@@ -141,12 +142,14 @@ def synth_docs(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
 
 def synth_rows(docs: DataFrame) -> DataFrame:
     """Table rows of the corpus: doc_id, page, row_idx, cells."""
-    return docs.select("doc_id", F.lit(0).alias("page"), F.posexplode("rows").alias("row_idx", "cells"))
+    return docs.select("doc_id", F.lit(0).alias("page"), F.posexplode_outer("rows").alias("row_idx", "cells")).filter(
+        F.col("row_idx").isNotNull()
+    )
 
 
-def synth_truth(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+def synth_truth(ids: DataFrame, seed: int = 7) -> DataFrame:
     """``doc_id, field, expected, expected_basis``: what the corpus was filled with (SRC7)."""
-    base, d = _corpus(spark, n, seed)
+    base, d = _corpus(ids, seed)
 
     def fact(field: str, value: Column, basis: str | None = None) -> Column:
         return F.struct(F.lit(field).alias("field"), value.alias("expected"), F.lit(basis).cast("string").alias("expected_basis"))
@@ -169,7 +172,7 @@ def synth_truth(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     for kind, entries in facts.items():
         arr = F.array(*entries)
         chain = F.when(F.col("kind") == kind, arr) if chain is None else chain.when(F.col("kind") == kind, arr)
-    return base.select("doc_id", F.explode(chain).alias("f")).select("doc_id", "f.*")
+    return base.select("doc_id", F.explode_outer(chain).alias("f")).select("doc_id", "f.*")
 
 
 def synth_org(spark: SparkSession, now: str = "2026-01-01 00:00:00") -> tuple[DataFrame, DataFrame]:

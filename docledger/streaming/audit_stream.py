@@ -17,6 +17,7 @@ def stream_audit(entries: DataFrame, root: str, checkpoint: str, once: bool = Tr
     """Append every entry to its day's folder, exactly once (STR1)."""
     writer = (
         to_lines(entries)
+        .select(F.date_format("dt", "yyyy-MM-dd").alias("dt"), "value")
         .writeStream.format("text")
         .partitionBy("dt")
         .outputMode("append")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed_values as V
 
@@ -58,6 +59,25 @@ def status_of(events: DataFrame) -> DataFrame:
     )
 
 
+def stream_status(events: DataFrame, snapshots: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the current status of every document (STR5).
+
+    Each batch brings only the documents that changed; they replace their rows of the
+    snapshot before it. A batch run again after a failure rewrites the same snapshot.
+    """
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        out = batch
+        if batch_id > 0:
+            before = spark.read.parquet(f"{snapshots}/batch={batch_id - 1}")
+            out = batch.unionByName(before.join(batch.select("doc_id"), "doc_id", "left_anti"))
+        out.write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+
+    writer = status_of(events).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def stream_stuck(
     uploads: DataFrame, outcomes: DataFrame, limit_s: int = V.EXPECTED_SECONDS, delay: str = "10 seconds"
 ) -> DataFrame:
