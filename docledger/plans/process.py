@@ -12,6 +12,7 @@ from ..operators.balance import cross_check, first_page_wins, missing_fields, re
 from ..operators.geometry import recover_rows, repair_split, sensitive_boxes, to_composite
 from ..operators.merge import assemble_result, doc_quality, merge_pages
 from ..operators.spans import sensitive_spans
+from ..session import cut
 
 REDACTION = (
     "struct<type:string,items:array<struct<field:string,value:string,start:int,end:int,"
@@ -51,8 +52,9 @@ def read_scanned_pages(
     """Fields of each recognised page (``doc_id, page, text``): text fields, table totals,
     values on other lines, totals of lost rows."""
     out = with_text_fields(pages).withColumn("error", pay_period_error(F.col("text")))
-    out = suppress_salary(out.join(read_pages(rows), ["doc_id", "page"], "left"))
-    out = repair_split(out, lines)
+    # each step below reads its input more than once
+    out = cut(suppress_salary(out.join(read_pages(rows), ["doc_id", "page"], "left")))
+    out = cut(repair_split(out, lines))
     missing = out.select("doc_id", "page", F.explode(missing_fields(out)).alias("field"))
     found = recover_rows(frags, missing)
     wide = found.groupBy("doc_id", "page").agg(
@@ -71,7 +73,7 @@ def read_scanned_documents(
 ) -> DataFrame:
     """Scanned documents: page fields merged, boxes in the coordinates of the stacked pages,
     worst page quality. ``word_pages``: doc_id, page, text of the word reconstruction."""
-    page_fields = read_scanned_pages(pages, lines, rows, frags)
+    page_fields = cut(read_scanned_pages(pages, lines, rows, frags))
     merged = merge_pages(page_fields)
     errors = page_fields.groupBy("doc_id").agg(
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page"))).alias("error")
