@@ -365,7 +365,10 @@ def read_pages(rows: DataFrame) -> DataFrame:
     )
     # the row below matters only where a row holds no amount: few pages are read again
     lacking = kept.filter(F.col("bare") & F.col("kind").isin("label", "text", "total"))
-    below = with_row_below(rows.join(lacking.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"))
+    if lacking.isEmpty():
+        below = kept.select("doc_id", "page", "row_idx", F.col("cells").alias("below")).limit(0)
+    else:
+        below = with_row_below(rows.join(lacking.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"))
     valued = cut(
         usable.join(period_columns(rows), ["doc_id", "page"], "left")
         .withColumn("own", own_row_value(F.col("cells"), F.col("col"), F.col("prefer_col")))
@@ -381,8 +384,11 @@ def read_pages(rows: DataFrame) -> DataFrame:
         .withColumn("value", _value_at(F.lit(0)))
         .withColumn("field", F.explode("fields"))
     )
-    ranked = _ranked_pages(exact.join(ranked_pages, ["doc_id", "page"], "left_semi"))
-    exact_pages = _firsts(plain).unionByName(ranked)
+    exact_pages = _firsts(plain)
+    # a stored table answers this at once; without such pages the rounds are left out
+    if not ranked_pages.isEmpty():
+        ranked = _ranked_pages(exact.join(ranked_pages, ["doc_id", "page"], "left_semi"))
+        exact_pages = exact_pages.unionByName(ranked)
 
     misread = (
         valued.filter(F.col("misread").isNotNull())

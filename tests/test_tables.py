@@ -9,6 +9,7 @@ from docledger.functions import with_text_fields
 from docledger.functions.fuzzy import label_scorer
 from docledger.operators import balance, geometry, ordered, rules, scoring, upload
 from docledger.plans.process import process_documents, read_scanned_documents, read_text_documents
+from docledger.session import cut
 from docledger.sources import files, synth
 
 SHEETS = {
@@ -100,7 +101,7 @@ def test_rules(spark):
 
 def test_corpus_is_read_without_a_miss(spark):
     ids = spark.range(120)
-    docs = synth.synth_docs(ids)
+    docs = cut(synth.synth_docs(ids))
     read = read_text_documents(docs.select("doc_id", "text"), synth.synth_rows(docs))
     total = scoring.accuracy(scoring.score_fields(synth.synth_truth(ids), read)).filter("field IS NULL").first()
     assert total.correct == total.total == 570
