@@ -21,6 +21,7 @@ class Tables:
         self.spark = spark
         self.folder = folder
         self._seen: dict[str, DataFrame] = {}
+        self._wide: Tables | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._seen:
@@ -31,8 +32,14 @@ class Tables:
         return self._seen[name]
 
     def spread(self, name: str) -> DataFrame:
-        """A table about to be read with CPU-heavy text functions."""
-        return spread(self[name])
+        """A table about to be read with CPU-heavy text functions; a view is built over
+        spread tables."""
+        if name in BASE_TABLES:
+            return spread(self[name])
+        if self._wide is None:
+            self._wide = Tables(self.spark, self.folder)
+            self._wide._seen = {base: spread(self[base]) for base in ("orders", "lineitem")}
+        return self._wide[name]
 
     def sql(self, text: str) -> DataFrame:
         used = [n for n in [*BASE_TABLES, *VIEWS] if "{" + n + "}" in text]

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.broadcasting import plan_bytes
+
+_SPLIT_BYTES = 64 * 1024 * 1024
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -40,10 +44,10 @@ def local_session(cores: int | str = 8, memory: str = "12g", **extra: str) -> Sp
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a small input all cores. A table in few files may arrive in
-    fewer partitions than there are cores; a large one never does and is left alone."""
+    """Give CPU-heavy work on a small stored table all cores. Decided from the plan's size
+    estimate, so nothing runs; a table too large for one split per core is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if plan_bytes(df) < cores * _SPLIT_BYTES else df
 
 
 def cut(df: DataFrame) -> DataFrame:
