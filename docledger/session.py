@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -61,10 +62,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for written results, below the session's shared checkpoint folder."""
+    """A new folder for written results below the session's shared checkpoint folder. The
+    folder is deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jvm_path)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a session whose executors live in
+    the driver's own process may do without the setting; it gets a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        # only where the session names no shared folder, as in tests on one machine
-        base = tempfile.mkdtemp(prefix="docledger-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = tempfile.mkdtemp(prefix="docledger-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base

@@ -9,10 +9,11 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from docledger.plans import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 QUICK = ("fil", "joi1_", "joi2", "joi5", "acl1_can", "acl3", "acl5", "acl6_preview_state_retry", "win1", "ext2", "ext3", "rul2", "red1", "red7", "val5", "val9", "loan", "str5_status", "str2")
-NAMES = [n for n in entry.queries() if os.environ.get("DOCLEDGER_ALL") or n.startswith(QUICK)]
+NAMES = [n for n in all_queries.QUERIES if os.environ.get("DOCLEDGER_ALL") or n.startswith(QUICK)]
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries.QUERIES) == set(all_queries.ORACLES)
 
 
 def test_entry(spark):
