@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, simhash, suffixes
+from . import language, mixing, pieces, simhash, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,18 @@ def query(fn):
     return fn
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and whether it decodes to the same text."""
+    vocabulary = pieces.Vocabulary()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    both = pieces.decode(coded, vocabulary)
+    return both.select(
+        "doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the component of each."""
@@ -32,6 +44,39 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands in a mixture of all sources to tempered weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    placed = mixing.schedule(docs, mixing.tempered_shares(docs))
+    return placed.select("doc_id", "source", *[F.col(f"__{c}").cast("long").alias(c) for c in ("block", "release", "deadline", "slot", "place")])
+
+
+ORACLES["op8_mixing"] = """
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY source),
+shares AS (SELECT source, greatest(1, round(1000 * w / (SELECT sum(w) FROM sizes)))::BIGINT AS share FROM sizes),
+lists AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(share ORDER BY source NULLS FIRST) AS a, sum(share)::BIGINT AS q FROM shares),
+steps AS (
+  SELECT 0::BIGINT AS t, list_transform(a, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick, 0::BIGINT AS k FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda c, i: c + (i = p)::BIGINT), p, done[p]
+  FROM (
+    SELECT t, done, list_min(list_transform(range(1, len(a) + 1), lambda i:
+      CASE WHEN (done[i] * q) // a[i] <= t THEN (((done[i] + 1) * q + a[i] - 1) // a[i]) * 1000000 + i ELSE 9000000000000000000 END)) % 1000000 AS p
+    FROM steps, lists WHERE t < q
+  )
+),
+plan AS (SELECT s[pick] AS source, a[pick] AS share, q, k, t - 1 AS at FROM steps, lists WHERE t > 0),
+ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS r
+  FROM documents
+)
+SELECT doc_id, d.source, r // 16 AS block, ((r // 16) * q) // share AS release, ((r // 16 + 1) * q + share - 1) // share AS deadline,
+  ((r // 16) // share) * q + at AS slot, r % 16 AS place
+FROM ranked d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND (r // 16) % share = k
+"""
+
+
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three folds of four."""
