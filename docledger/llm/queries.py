@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, pieces, simhash, suffixes
+from . import language, mixing, order_minhash, pieces, simhash, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of every document and of its edited text, and their likeness."""
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document stands in a mixture of all sources to tempered weights."""
@@ -66,13 +72,13 @@ steps AS (
     FROM steps, lists WHERE t < q
   )
 ),
-plan AS (SELECT s[pick] AS source, a[pick] AS share, q, k, t - 1 AS at FROM steps, lists WHERE t > 0),
+plan AS (SELECT s[pick] AS source, a[pick] AS share, q, k, t - 1 AS pos FROM steps, lists WHERE t > 0),
 ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS r
   FROM documents
 )
 SELECT doc_id, d.source, r // 16 AS block, ((r // 16) * q) // share AS release, ((r // 16 + 1) * q + share - 1) // share AS deadline,
-  ((r // 16) // share) * q + at AS slot, r % 16 AS place
+  ((r // 16) // share) * q + pos AS slot, r % 16 AS place
 FROM ranked d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND (r // 16) % share = k
 """
 
