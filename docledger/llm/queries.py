@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, order_minhash, pieces, simhash, suffixes
+from . import language, mixing, order_minhash, pieces, quality, simhash, suffixes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,39 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives, read back, and placed in their URL's history."""
+    captures = warc.archived(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no")
+
+
+ORACLES["op7_warc"] = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+    regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '', 's') AS bare
+  FROM pages
+),
+digests AS (
+  SELECT page_id, strlen(html) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
+    lower(regexp_extract(bare, '^([^/?]*)', 1)) AS host, regexp_replace(bare, '^[^/?]*', '') AS path, bare
+  FROM payloads
+),
+kept AS (SELECT payload_digest, max(page_id) AS keeper FROM digests GROUP BY payload_digest),
+keyed AS (
+  SELECT page_id, payload_bytes, d.payload_digest, keeper,
+    CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END END AS url_key
+  FROM digests d JOIN kept k ON d.payload_digest = k.payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to, url_key,
+  row_number() OVER (PARTITION BY url_key ORDER BY page_id % 315360000, page_id) AS capture_no
+FROM keyed
+"""
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document stands in a mixture of all sources to tempered weights."""
@@ -83,6 +116,12 @@ FROM ranked d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND (r // 16
 """
 
 
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from four folds of five of the labels."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three folds of four."""
