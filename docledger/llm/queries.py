@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, order_minhash, pieces, quality, simhash, suffixes, warc
+from . import audio, chat, language, mixing, order_minhash, pieces, quality, simhash, suffixes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,29 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation written as a raw transcript, its turns recovered and rendered."""
+    conversations = table(spark, sf_dir, "conversations")
+    lines = chat.transcribe(conversations).select("conv_id", "turn", "at", "line")
+    found = chat.turns(lines, chat.train_on(conversations), ["turn", "at"])
+    return found.select("conv_id", F.col("turn_no").cast("long").alias("turn_no"), "role", "text", "rendered")
+
+
+ORACLES["op4_chat"] = """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no, role, text,
+  '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+FROM conversations
+"""
+
+
+@query
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as stored samples, and the features read back from them."""
+    media = audio.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return audio.with_features(media.drop("text")).drop("media")
+
+
 @query
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of every document and of its edited text, and their likeness."""
