@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import language, simhash
+from docledger.llm import language, mixing, pieces, simhash, suffixes
 from docledger.session import cut
 
 #: A text in one of n languages has at least 1/n for its best one; below this it is in none.
@@ -32,7 +32,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, words=5, bits=512, radius=90, minima=8)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup)]
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in several documents stay in the first only."""
+    return suffixes.drop_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources to weights of count ** 0.7, until one has no block left; in training order."""
+    return mixing.mixture(docs, mixing.tempered_shares(docs))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, ids, n_ids, text): sampled piece ids, and the text they decode to."""
+    vocabulary = pieces.Vocabulary()
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
+    return pieces.decode(coded, vocabulary, out="text").withColumn("n_ids", F.size("ids"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
+]
 
 #: The stages sample, train and hash: no SQL. Tests hold each against a brute-force version.
 ORACLE_SQL = None
