@@ -11,8 +11,8 @@ only at ``\\n``.
 # --- fixed values: Australian text patterns ------------------------------------------
 DATE = r"(?U)\b\d{2}/\d{2}/\d{4}\b"
 SALARY = r"(?U)\$\s?\d{1,3}(?:\s*,\s*\d{3})*(?:\.\d{2})?\b"
-ABN = r"(?U)\b\d{2} \d{3} \d{3} \d{3}\b"
-PHONE = r"(?U)\b0[2-478](?: ?\d){8}\b"
+ABN = r"(?U)\b\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3}\b"
+PHONE = r"(?U)\b0[2-478](?:[ ]?\d){8}\b"
 
 AU_LISTS = {"abn": ABN, "phone": PHONE, "dates": DATE, "salary": SALARY}
 
@@ -57,6 +57,7 @@ PERIOD_PRIOR = r"(?iU)\bPRIOR\b|\bPREVIOUS\b|\bLAST\s*Y"
 PERIOD_NUMBERED = r"(?iU)\b(?:F?Y|Year)\s*(\d+)\b"
 BARE_SYMBOL = r"^[$Ss]+$"
 PERIOD_THOUSANDS = r"(?U)\d{1,3}(?:\.\d{3})+\.\d{2}"
+BALANCE_AMOUNT = r"(?U)(?:\d{1,3}(?:[,\s]\d{3})+|\d+)(?:\.\d{2})?"
 BARE_AMOUNT = r"(?U)\$\s*\d[\d,.\s]*\d|\$\s*\d"
 CANONICAL_LABELS = {
     "total_current_assets": "Total Current Assets",

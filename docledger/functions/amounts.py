@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .text import despace, let
 
-_BALANCE_AMOUNT = V.AMOUNT.replace(r"(?:,\d{3})+", r"(?:[,\s]\d{3})+")
-
-
 def _number(text: Column, drop: str) -> Column:
     return F.nullif(F.regexp_replace(text, drop, ""), F.lit("")).try_cast("double")
 
@@ -34,7 +31,7 @@ def parse_amount_bs(c: Column) -> Column:
             F.substring(dotted, F.lit(1), F.length(dotted) - 2), F.lit("."), F.right(dotted, F.lit(2))
         ).try_cast("double")
         return F.when(v.rlike(V.PERIOD_THOUSANDS), dotted_amount).otherwise(
-            _number(F.regexp_extract(v, _BALANCE_AMOUNT, 0), "[, ]")
+            _number(F.regexp_extract(v, V.BALANCE_AMOUNT, 0), "[, ]")
         )
 
     return let(despace(c), lambda v: F.when(~v.rlike("[A-Za-z]{2,}"), let(from_dollar(v), read)))

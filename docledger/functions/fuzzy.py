@@ -1,34 +1,39 @@
-"""Misread label matching (MAT2): the one Python function of the package."""
+"""Misread label matching (MAT2). Python measures how alike two texts are; which label that
+makes it is a column expression."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import fixed_values as V
+from .text import let
 
 
-def label_scorer():
-    """Function giving the canonical field whose label is close enough to a text and
-    clearly closer than the next one. It carries its own values, so workers need no
-    installed package."""
-    labels = dict(V.CANONICAL_LABELS)
-    threshold, margin = V.FUZZY_THRESHOLD, V.FUZZY_MARGIN
+def likeness(labels: list[str]):
+    """Function of a series of texts: the matching-block ratio of each with every label. The
+    labels travel with it, so workers need no installed package."""
 
-    def best_label(text: str) -> str | None:
+    def measure(texts):
         from difflib import SequenceMatcher
 
-        ranked = sorted(
-            (SequenceMatcher(None, text.lower(), label.lower()).ratio(), field)
-            for field, label in labels.items()
-        )
-        (second, _), (top, field) = ranked[-2:]
-        if top < threshold or (second >= threshold and top - second < margin):
-            return None
-        return field
+        # a matcher prepares its second sequence once: keep one for each label
+        matchers = [SequenceMatcher(b=label) for label in labels]
+        known = {None: None}
 
-    return best_label
+        def ratios(text):
+            if text not in known:
+                for m in matchers:
+                    m.set_seq1(text)
+                known[text] = [m.ratio() for m in matchers]
+            return known[text]
+
+        return texts.map(ratios, na_action="ignore").astype(object).where(texts.notna(), None)
+
+    import pandas as pd
+
+    measure.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return measure
 
 
 def plausible(c: Column) -> Column:
@@ -40,16 +45,17 @@ def plausible(c: Column) -> Column:
 
 
 def fuzzy_label(c: Column) -> Column:
-    """Field of a misread label cell, or NULL. Filter rows with ``plausible`` first."""
-    best_label = label_scorer()
-
-    def score(texts):
-        # a batch is mostly repeats of a few labels: score each distinct text once
-        scored = {t: best_label(t) for t in texts.dropna().unique()}
-        return texts.map(scored).astype(object).where(texts.notna(), None)
+    """Field of a misread label cell, or NULL: the closest label, if it is close enough and no
+    other close one is within the margin. Filter rows with ``plausible`` first."""
+    labels = [label.lower() for label in V.CANONICAL_LABELS.values()]
+    # kept from being evaluated a second time in a filter on its result
+    measured = F.pandas_udf(likeness(labels), "array<double>").asNondeterministic()(F.lower(c))
+    fields = F.array(*[F.lit(f) for f in V.CANONICAL_LABELS])
 
-    import pandas as pd
+    def decide(r: Column) -> Column:
+        best = F.array_max(r)
+        rivals = F.filter(r, lambda x: (x >= V.FUZZY_THRESHOLD) & (best - x < V.FUZZY_MARGIN))
+        clear = (best >= V.FUZZY_THRESHOLD) & (F.size(rivals) == 1)
+        return F.when(clear, F.get(fields, (F.array_position(r, best) - 1).cast("int")))
 
-    score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    # kept from being evaluated a second time in a filter on its result
-    return F.pandas_udf(score, StringType()).asNondeterministic()(c)
+    return let(measured, decide)

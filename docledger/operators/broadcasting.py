@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -13,7 +12,8 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def maybe_broadcast(df: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast when the estimated size is under ``limit``; otherwise leave the
-    join to the optimizer, which shuffles and, under AQE, splits skewed keys."""
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Hint a broadcast when the estimated size is under the session's broadcast threshold;
+    otherwise leave the join to the optimizer, which shuffles and, under AQE, splits skewed keys."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return F.broadcast(df) if plan_bytes(df) <= limit else df

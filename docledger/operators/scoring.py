@@ -150,35 +150,52 @@ def iou(a: str, b: str) -> Column:
     return F.when(joint > 0, shared / joint).otherwise(0.0)
 
 
+#: Up to this many predictions a document and field are compared as they are.
+_DENSE = 64
+
+
 def _tile(df: DataFrame) -> DataFrame:
-    def span(lo: Column, size: Column, n: int) -> Column:
-        top = F.lit(n - 1).cast("long")
-        zero = F.lit(0).cast("long")
-        first = F.least(F.greatest(F.floor(lo * n), zero), top)
-        last = F.least(F.greatest(F.floor((lo + size) * n), first), top)
-        return F.sequence(first, last)
-
-    return df.withColumn("tx", F.explode(span(F.col("x_pct"), F.col("w_pct"), _TILES_X))).withColumn(
-        "ty", F.explode(span(F.col("y_pct"), F.col("h_pct"), _TILES_Y))
-    )
+    """A row for each tile that a box of a dense key touches, one row for other boxes;
+    ``fx, fy`` is the box's first tile."""
+
+    def first(lo: Column, n: int) -> Column:
+        return F.least(F.greatest(F.floor(lo * n), F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
+
+    def span(name: str, lo: Column, size: Column, n: int) -> DataFrame:
+        low = F.when(F.col("dense"), first(lo, n)).otherwise(F.lit(0).cast("long"))
+        high = F.when(F.col("dense"), F.greatest(first(lo + size, n), low)).otherwise(low)
+        return low.alias(f"f{name}"), F.sequence(low, high).alias(f"s{name}")
+
+    spans = [*span("x", F.col("x_pct"), F.col("w_pct"), _TILES_X), *span("y", F.col("y_pct"), F.col("h_pct"), _TILES_Y)]
+    wide = df.select("*", *spans).withColumn("tx", F.explode("sx"))
+    return wide.withColumn("ty", F.explode("sy")).drop("sx", "sy", "dense")
 
 
 def score_boxes(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Best IoU of every truth box with the predictions of its document and field; a hit
     needs 0.5, no overlapping prediction gives 0 (JOI13).
 
+    Boxes meet on document and field, a handful of them. Only where a field has very many
+    predictions do they meet on tiles of the page, and a pair counts in its first shared tile.
+
     ``truth``: doc_id, field, box_idx and percentages; ``predicted``: doc_id, field and
     percentages.
     """
-    keys = ["doc_id", "field", "tx", "ty"]
-    on = [F.col(f"t.{k}") == F.col(f"p.{k}") for k in keys]
+    key = ["doc_id", "field"]
+    many = predicted.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > _DENSE).select(*key, F.lit(True).alias("dense"))
+
+    def tiled(df: DataFrame) -> DataFrame:
+        return _tile(df.join(many, key, "left").withColumn("dense", F.coalesce("dense", F.lit(False))))
+
+    sides = {"t": tiled(truth), "p": tiled(predicted.select(*key, "x_pct", "y_pct", "w_pct", "h_pct"))}
+    on = [F.col(f"t.{k}") == F.col(f"p.{k}") for k in [*key, "tx", "ty"]]
+    once = (F.col("t.tx") == F.greatest("t.fx", "p.fx")) & (F.col("t.ty") == F.greatest("t.fy", "p.fy"))
     best = (
-        _tile(truth).alias("t")
-        .join(_tile(predicted.select("doc_id", "field", "x_pct", "y_pct", "w_pct", "h_pct")).alias("p"), on)
+        sides["t"].alias("t").join(sides["p"].alias("p"), on).filter(once)
         .groupBy("t.doc_id", "t.field", "t.box_idx")
         .agg(F.max(iou("t", "p")).alias("best_iou"))
     )
-    scored = truth.select("doc_id", "field", "box_idx").join(best, ["doc_id", "field", "box_idx"], "left")
+    scored = truth.select(*key, "box_idx").join(best, [*key, "box_idx"], "left")
     return scored.withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0))).withColumn(
         "correct", F.col("best_iou") >= V.IOU_HIT
     )

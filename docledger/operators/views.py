@@ -151,6 +151,14 @@ def route_notifications(docs: DataFrame, users: DataFrame, departments: DataFram
     )
 
 
+def join_known(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that many rows may not have: rows without it match nothing, so
+    they are dealt out evenly instead of meeting in the task of the NULL key."""
+    deal = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024)) + 1).otherwise(F.lit(0).cast("long"))
+    right = names.withColumn("__deal", F.lit(0).cast("long"))
+    return df.withColumn("__deal", deal).join(right, [key, "__deal"], "left").drop("__deal")
+
+
 def resolve_actions(audit: DataFrame, docs: DataFrame, users: DataFrame, departments: DataFrame) -> DataFrame:
     """Add ``action``: the template with ids replaced by ``name [id]``; an unknown id stays
     raw, a missing one reads ``null`` (JOI6).
@@ -162,7 +170,7 @@ def resolve_actions(audit: DataFrame, docs: DataFrame, users: DataFrame, departm
         return df.select(F.col("id").alias(key), F.col("name").alias(f"__{key}"))
 
     out = (
-        audit.join(names(docs, "document_id"), "document_id", "left")
+        join_known(audit, names(docs, "document_id"), "document_id")
         .join(maybe_broadcast(names(users, "target_user_id")), "target_user_id", "left")
         .join(maybe_broadcast(names(departments, "department_id")), "department_id", "left")
     )
@@ -231,11 +239,7 @@ def attach_links(docs: DataFrame, links: DataFrame) -> DataFrame:
     marked = docs.withColumns({"accessible": open_to, "requester_is_owner": owner})
     key = F.when(F.col("accessible") & F.col("requester_is_owner"), F.col("document_link"))
     urls = links.groupBy("document_link").agg(F.min("signed_url").alias("signed_url"))
-    return (
-        marked.withColumn("__link", key)
-        .join(urls.withColumnRenamed("document_link", "__link"), "__link", "left")
-        .drop("__link")
-    )
+    return join_known(marked.withColumn("__link", key), urls.withColumnRenamed("document_link", "__link"), "__link").drop("__link")
 
 
 def preview_state(docs: DataFrame, retry: bool = False) -> DataFrame:

@@ -47,7 +47,8 @@ def local_session(cores: int | str = 8, memory: str = "12g", **extra: str) -> Sp
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work on a small stored table all cores. Decided from the plan's size
     estimate, so nothing runs; a table too large for one split per core is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    # on a cluster of many cores the scan is split instead: at most 32 splits are dealt out
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 32)
     return df.repartition(cores) if plan_bytes(df) < cores * _SPLIT_BYTES else df
 
 

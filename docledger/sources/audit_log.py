@@ -49,8 +49,6 @@ def to_lines(entries: DataFrame) -> DataFrame:
 
 
 def append_audit(entries: DataFrame, root: str) -> None:
-    """Append entries to their days (SNK1). Rows are clustered by day first, so a day gets
-    a few files, and a busy day is spread by time."""
-    lines = to_lines(entries)
-    spread = F.pmod(F.xxhash64("value"), F.lit(8))
-    lines.repartition(F.col("dt"), spread).write.mode("append").partitionBy("dt").text(root)
+    """Append entries to their days (SNK1). Rows are clustered by day first: a quiet day is one
+    file, a busy one is split into parts of the size that the session advises."""
+    to_lines(entries).hint("rebalance", "dt").write.mode("append").partitionBy("dt").text(root)
