@@ -7,9 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-
-# a page this deep is no longer a cheap top-k
-_TOP_K_ROWS = 100_000
+from ..session import cut
 
 
 def locale_key(c: Column) -> Column:
@@ -94,29 +92,25 @@ def feed(notifications: DataFrame, receiver_id: str) -> DataFrame:
     )
 
 
-def numbered(
-    df: DataFrame, order: list[Column], block: Column | None = None, descending_block: bool = False
-) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """Add ``position`` (0-based) of every row in an order over the whole table.
 
-    ``block`` follows the order (a day for a time order); rows are numbered inside blocks
-    and only block totals are added up across the table.
+    The table is range-partitioned on the order itself and sorted inside each range; one
+    count for each range gives the positions before it. The sorted rows are written once,
+    as ranges are sampled anew each time a plan runs.
     """
-    ranked = df.withColumn("__block", block if block is not None else F.lit(0))
-    inner = W.partitionBy("__block").orderBy(*order)
-    totals = ranked.groupBy("__block").agg(F.count("*").alias("__t"))
-    way = F.col("__block").desc() if descending_block else F.col("__block").asc()
-    # one row per block: the only step without a key, as small as the number of blocks
-    before = totals.withColumn(
-        "__before",
-        F.coalesce(F.sum("__t").over(W.orderBy(way).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("__t")
-    return (
-        ranked.withColumn("__local", F.row_number().over(inner) - 1)
-        .alias("l")
-        .join(before.alias("r"), F.col("l.__block").eqNullSafe(F.col("r.__block")))
-        .select(*[f"l.{c}" for c in df.columns], (F.col("l.__local") + F.col("r.__before")).alias("position"))
+    # the id holds the range in its upper bits and the row's number in its range below
+    placed = cut(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    )
+    part, local = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row for each range: the only step without a key
+    before = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select(
+        "__part",
+        F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
     )
+    joined = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.select(*df.columns, (local + F.col("__before")).alias("position"))
 
 
 def page_info(total: int, page: int, size: int = V.PAGE_SIZE) -> dict:
@@ -129,18 +123,17 @@ def page_info(total: int, page: int, size: int = V.PAGE_SIZE) -> dict:
 
 
 def paginate(
-    df: DataFrame, order: list[Column], page: int = 1, size: int = V.PAGE_SIZE,
-    block: Column | None = None, descending_block: bool = False,
+    df: DataFrame, order: list[Column], page: int = 1, size: int = V.PAGE_SIZE, deep: bool = False
 ) -> DataFrame:
     """One page of an ordered table (WIN11). The page number is taken as given; clamp it
     with ``page_info`` where the total is known.
 
-    Near pages are a top-k. A deep page with a ``block`` is cut from the numbered table
-    instead, so the rows before it never reach the driver.
+    A page is a top-k, which holds the rows before it at the driver. ``deep`` takes it from
+    the numbered table instead: the same rows, for pages far down a large table.
     """
     offset = (page - 1) * size
-    if block is not None and offset + size > _TOP_K_ROWS:
-        rows = numbered(df, order, block, descending_block)
+    if deep:
+        rows = numbered(df, order)
         return rows.filter(F.col("position").between(offset, offset + size - 1)).orderBy("position").drop("position")
     return df.orderBy(*order).offset(offset).limit(size)
 

@@ -303,24 +303,53 @@ def _(t):
 
 
 # --- sorting and paging --------------------------------------------------------------
-_SORTS = {
-    "date-desc": "uploaded_at DESC, id", "date-asc": "uploaded_at, id", "id-asc": "id", "id-desc": "id DESC",
-    "name-asc": "coalesce(name, ''), id", "name-desc": "coalesce(name, '') DESC, id",
-}
+# names of mixed case and with accents. A reader's order compares letters first, then accents,
+# then case (lower first): in SQL, three keys
+_NAMES = ["apple", "Apple", "äpple", "Äpple", "banana", "Banana", "résumé", "resume", "Zebra", "zebra", "éclair"]
+_MIXED_SQL = "CASE WHEN {k} % 89 = 0 THEN NULL ELSE ([" + ", ".join(f"'{n}'" for n in _NAMES) + "])[{k} % 11 + 1] || '_' || CAST({k} % 300 AS VARCHAR) || '.pdf' END"
+_LETTERS = "lower(strip_accents(coalesce({n}, '')))", "coalesce({n}, '') <> strip_accents(coalesce({n}, ''))", "coalesce({n}, '') <> lower(coalesce({n}, ''))"
+
+
+def _mixed(key):
+    word = F.get(F.array(*[F.lit(n) for n in _NAMES]), (key % len(_NAMES)).cast("int"))
+    return F.when(key % 89 != 0, F.concat(word, F.lit("_"), (key % 300).cast("string"), F.lit(".pdf")))
+
+
+def _order_sql(keys: tuple[str, ...], way: str, tie: str) -> str:
+    return ", ".join([f"{k} {way}" for k in keys] + [tie])
+
 
+def _name_keys(name: str) -> tuple[str, ...]:
+    return tuple(k.format(n=name) for k in _LETTERS)
 
-def _sort_query(sort: str, sql_order: str):
-    @query(f"sor1_documents_{sort.replace('-', '_')}", f"SELECT id, row_number() OVER (ORDER BY {sql_order}) - 1 AS position FROM {{v_document}}")
+
+_DOCUMENT_KEYS = {"date": ("uploaded_at",), "id": ("id",), "name": _name_keys("name")}
+_AUDIT_KEYS = {"date": ("ts",), "id": ("CAST(user_id AS BIGINT)",), "name": _name_keys("name")}
+_ADMIN_KEYS = {"date": ("created_at",), "id": ("CAST(id AS BIGINT)",), "name": _name_keys("name")}
+
+
+def _position_query(name: str, table: str, shown: str, key: str, sort: str, keys: dict, tie: str, order):
+    """Whole-table positions of one order; names are replaced by mixed ones."""
+    field, way = sort.split("-")
+    mixed = _MIXED_SQL.replace("{k}", key)
+
+    @query(
+        f"{name}_{field}_{way}",
+        f"SELECT {shown}, row_number() OVER (ORDER BY {_order_sql(keys[field], way.upper(), tie)}) - 1 AS position "
+        f"FROM (SELECT * REPLACE ({mixed} AS name) FROM {{{table}}}) s",
+    )
     def _(t):
-        # whole-table positions: numbered inside blocks that follow the order
-        key = sort.split("-")[0]
-        low = {"date": F.to_date("uploaded_at"), "id": F.substring("id", 1, 2), "name": F.substring(F.coalesce("name", F.lit("")), 1, 6)}[key]
-        order = listing.document_order(sort)
-        return listing.numbered(t["v_document"], order, low, sort.endswith("desc")).select("id", "position")
+        named = t[table].withColumn("name", _mixed(F.expr(key.replace("AS BIGINT", "AS LONG"))))
+        return listing.numbered(named, order(sort)).select(shown, "position")
 
 
-for _s, _o in _SORTS.items():
-    _sort_query(_s, _o)
+for _field in ("date", "id", "name"):
+    for _way in ("desc", "asc"):
+        _s = f"{_field}-{_way}"
+        _position_query("sor1_documents", "v_document", "id", "orderkey", _s, _DOCUMENT_KEYS, "id", listing.document_order)
+        _position_query("sor2_audit", "v_audit", "seq", "event_id", _s, _AUDIT_KEYS, "seq", listing.audit_order)
+        _position_query("sor3_users", "v_user", "id", "CAST(id AS BIGINT)", _s, _ADMIN_KEYS, "id", listing.admin_order)
+        _position_query("sor3_departments", "v_department", "id", "CAST(id AS BIGINT)", _s, _ADMIN_KEYS, "id", listing.admin_order)
 
 
 @query(
@@ -328,18 +357,17 @@ for _s, _o in _SORTS.items():
     "SELECT seq, row_number() OVER (ORDER BY CAST(user_id AS BIGINT), seq) - 1 AS position FROM {v_audit}",
 )
 def _(t):
-    block = F.length("user_id")
-    return listing.numbered(t["v_audit"], listing.audit_order("id-asc"), block).select("seq", "position")
+    return listing.numbered(t["v_audit"], listing.audit_order("id-asc")).select("seq", "position")
 
 
 @query("sor2_audit_by_date", "SELECT seq, row_number() OVER (ORDER BY ts DESC, seq) - 1 AS position FROM {v_audit}")
 def _(t):
-    return listing.numbered(t["v_audit"], listing.audit_order("date-desc"), F.to_date("ts"), True).select("seq", "position")
+    return listing.numbered(t["v_audit"], listing.audit_order("date-desc")).select("seq", "position")
 
 
 @query("sor3_users_by_date", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id) - 1 AS position FROM {v_user}")
 def _(t):
-    return listing.numbered(t["v_user"], listing.admin_order("date-desc"), F.to_date("created_at"), True).select("id", "position")
+    return listing.numbered(t["v_user"], listing.admin_order("date-desc")).select("id", "position")
 
 
 @query("sor4_feed", "SELECT id, content, created_at FROM {v_notification} WHERE receiver_id = '1'")
@@ -362,6 +390,26 @@ def _(t):
     return listing.paginate(views.live(t["v_document"]), listing.document_order(), page=3).select("id", "name")
 
 
+@query(
+    "win11_deep_page",
+    f"SELECT id, name FROM (SELECT * REPLACE ({_MIXED_SQL.replace('{k}', 'orderkey')} AS name) FROM {{v_document}}) s "
+    f"WHERE NOT is_deleted ORDER BY {_order_sql(_name_keys('name'), 'ASC', 'id')} LIMIT 7 OFFSET 560",
+)
+def _(t):
+    docs = views.live(t["v_document"]).withColumn("name", _mixed(F.col("orderkey")))
+    return listing.paginate(docs, listing.document_order("name-asc"), page=81, deep=True).select("id", "name")
+
+
+@query(
+    "win11_sorted_page",
+    f"SELECT id, name FROM (SELECT * REPLACE ({_MIXED_SQL.replace('{k}', 'orderkey')} AS name) FROM {{v_document}}) s "
+    f"WHERE NOT is_deleted ORDER BY {_order_sql(_name_keys('name'), 'DESC', 'id')} LIMIT 7 OFFSET 7",
+)
+def _(t):
+    docs = views.live(t["v_document"]).withColumn("name", _mixed(F.col("orderkey")))
+    return listing.paginate(docs, listing.document_order("name-desc"), page=2).select("id", "name")
+
+
 @query(
     "win11_page_summary",
     "SELECT count(*) AS total, greatest(CAST(ceil(count(*) / 7.0) AS BIGINT), 1) AS pages FROM {v_document} WHERE NOT is_deleted",
