@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import display as D
-from ..operators import access, audit, integrity, listing, views
+from ..operators import access, audit, document_list, integrity, listing, views
 from .registry import query
 
 
@@ -259,6 +259,54 @@ def _(t):
     )
 
 
+# --- the documents list ------------------------------------------------------------
+_REQUESTERS = {
+    "STAFF": "SELECT min(CAST(uploader_id AS BIGINT)) FROM {v_document} d JOIN {v_user} u ON u.id = d.uploader_id WHERE u.role = 'STAFF' AND NOT d.is_deleted",
+    "MANAGER": "SELECT min(CAST(id AS BIGINT)) FROM {v_user} WHERE role = 'MANAGER' AND department_id IS NOT NULL",
+    "ADMIN": "SELECT CAST(0 AS BIGINT)",
+}
+
+
+def _list_query(name: str, role: str, scope: str, term: str, sort: str, page: int | None, mine_only: bool = False):
+    who = f"(SELECT CAST(({_REQUESTERS[role]}) AS VARCHAR))"
+    keep = {"mine": f"d.uploader_id = {who}", "department": f"d.department_id = (SELECT department_id FROM {{v_user}} WHERE id = {who})", "all": "true"}[scope]
+    if mine_only:
+        keep += f" AND d.uploader_id = {who}"
+    cut = f"ORDER BY {_SORTED[sort]} LIMIT 7 OFFSET {(page - 1) * 7}" if page else ""
+    owner = f"d.uploader_id = {who}"
+    readable = "(d.scan_status IS NULL OR d.scan_status = 'CLEAN')"
+
+    @query(
+        name,
+        f"""SELECT d.id, d.name, u.name AS uploader_name, p.name AS department_name, {readable} AS accessible, {owner} AS requester_is_owner,
+              CASE WHEN {readable} AND {owner} AND d.orderkey % 5000 < 4000 THEN 'https://files.example/' || d.document_link END AS signed_url,
+              {owner} AS whole_result,
+              CASE WHEN NOT ({owner}) AND d.orderkey % 9 NOT IN (0, 1) AND d.orderkey % 12 NOT IN (0, 1) THEN 'READY' END AS verdict
+            FROM {{v_document}} d JOIN {{v_user}} u ON u.id = d.uploader_id LEFT JOIN {{v_department}} p ON p.id = d.department_id
+            WHERE NOT d.is_deleted AND {keep} AND (contains(lower(d.name), '{term}') OR contains(lower(d.type), '{term}') OR contains(lower(u.name), '{term}')) {cut}""",
+    )
+    def _(t):
+        requester = str(t.sql(_REQUESTERS[role]).first()[0])
+        docs = t["v_document"].withColumn("ai_result", _result_json(t))
+        links = t["v_document"].filter(F.col("orderkey") % 5000 < 4000).select("document_link", F.concat(F.lit("https://files.example/"), "document_link").alias("signed_url"))
+        rows = document_list.document_list(docs, t["v_user"], t["v_department"], links, requester, scope, mine_only, term, sort, page)
+        verdict = F.when(~F.col("requester_is_owner"), F.get_json_object("shown", "$.loan_readiness.verdict"))
+        return rows.select(
+            "id", "name", "uploader_name", "department_name", "accessible", "requester_is_owner", "signed_url",
+            F.col("shown").eqNullSafe(F.col("ai_result")).alias("whole_result"), verdict.alias("verdict"),
+        )
+
+
+_SORTED = {"date-desc": "d.uploaded_at DESC, d.id", "date-asc": "d.uploaded_at, d.id", "id-desc": "d.id DESC"}
+_list_query("list_mine", "STAFF", "mine", "", "date-desc", 1)
+_list_query("list_mine_all_pages", "MANAGER", "mine", "doc_", "date-desc", None)
+_list_query("list_department", "MANAGER", "department", "", "date-asc", None)
+_list_query("list_department_page", "MANAGER", "department", "slip", "id-desc", 2)
+_list_query("list_department_own_tab", "MANAGER", "department", "", "date-desc", 1, True)
+_list_query("list_all", "ADMIN", "all", "", "date-desc", None)
+_list_query("list_all_page", "ADMIN", "all", "contract", "date-desc", 3)
+
+
 @query("acl4_scrub_readiness", f"SELECT id, verdict, CASE WHEN verdict IS NOT NULL THEN '0.4' END AS threshold, false AS leaks FROM ({_STRIPPED}) s")
 def _(t):
     shown = t["v_document"].select("id", access.strip_sensitive(_result_json(t)).alias("s"))
