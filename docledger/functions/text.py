@@ -44,12 +44,41 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+# noncharacters: no text that came through a decoder holds them
+_OPEN, _MID, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches with 0-based ``[start, end)`` positions, computed without a UDF.
 
-    The text between matches comes from ``split``; adding up the lengths of gaps and
-    matches gives every start.
+    One pass of the pattern writes each match and its group between marks; the marked text
+    is then cut at the marks, and the lengths of its pieces add up to the positions. A text
+    that holds a mark of its own is cut by the pattern instead.
     """
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_MID}${group}{_CLOSE}"))
+
+    def fold(pieces: Column) -> Column:
+        start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("pos"), F.array().cast(SPANS).alias("out"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            hit = F.substring_index(piece, _MID, 1)
+            rest = F.substring_index(piece, _MID, -1)
+            grp = F.substring_index(rest, _CLOSE, 1)
+            end = acc["pos"] + F.length(hit)
+            span = F.struct(acc["pos"].alias("start"), end.alias("end"), hit.alias("value"), grp.alias("grp"))
+            return F.struct(
+                (end + F.length(rest) - F.length(grp) - 1).alias("pos"), F.array_append(acc["out"], span).alias("out")
+            )
+
+        found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda acc: acc["out"])
+        return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(SPANS))
+
+    own = text.contains(_OPEN) | text.contains(_MID) | text.contains(_CLOSE)
+    return F.when(own, _cut_spans(text, pattern, group)).otherwise(let(F.split(marked, _OPEN, -1), fold))
+
+
+def _cut_spans(text: Column, pattern: str, group: int) -> Column:
+    """The same spans from the matches and the text between them."""
     hits = find_all(text, pattern)
     groups = find_all(text, pattern, group) if group else hits
     gaps = F.split(text, pattern, -1)

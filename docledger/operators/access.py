@@ -16,81 +16,67 @@ _READINESS = ["loan_readiness", "balance_sheet_readiness"]
 _MAP = "map<string,variant>"
 
 
-def _is(v: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
-
-
 def _entries(v: Column) -> Column:
+    """The fields of an object, NULL for anything else: one cast is both the shape test and
+    the parts to rebuild from."""
     return F.try_variant_get(v, "$", _MAP)
 
 
+def _object(entries: Column) -> Column:
+    return F.to_variant_object(entries)
+
+
 def scrub_readiness(v: Column) -> Column:
     """A readiness object with every ``checks.*.value`` nulled; NULL (meaning: remove it)
     when the shape is unexpected (ACL4)."""
+    nothing = F.parse_json(F.lit("null"))
+
+    def rebuild(obj: Column, checks: Column) -> Column:
+        # a value is replaced where it exists and added where it does not
+        cleaned = F.transform_values(
+            checks,
+            lambda _, c: F.map_concat(F.map_filter(c, lambda k, _v: k != "value"), F.create_map(F.lit("value"), nothing)),
+        )
+        rest = F.map_filter(obj, lambda k, _v: k != "checks")
+        well_formed = F.forall(F.map_values(checks), lambda c: c.isNotNull())
+        return F.when(well_formed, _object(F.map_concat(rest, F.create_map(F.lit("checks"), _object(cleaned)))))
+
+    def checked(obj: Column) -> Column:
+        parts = _entries(F.try_element_at(obj, F.lit("checks")))
+        shapes = let(parts, lambda p: F.when(p.isNotNull(), F.transform_values(p, lambda _, c: _entries(c))))
+        return let(shapes, lambda checks: F.when(checks.isNotNull(), rebuild(obj, checks)))
 
-    def scrub(obj: Column) -> Column:
-        checks = F.try_element_at(obj, F.lit("checks"))
-
-        def rebuild(items: Column) -> Column:
-            well_formed = F.forall(F.map_values(items), lambda c: _is(c, "OBJECT"))
-            # a value is replaced where it exists and added where it does not
-            cleaned = F.transform_values(
-                items,
-                lambda _, c: F.to_variant_object(
-                    F.map_concat(
-                        F.map_filter(_entries(c), lambda k, _v: k != "value"),
-                        F.create_map(F.lit("value"), F.parse_json(F.lit("null"))),
-                    )
-                ),
-            )
-            rest = F.map_filter(obj, lambda k, _v: k != "checks")
-            return F.when(
-                well_formed,
-                F.to_variant_object(
-                    F.map_concat(rest, F.create_map(F.lit("checks"), F.to_variant_object(cleaned)))
-                ),
-            )
-
-        return F.when(_is(checks, "OBJECT"), let(_entries(checks), rebuild))
-
-    return F.when(_is(v, "OBJECT"), let(_entries(v), scrub))
+    return let(_entries(v), lambda obj: F.when(obj.isNotNull(), checked(obj)))
 
 
 def strip_sensitive(json: Column) -> Column:
     """The result JSON a non-owner sees (ACL3): sensitive fields removed, hidden parts
     dropped, readiness values nulled; NULL when the text is not a JSON object."""
+    nothing = F.parse_json(F.lit("null"))
+
+    def kept_fields(obj: Column) -> Column:
+        names = F.try_variant_get(F.try_element_at(obj, F.lit("sensitive_field_keys")), "$", "array<variant>")
+        listed = F.transform(names, lambda k: F.try_variant_get(k, "$", "string"))
+        fields = _entries(F.try_element_at(obj, F.lit("fields")))
+
+        def pick(n: Column, f: Column) -> Column:
+            kept = F.map_filter(f, lambda k, _v: ~F.coalesce(F.array_contains(n, k), F.lit(False)))
+            return F.when(n.isNotNull() & f.isNotNull(), _object(kept)).otherwise(nothing)
+
+        return let(listed, lambda n: let(fields, lambda f: pick(n, f)))
+
+    def with_root(obj: Column) -> Column:
+        # parts that need work are rebuilt where they stand, in one pass over the root
+        def part(k: Column, v: Column) -> Column:
+            scrubbed = F.when(F.is_variant_null(v), v).otherwise(scrub_readiness(v))
+            return F.when(k == "fields", kept_fields(obj)).when(k.isin(_READINESS), scrubbed).otherwise(v)
+
+        visible = F.map_filter(obj, lambda k, _v: ~k.isin(_HIDDEN))
+        shown = F.map_filter(F.transform_values(visible, part), lambda _k, v: v.isNotNull())
+        return F.to_json(_object(shown))
 
-    def build(root: Column) -> Column:
-        def with_root(obj: Column) -> Column:
-            fields = F.try_element_at(obj, F.lit("fields"))
-            keys = F.try_element_at(obj, F.lit("sensitive_field_keys"))
-            safe = _is(fields, "OBJECT") & _is(keys, "ARRAY")
-            names = F.transform(
-                F.try_variant_get(keys, "$", "array<variant>"), lambda k: F.try_variant_get(k, "$", "string")
-            )
-            kept = F.to_variant_object(
-                F.map_filter(_entries(fields), lambda k, _v: ~F.coalesce(F.array_contains(names, k), F.lit(False)))
-            )
-            new_fields = F.when(safe, kept).otherwise(F.parse_json(F.lit("null")))
-            base = F.map_filter(obj, lambda k, _v: ~k.isin(["fields", *_HIDDEN, *_READINESS]))
-            parts = [base, F.when(F.map_contains_key(obj, "fields"), F.create_map(F.lit("fields"), new_fields))]
-            for name in _READINESS:
-                v = F.try_element_at(obj, F.lit(name))
-                present = F.map_contains_key(obj, name)
-                null_kept = present & (F.schema_of_variant(v) == "VOID")
-                clean = scrub_readiness(v)
-                parts.append(
-                    F.when(null_kept, F.create_map(F.lit(name), v)).when(
-                        clean.isNotNull(), F.create_map(F.lit(name), clean)
-                    )
-                )
-            empty = F.map_filter(obj, lambda k, _v: F.lit(False))
-            merged = F.map_concat(*[F.coalesce(p, empty) for p in parts])
-            return F.to_json(F.to_variant_object(merged))
-
-        return F.when(_is(root, "OBJECT"), let(_entries(root), with_root))
-
-    return let(F.try_parse_json(json), build)
+    root = let(F.try_parse_json(json), _entries)
+    return let(root, lambda obj: F.when(obj.isNotNull(), with_root(obj)))
 
 
 def shown_result(json: Column, owner: Column) -> Column:

@@ -250,7 +250,7 @@ _STRIPPED = """
 
 @query("acl3_strip_sensitive", f"SELECT id, hidden, has_fields, CASE WHEN has_fields THEN '[\"a\"]' END AS dates, false AS leaks FROM ({_STRIPPED}) s")
 def _(t):
-    shown = t["v_document"].select("id", access.strip_sensitive(_result_json(t)).alias("s"))
+    shown = t.spread("v_document").select("id", access.strip_sensitive(_result_json(t)).alias("s"))
     leaks = F.coalesce(F.get_json_object("s", "$.fields.name").isNotNull() | F.get_json_object("s", "$.fields.income").isNotNull() | F.get_json_object("s", "$.redaction").isNotNull(), F.lit(False))
     return shown.select(
         "id", F.col("s").isNull().alias("hidden"),
@@ -309,7 +309,7 @@ _list_query("list_all_page", "ADMIN", "all", "contract", "date-desc", 3)
 
 @query("acl4_scrub_readiness", f"SELECT id, verdict, CASE WHEN verdict IS NOT NULL THEN '0.4' END AS threshold, false AS leaks FROM ({_STRIPPED}) s")
 def _(t):
-    shown = t["v_document"].select("id", access.strip_sensitive(_result_json(t)).alias("s"))
+    shown = t.spread("v_document").select("id", access.strip_sensitive(_result_json(t)).alias("s"))
     value = F.get_json_object("s", "$.loan_readiness.checks.dti.value")
     return shown.select(
         "id", F.get_json_object("s", "$.loan_readiness.verdict").alias("verdict"),

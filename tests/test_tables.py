@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docledger import fixed_values as V
 from docledger.functions import with_text_fields
-from docledger.functions.fuzzy import label_scorer
-from docledger.operators import balance, geometry, ordered, rules, scoring, upload
+from docledger.functions.fuzzy import fuzzy_label, plausible
+from docledger.operators import balance, geometry, listing, ordered, rules, scoring, upload
 from docledger.plans.process import process_documents, read_scanned_documents, read_text_documents
 from docledger.session import cut
 from docledger.sources import files, synth
@@ -68,7 +69,6 @@ def test_ordered_helpers_equal_plain_windows(spark):
 
 def test_fuzzy_filter_is_lossless(spark):
     rng = random.Random(3)
-    score = label_scorer()
     labels = ["Total Current Assets", "Total Assets", "Total Liabilities", "Total Equity", "Total Current Liabilities"]
     texts = []
     for _ in range(400):
@@ -77,13 +77,36 @@ def test_fuzzy_filter_is_lossless(spark):
             t[rng.randrange(len(t))] = rng.choice("abcdeilost ")
         texts.append("".join(t)[: rng.randint(6, 25)])
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    from docledger.functions.fuzzy import plausible
-
     kept = {r.t for r in df.filter(plausible(F.col("t"))).collect()}
-    assert {t for t in texts if score(t)} <= kept
+    found = {r.t: r.f for r in df.select("t", fuzzy_label(F.col("t")).alias("f")).collect()}
+
+    def score(text):
+        from difflib import SequenceMatcher
+
+        alike = {k: SequenceMatcher(None, text.lower(), v.lower()).ratio() for k, v in V.CANONICAL_LABELS.items()}
+        best, second = sorted(alike.values())[-1:-3:-1]
+        close = best >= 0.85 and not (second >= 0.85 and best - second < 0.05)
+        return max(alike, key=alike.get) if close else None
+
+    assert found == {t: score(t) for t in texts}
+    assert {t for t in texts if found[t]} <= kept
     assert score("Total Fixed Assets") is None and score("Total cument ossets") == "total_current_assets"
 
 
+def test_sorted_tables_follow_the_numbering(spark):
+    rows = [(str(i), n, None) for i, n in enumerate(["b", "B", "a10", None, "ä", "A", "a2"])]
+    df = spark.createDataFrame(rows, "id string, name string, uploaded_at timestamp_ntz").withColumns(
+        {"created_at": F.col("uploaded_at"), "ts": F.col("uploaded_at"), "user_id": F.col("id"), "seq": F.col("id")}
+    )
+    for sort in ("name-asc", "name-desc", "id-asc", "date-desc"):
+        for order, fn in ((listing.document_order, listing.sort_documents), (listing.audit_order, listing.sort_audit), (listing.admin_order, listing.sort_admin)):
+            placed = {r.position: r.id for r in listing.numbered(df, order(sort)).collect()}
+            assert [placed[i] for i in range(7)] == [r.id for r in fn(df, sort).collect()]
+            assert [r.id for r in listing.paginate(df, order(sort), 2, 3, deep=True).collect()] == [r.id for r in listing.paginate(df, order(sort), 2, 3).collect()]
+    assert [r.name for r in listing.sort_documents(df, "name-asc").collect()] == [None, "A", "ä", "a10", "a2", "b", "B"]
+    assert listing.sort_documents(df, "unknown") is df
+
+
 def test_rules(spark):
     cases = [(8000.0, 1200.0, 400.0, "READY"), (3000.0, 300.0, 0.0, "NOT_READY"), (None, 1.0, 0.0, "INSUFFICIENT_DATA"), (0.0, 1.0, 0.0, "INSUFFICIENT_DATA"), (8000.0, None, 0.0, None)]
     df = spark.createDataFrame(cases, "m double, r double, d double, want string")
