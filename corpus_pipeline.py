@@ -44,9 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_ids, text): sampled piece ids, and the text they decode to."""
-    vocabulary = pieces.Vocabulary()
-    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
-    return pieces.decode(coded, vocabulary, out="text").withColumn("n_ids", F.size("ids"))
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.Vocabulary(), decoded="text")
+    return coded.withColumn("n_ids", F.size("ids"))
 
 
 STAGES = [

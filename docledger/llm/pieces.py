@@ -20,11 +20,13 @@ ids; a null key counts as 0. Other columns pass through unless named like the re
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count as counter
 
 import numpy as np
 import pandas as pd
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +37,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stands for U+2581 in a text; a lone surrogate is no character of any text.
 _LITERAL = "\ud800"
-_UNIT = regex.compile(rf"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
+_UNIT = re.compile(rf"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 _END = "\x00"
-_CHARS = 3 << 20
+_CUT = "\ud802"
+_CHARS = 3 << 18
 #: Filter of the pieces' hashes, looked at before an exact search.
-_SLOTS = 1 << 20
+_SLOTS = 1 << 18
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -66,50 +69,67 @@ class Vocabulary:
         first = min(self.pieces.values(), default=0)
         self.log = -theta * np.log(np.maximum(np.arange(size) - first, 0) + 2.0)
         self.fallback = -theta * np.log(size + 2.0)
-        # by length: the sorted hashes of its pieces, their ids, and the filter
+        # by length: sorted hashes of its pieces with their ids, filters of those hashes, and of
+        # the hashes of what longer pieces begin with
         self.by_length = []
         with np.errstate(over="ignore"):
             for n in range(1, max(map(len, self.pieces), default=0) + 1):
                 some = [p for p in self.pieces if len(p) == n]
-                hashes = _grow(np.zeros(len(some), np.uint64), *(np.array([ord(p[k]) for p in some], np.uint64) for k in range(n)))
+                hashes = _hashed(some, n)
                 order = np.argsort(hashes)
                 if len(np.unique(hashes)) < len(hashes):
                     raise ValueError("two pieces of one length share a hash")
-                self.by_length.append((hashes[order], np.array([self.pieces[p] for p in some], np.int64)[order]))
+                longer = {p[:n] for p in self.pieces if len(p) > n}
+                ids = np.array([self.pieces[p] for p in some], np.int32)[order]
+                self.by_length.append((hashes[order], ids, _filter(hashes), _filter(_hashed(list(longer), n))))
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pieces in a text given as code points: (place after it, length, id)."""
+        """All pieces in a text given as code points, longest first: (place after it, length, id)."""
         to, length, piece = [], [], []
-        hashes = np.zeros(len(codes), np.uint64)
-        for n, (known, ids) in enumerate(self.by_length, 1):
-            if len(codes) < n:
-                break
-            hashes = _grow(hashes[: len(codes) - n + 1], codes[n - 1 :])
-            slots = np.zeros(_SLOTS, bool)
-            slots[known & np.uint64(_SLOTS - 1)] = True
-            at = np.flatnonzero(slots[hashes & np.uint64(_SLOTS - 1)])
-            if not len(known) or not len(at):
-                continue
-            spot = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-            hit = known[spot] == hashes[at]
-            to.append(at[hit] + n)
-            length.append(np.full(int(hit.sum()), n))
-            piece.append(ids[spot[hit]])
-        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (to, length, piece))
-
-
-def _grow(hashes: np.ndarray, *codes: np.ndarray) -> np.ndarray:
-    """Hashes of strings that are one more character long for each of ``codes``."""
-    for c in codes:
-        hashes = (hashes ^ mix(c + np.uint64(1))) * _PRIME
-        hashes = hashes ^ (hashes >> np.uint64(29))
+        codes = mix(codes + np.uint64(1))
+        at, hashes = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.uint64)
+        for n, (known, ids, filled, begun) in enumerate(self.by_length, 1):
+            hashes = _grow(hashes, codes[at + np.int32(n - 1)])
+            slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int32)
+            some = np.flatnonzero(filled[slot])
+            if len(known) and len(some):
+                asked = hashes[some]
+                spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                hit = known[spot] == asked
+                to.append(at[some[hit]] + np.int32(n))
+                length.append(np.full(int(hit.sum()), n, np.uint8))
+                piece.append(ids[spot[hit]])
+            # only where a longer piece may begin
+            on = np.flatnonzero(begun[slot] & (at < len(codes) - n))
+            at, hashes = at[on], hashes[on]
+        return tuple(np.concatenate(x[::-1]) if x else np.empty(0, np.int32) for x in (to, length, piece))
+
+
+def _grow(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one more (mixed) character long."""
+    hashes = (hashes ^ codes) * _PRIME
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def _hashed(texts: list[str], n: int) -> np.ndarray:
+    """Hashes of texts of ``n`` characters."""
+    hashes = np.zeros(len(texts), np.uint64)
+    for k in range(n):
+        hashes = _grow(hashes, mix(np.array([ord(t[k]) for t in texts], np.uint64) + np.uint64(1)))
     return hashes
 
 
+def _filter(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(_SLOTS, bool)
+    out[(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+    return out
+
+
 class Lattice:
     """The lattices of many words side by side: words stand one after the other, each with
     an end mark; node ``i`` is the place before character ``i``. ``edge`` arrays are sorted
-    by the node they lead to; ``upto`` is, for node n, n plus the running share of its edges."""
+    by the node they lead to, the longest first, from ``first`` [node] on; ``upto`` is the running
+    share of a node's edges."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -122,78 +142,97 @@ class Lattice:
         known[to[length == 1] - 1] = True
         known[self.end] = True
         bare = np.flatnonzero(~known)  # characters without a piece: their bytes
-        to, length = np.concatenate([to, bare + 1]), np.concatenate([length, np.ones(len(bare), np.int64)])
-        piece = np.concatenate([piece, np.full(len(bare), -1)])
+        to = np.concatenate([to, (bare + 1).astype(np.int32)])
+        length = np.concatenate([length, np.ones(len(bare), np.uint8)])
+        piece = np.concatenate([piece, np.full(len(bare), -1, np.int32)])
         order = np.argsort(to, kind="stable")
         self.to, self.length, self.piece = to, length, piece = to[order], length[order], piece[order]
-        weight = np.where(piece < 0, vocabulary.fallback, vocabulary.log[piece])
-        depth = to - start_of[to]
-        order = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
-        to, source, weight, depth = to[order], (to - length)[order], weight[order], depth[order]
+        depth = (to - start_of[to]).astype(np.int32)
+        if len(depth) and depth.max() < 1 << 16:
+            depth = depth.astype(np.uint16)
+        order = np.argsort(depth, kind="stable").astype(np.int32)
+        depth = depth[order]
         alpha = np.full(len(text), -np.inf)
         alpha[start_of[self.end]] = 0.0  # forward: all words one character further at a time
         share = np.empty(len(to))
-        cuts = np.flatnonzero(np.diff(depth, prepend=-1, append=-1))
+        cuts = np.flatnonzero(np.diff(depth.astype(np.int64), prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            value = alpha[source[a:b]] + weight[a:b]
-            begin = np.flatnonzero(np.diff(to[a:b], prepend=-1))
+            at = order[a:b]
+            goal, kind = to[at], piece[at]
+            value = alpha[goal - length[at]] + np.where(kind < 0, vocabulary.fallback, vocabulary.log[kind])
+            begin = np.flatnonzero(np.diff(goal, prepend=-1))
             count = np.diff(begin, append=b - a)
             most = np.maximum.reduceat(value, begin)
             part = np.exp(value - np.repeat(most, count))
             total = np.add.reduceat(part, begin)
-            alpha[to[a:b][begin]] = most + np.log(total)
-            share[order[a:b]] = part / np.repeat(total, count)
-        begin = np.flatnonzero(np.diff(self.to, prepend=-1))
+            alpha[goal[begin]] = most + np.log(total)
+            share[at] = part / np.repeat(total, count)
+        begin = np.flatnonzero(np.diff(self.to, prepend=np.int32(-1)))
         count = np.diff(begin, append=len(self.to))
         run = np.cumsum(share)
         run -= np.repeat(run[begin] - share[begin], count)
-        self.upto = self.to + np.minimum(run, 1.0)
-        if len(begin):
-            self.upto[begin + count - 1] = self.to[begin] + 1.0
+        self.upto = run
+        self.upto[begin + count - 1] = 2.0  # a draw stops at a node's last edge
+        self.first = np.zeros(len(text), np.int32)
+        self.first[self.to[begin]] = begin
         self.start, self.text, self.alpha = self.end + 1 - size, text, alpha
 
     def draw(self, word: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward sampling for occurrences of words: (occurrence, edge, step from the end)."""
-        node, goal, live = self.end[word], self.start[word], np.arange(len(word))
+        node, goal, live = self.end[word], self.start[word], np.arange(len(word), dtype=np.int32)
         parts, step = [], 0
         while len(live):
-            u = mix(noise[live] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            u = mix(noise + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
             u = (u >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.upto, node[live] + u, side="right")
-            parts.append((live, edge, np.full(len(live), step)))
-            node[live] -= self.length[edge]
-            live = live[node[live] > goal[live]]
+            edge = self.first[node]
+            open_ = np.flatnonzero(self.upto[edge] <= u)
+            while len(open_):
+                edge[open_] += 1
+                open_ = open_[self.upto[edge[open_]] <= u[open_]]
+            parts.append((live, edge, np.full(len(live), step, np.int32)))
+            node = node - self.length[edge]
+            on = np.flatnonzero(node > goal)
+            node, goal, noise, live = node[on], goal[on], noise[on], live[on]
             step += 1
-        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int32),) * 3
+
+
+def _units(text: str) -> list[str]:
+    """Words with the blanks before them, and line ends, in order."""
+    if BLANK * 2 in text:
+        return _UNIT.findall(text)
+    # the common case, without runs of blanks: cut before blanks and around line ends
+    marked = text.replace(BLANK, _CUT + BLANK).replace("\n", f"{_CUT}\n{_CUT}")
+    return [u for u in marked.split(_CUT) if u]
 
 
 def _encode(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, seed: int) -> list[np.ndarray]:
-    index: dict[str, int] = {}
+    index: dict[str, int] = defaultdict(counter().__next__)  # words by order of appearance
     word, row, place = [], [], []
     for r, t in enumerate(texts):
         if not t:
             continue
-        units = _UNIT.findall(BLANK + t.replace(BLANK, _LITERAL).replace("\x00", "\ud801").replace(" ", BLANK))
-        word += [index.setdefault(u, len(index)) for u in units]
-        row.append(np.full(len(units), r))
-        place.append(np.arange(len(units)))
+        units = _units(BLANK + t.replace(BLANK, _LITERAL).replace("\x00", "\ud801").replace(" ", BLANK))
+        word += map(index.__getitem__, units)
+        row.append(np.full(len(units), r, np.int32))
+        place.append(np.arange(len(units), dtype=np.int32))
     if not word:
         return [np.empty(0, np.int32) for _ in texts]
-    word, row, place = np.array(word), np.concatenate(row), np.concatenate(place)
+    word, row, place = np.array(word, np.int32), np.concatenate(row), np.concatenate(place)
     noise = mix(keys[row] ^ mix(np.uint64(seed) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
     lattice = Lattice(list(index), vocabulary)
     occurrence, edge, step = lattice.draw(word, noise)
     piece = lattice.piece[edge]
-    width = np.ones(len(edge), np.int64)
+    width = np.ones(len(edge), np.int32)
     bare = np.flatnonzero(piece < 0)
     spelt = [_bytes(lattice.text[lattice.to[e] - 1]) for e in edge[bare]]
     width[bare] = [len(s) for s in spelt]
     # the steps of an occurrence stand in reverse: put them in order, then give each its ids
     many = np.bincount(occurrence, minlength=len(word))
     at = (np.cumsum(many) - 1)[occurrence] - step
-    ordered = np.empty(len(edge), np.int64)
+    ordered = np.empty(len(edge), np.int32)
     ordered[at] = width
-    offset = (np.cumsum(ordered) - ordered)[at]
+    offset = (np.cumsum(ordered, dtype=np.int64) - ordered)[at]
     ids = np.empty(int(width.sum()), np.int32)
     plain = piece >= 0
     ids[offset[plain]] = piece[plain]
@@ -207,23 +246,30 @@ def _bytes(char: str) -> bytes:
     return {_LITERAL: BLANK, "\ud801": "\x00"}.get(char, char).encode("utf-8")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", out: str = "ids", seed: int = 1) -> DataFrame:
-    """``docs`` with ``out``: the ids (array<int>) of one sampled segmentation of ``text``."""
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", out: str = "ids", seed: int = 1,
+    decoded: str | None = None,
+) -> DataFrame:
+    """``docs`` with ``out``: the ids (array<int>) of one sampled segmentation of ``text``; and with
+    ``decoded``, if named: the text that those ids decode to, read back in the same pass."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = "ids array<int>" + (", decoded string" if decoded else "")
 
-    @F.pandas_udf("array<int>")
-    def sampled(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(kind)
+    def sampled(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, keys in parts:
-            texts, keys = texts.tolist(), keys.to_numpy(dtype=np.int64).view(np.uint64)
-            size = np.cumsum([len(t) if t else 0 for t in texts]) // _CHARS
-            out = []
-            with np.errstate(over="ignore"):
-                for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1):
-                    if len(rows):
-                        out += _encode([texts[i] for i in rows], keys[rows], held.value, seed)
-            yield pd.Series([None if t is None else ids for t, ids in zip(texts, out)], dtype=object)
+            keys = keys.to_numpy(dtype=np.int64).view(np.uint64)
+            size = np.cumsum(texts.str.len().fillna(0).to_numpy(dtype=np.int64)) // _CHARS
+            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1):
+                part = texts.iloc[rows].tolist()  # results leave in parts, too: they are as large as the texts
+                with np.errstate(over="ignore"):
+                    ids = [None if t is None else i for t, i in zip(part, _encode(part, keys[rows], held.value, seed))]
+                made = {"ids": ids} | ({"decoded": [_decode(i, held.value.raw) for i in ids]} if decoded else {})
+                yield pd.DataFrame(made, dtype=object)
 
-    return docs.withColumn(out, sampled(F.col(text), F.xxhash64(F.col(key))))
+    coded = docs.withColumn("__coded", sampled(F.col(text), F.xxhash64(F.col(key))))
+    coded = coded.withColumn(out, F.col("__coded.ids"))
+    return (coded.withColumn(decoded, F.col("__coded.decoded")) if decoded else coded).drop("__coded")
 
 
 def decode(ids: DataFrame, vocabulary: Vocabulary, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -232,11 +278,14 @@ def decode(ids: DataFrame, vocabulary: Vocabulary, column: str = "ids", out: str
 
     @F.pandas_udf("string")
     def joined(rows: pd.Series) -> pd.Series:
-        raw = held.value.raw
-        return pd.Series([None if r is None else _text(b"".join(map(raw.__getitem__, r.tolist()))) for r in rows], dtype=object)
+        return pd.Series([_decode(r, held.value.raw) for r in rows], dtype=object)
 
     return ids.withColumn(out, joined(F.col(column)))
 
 
+def _decode(ids: np.ndarray | None, raw: list[bytes]) -> str | None:
+    return None if ids is None else _text(b"".join(map(raw.__getitem__, ids.tolist())))
+
+
 def _text(raw: bytes) -> str:
     return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")

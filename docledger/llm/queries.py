@@ -22,9 +22,7 @@ def query(fn):
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every document, and whether it decodes to the same text."""
-    vocabulary = pieces.Vocabulary()
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    both = pieces.decode(coded, vocabulary)
+    both = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.Vocabulary(), decoded="decoded")
     return both.select(
         "doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
