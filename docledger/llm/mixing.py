@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of a bucket, on average: what one task sorts at a time.
-_BUCKET_ROWS = 50_000
+_BUCKET_ROWS = 2_000
 
 
 def tempered_shares(docs: DataFrame, exponent: float = 0.7, resolution: int = 1000, weights: dict | None = None) -> DataFrame:
