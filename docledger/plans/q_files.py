@@ -35,6 +35,22 @@ def _(t):
     return lines.agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
+@query(
+    "src2_csv_long_values",
+    """SELECT md5(string_agg(CAST(c_custkey AS VARCHAR) || ' ' || c_name || ', "' || c_mktsegment || '"' || chr(10) ||
+         CASE WHEN c_custkey % 50 = 0 THEN repeat(c_name, 10000) ELSE 'line two' END, chr(10) ORDER BY c_custkey)) AS digest FROM {customer} GROUP BY c_nationkey""",
+)
+def _(t):
+    # values with quotes, commas and line breaks, some of 180,000 characters: one file for each nation
+    root = scratch_path(t.spark, "csv")
+    tail = F.when(F.col("c_custkey") % 50 == 0, F.repeat("c_name", F.lit(10000))).otherwise("line two")
+    label = F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"\n'), tail)
+    rows = t["customer"].select("c_nationkey", "c_custkey", label.alias("label"))
+    placed = rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    placed.write.partitionBy("c_nationkey").option("escape", '"').csv(root)
+    return files.read_csv_text(t.spark, root).select(F.md5("text").alias("digest"))
+
+
 @query(
     "src3_flatten_doc",
     """SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY part, idx)) AS digest FROM (

@@ -42,10 +42,14 @@ def _(t):
     return B.period_columns(_rows(t))
 
 
-@query("mat4_period_kind", "SELECT doc_id, CASE k % 3 WHEN 0 THEN 'numbered,numbered' WHEN 1 THEN 'current,prior' ELSE '' END AS kinds FROM {v_balance_lines} WHERE page = 0 AND row_idx = 0")
+@query(
+    "mat4_period_kind",
+    """SELECT doc_id, page, row_idx, CAST(i - 1 AS INT) AS cell, CASE WHEN c IN ('Year 1', 'Year 2') THEN 'numbered' WHEN contains(lower(c), 'current') THEN 'current' WHEN c = 'PRIOR YEAR' THEN 'prior' END AS kind
+       FROM (SELECT doc_id, page, row_idx, unnest(string_split(line, '|')) AS c, generate_subscripts(string_split(line, '|'), 1) AS i FROM {v_balance_lines}) s""",
+)
 def _(t):
-    head = _rows(t).filter((F.col("page") == 0) & (F.col("row_idx") == 0))
-    return head.select("doc_id", F.array_join(F.transform("cells", lambda c: B.period_kind(c)["kind"]), ",").alias("kinds"))
+    cells = _rows(t).select("doc_id", "page", "row_idx", F.posexplode("cells").alias("cell", "c"))
+    return cells.select("doc_id", "page", "row_idx", "cell", B.period_kind(F.col("c"))["kind"].alias("kind"))
 
 
 @query(
@@ -59,28 +63,43 @@ def _(t):
 
 @query(
     "bal2_last_amount",
-    "SELECT doc_id, CAST(assets + 7 AS DOUBLE) AS last, CAST(assets AS DOUBLE) AS preferred FROM {v_balance}",
+    """SELECT doc_id, page, row_idx,
+         CAST(CASE row WHEN '0.2' THEN current_assets + 7 WHEN '0.3' THEN assets + 7 WHEN '1.0' THEN current_liabilities + 7 WHEN '1.1' THEN liabilities + 7 WHEN '1.4' THEN 3 END AS DOUBLE) AS last,
+         CAST(CASE row WHEN '0.2' THEN current_assets WHEN '0.3' THEN assets WHEN '1.0' THEN current_liabilities WHEN '1.1' THEN liabilities WHEN '1.4' THEN 3 END AS DOUBLE) AS preferred
+       FROM (SELECT l.doc_id, page, row_idx, CAST(page AS VARCHAR) || '.' || CAST(row_idx AS VARCHAR) AS row, v.current_assets, v.assets, v.current_liabilities, v.liabilities
+             FROM {v_balance_lines} l JOIN {v_balance} v ON v.doc_id = l.doc_id WHERE NOT (page = 0 AND row_idx = 0)) s""",
 )
 def _(t):
-    rows = _rows(t).filter((F.col("page") == 0) & (F.col("row_idx") == 3))
+    # every row under the head: the amounts after its first cell
+    rows = _rows(t).filter(~((F.col("page") == 0) & (F.col("row_idx") == 0)))
     values = F.slice("cells", 2, 5)
     none = F.lit(None).cast("int")
-    return rows.select("doc_id", B.last_amount(values, F.lit(1), none).alias("last"), B.last_amount(values, F.lit(1), F.lit(1)).alias("preferred"))
+    return rows.select("doc_id", "page", "row_idx", B.last_amount(values, F.lit(1), none).alias("last"), B.last_amount(values, F.lit(1), F.lit(1)).alias("preferred"))
 
 
-@query("bal3_value_below", "SELECT doc_id, CAST(assets AS DOUBLE) AS below FROM {v_balance}")
+@query(
+    "bal3_value_below",
+    """SELECT doc_id, page, row_idx, lead(CASE WHEN replace(line, '|', '') <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY row_idx) AS below FROM {v_balance_lines}""",
+)
 def _(t):
-    rows = B.with_row_below(_rows(t)).filter((F.col("page") == 1) & (F.col("row_idx") == 2))
-    return rows.select("doc_id", B.parse_amount_bs(F.get("below", F.lit(0))).alias("below"))
+    return B.with_row_below(_rows(t)).select("doc_id", "page", "row_idx", F.array_join("below", "|").alias("below"))
+
+
+_CELLS = """SELECT doc_id, page, row_idx, CAST(i - 1 AS INT) AS cell, c FROM (
+    SELECT doc_id, page, row_idx, unnest(string_split(line, '|')) AS c, generate_subscripts(string_split(line, '|'), 1) AS i FROM {v_balance_lines}) s"""
+
+
+def _cells(t):
+    return _rows(t).select("doc_id", "page", "row_idx", "cells", F.posexplode("cells").alias("cell", "c"))
 
 
 @query(
     "bal4_label_hits",
-    """SELECT doc_id, page, row_idx, CASE WHEN line LIKE 'TOTAL ASSETS%' THEN 'total_assets' WHEN line LIKE 'TOTAL LIABILITIES%' THEN 'total_liabilities'
-         WHEN line LIKE 'NET ASSETS%' THEN 'total_equity' ELSE '' END AS hits FROM {v_balance_lines}""",
+    f"""SELECT doc_id, page, row_idx, cell, CASE WHEN c = 'TOTAL ASSETS' THEN 'total_assets' WHEN c = 'TOTAL LIABILITIES' THEN 'total_liabilities'
+         WHEN c LIKE 'NET ASSETS%' THEN 'total_equity' ELSE '' END AS hits FROM ({_CELLS}) x""",
 )
 def _(t):
-    return _rows(t).select("doc_id", "page", "row_idx", F.array_join(B.label_hits(F.get("cells", F.lit(0))), ",").alias("hits"))
+    return _cells(t).select("doc_id", "page", "row_idx", "cell", F.array_join(B.label_hits(F.col("c")), ",").alias("hits"))
 
 
 @query(
@@ -93,12 +112,12 @@ def _(t):
 
 @query(
     "mat2_fuzzy_label",
-    """SELECT doc_id, page, row_idx, CASE split_part(line, '|', 1) WHEN 'TOTAL ASSETS' THEN 'total_assets' WHEN 'TOTAL LIABILITIES' THEN 'total_liabilities'
-         WHEN 'Total Liabililies' THEN 'total_liabilities' END AS field FROM {v_balance_lines}""",
+    f"""SELECT doc_id, page, row_idx, cell, CASE c WHEN 'TOTAL ASSETS' THEN 'total_assets' WHEN 'TOTAL LIABILITIES' THEN 'total_liabilities'
+         WHEN 'Total Liabililies' THEN 'total_liabilities' END AS field FROM ({_CELLS}) x""",
 )
 def _(t):
-    cell = F.get("cells", F.lit(0))
-    return _rows(t).select("doc_id", "page", "row_idx", F.when(plausible(cell), fuzzy_label(cell)).alias("field"))
+    may_be = plausible(F.col("c"))
+    return _cells(t).select("doc_id", "page", "row_idx", "cell", F.when(may_be, fuzzy_label(F.when(may_be, F.col("c")))).alias("field"))
 
 
 @query(
@@ -294,10 +313,14 @@ def _words(t):
 
 @query(
     "joi10_words_for_span",
-    """SELECT doc_id, CAST(len(regexp_extract_all(substr(text, 21, 60), '\\S+')) AS BIGINT) AS n FROM {v_payslip} WHERE substr(text, 20, 1) <> ' ' OR true""",
+    """SELECT doc_id, CAST(len(regexp_extract_all(substr(text, CAST(k % 50 AS BIGINT) + 1, length(text) - CAST(k % 50 + k % 31 AS BIGINT)), '\\S+')) AS BIGINT) AS n FROM {v_payslip}""",
 )
 def _(t):
-    spans = t["v_payslip"].select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("item_idx"), F.lit(20).alias("start"), F.lit(80).alias("end"))
+    # another range of every text, up to the whole of it
+    k = F.col("k")
+    spans = t["v_payslip"].select(
+        "doc_id", F.lit(0).alias("page"), F.lit(0).alias("item_idx"), (k % 50).cast("int").alias("start"), (F.length("text") - k % 31).cast("int").alias("end")
+    )
     return G.words_for_span(spans, _words(t)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 

@@ -204,15 +204,18 @@ def _(t):
 
 @query(
     "mat3_find_dewrapped",
-    """SELECT doc_id, CAST(position(chr(10) in text) - 4 AS INT) AS start, true AS found FROM {documents} WHERE regexp_matches(text, '^[^\\n\\r]{{6,}}\\n[^\\n\\r]{{4}}')
-         AND position(substr(text, position(chr(10) in text) - 3, 3) || substr(text, position(chr(10) in text) + 1, 4) in replace(replace(text, chr(10), ''), chr(13), '')) = position(chr(10) in text) - 3""",
+    """SELECT doc_id, CAST(kept[p] - 1 AS INT) AS start, CAST(kept[p + length(v) - 1] AS INT) AS "end" FROM (
+         SELECT doc_id, v, position(v in flat) AS p, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) NOT IN (chr(10), chr(13))) AS kept FROM (
+           SELECT doc_id, text, replace(replace(text, chr(10), ''), chr(13), '') AS flat,
+             substr(replace(replace(text, chr(10), ''), chr(13), ''), greatest(length(replace(replace(text, chr(10), ''), chr(13), '')) - 9, 1), 10) AS v FROM {documents}) a) b
+       WHERE p > 0""",
 )
 def _(t):
-    c = F.col("text")
-    at = F.position(F.lit("\n"), c)
-    value = F.concat(F.substring(c, at - 3, F.lit(3)), F.substring(c, at + 1, F.lit(4)))
-    df = t.spread("documents").filter(c.rlike(r"^[^\n\r]{6,}\n[^\n\r]{4}")).withColumn("hit", text.find_dewrapped(c, value))
-    return df.filter(F.col("hit.start") == at - 4).select("doc_id", F.col("hit.start").alias("start"), F.lit(True).alias("found"))
+    # the last ten characters of each text without its line breaks, found again in the text
+    flat = text.dewrap(F.col("text"))
+    value = F.substring(flat, F.greatest(F.length(flat) - 9, F.lit(1)), F.lit(10))
+    df = t.spread("documents").withColumn("value", value).withColumn("hit", text.find_dewrapped(F.col("text"), F.col("value")))
+    return df.filter("hit IS NOT NULL").select("doc_id", "hit.start", "hit.end")
 
 
 # --- rules ---------------------------------------------------------------------------
@@ -329,9 +332,18 @@ def _(t):
     return shown.join(df.select("doc_id", "type"), "doc_id").groupBy("type", "key").agg(F.count("*").alias("n"))
 
 
-@query("acl7_sensitive_keys", "SELECT 'abn,account_number,address,annual_salary,bsb,employer_address,employer_name,income,name,phone,salary,total_assets,total_current_assets,total_current_liabilities,total_equity,total_liabilities' AS keys, count(*) AS n FROM {documents}")
+@query(
+    "acl7_sensitive_keys",
+    """SELECT doc_id, array_to_string(list_filter(['abn', 'account_number', 'address', CASE WHEN k % 5 = 0 THEN 'annual_salary' END, 'bsb', 'employer_name', 'income',
+         CASE WHEN k % 10 <> 0 THEN 'name' END, CASE WHEN k % 6 = 0 THEN 'phone' END, 'salary'], lambda x: x IS NOT NULL), ',') AS keys FROM {v_payslip_values}""",
+)
 def _(t):
-    return t.spread("documents").groupBy(F.array_join(spans.sensitive_keys(), ",").alias("keys")).agg(F.count("*").alias("n"))
+    # of the keys a document has, those that are hidden from others
+    df = extract_au.with_text_fields(t.spread("v_payslip"), is_person=lambda c: F.lit(False))
+    kinds = dict(df.dtypes)
+    has = lambda k: F.size(k) > 0 if kinds[k].startswith("array") else F.col(k).isNotNull()
+    present = F.array_compact(F.array(*[F.when(has(k), F.lit(k)) for k in extract_au.TEXT_KEYS]))
+    return df.select("doc_id", F.array_join(F.array_sort(F.array_intersect(present, spans.sensitive_keys())), ",").alias("keys"))
 
 
 # --- spans ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..operators.ordered import running_sum
 
 
@@ -22,14 +22,65 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def csv_rows_as_text(text: Column) -> Column:
-    """CSV text with each row's values joined by a space (SRC2). Quoting follows the CSV
-    rules of the standard library, one whole document at a time."""
+def regular_csv_as_text(text: Column) -> Column:
+    """CSV text with each row's values joined by a space: quotes taken off, doubled quotes inside
+    them made single, line breaks inside them kept. NULL for irregular quoting: a quote in
+    the middle of a bare value, text right after a closing quote, a quote left open.
+
+    A quote opens a value only at its start, so cutting at quotes gives stretches outside and
+    inside of them in turn; outside, commas become blanks and row ends become line breaks."""
+
+    def outside(piece: Column) -> Column:
+        # the reader ends a row at any of the three line ends and knows no row after the last
+        return F.translate(F.regexp_replace(piece, r"\r\n|\r", "\n"), ",", " ")
+
+    def join(p: Column) -> Column:
+        last = F.size(p) - 1
+        # an empty stretch between two quotes, not at the text's ends, is a doubled quote
+        doubled = lambda i: (i > 0) & (i < last)
+        made = F.transform(
+            p,
+            lambda x, i: F.when(i % 2 == 1, x).when(doubled(i) & (x == ""), F.lit('"')).otherwise(outside(x)),
+        )
+        whole = F.array_join(made, "")
+        # blank rows give blank lines; the end of the last row starts no row
+        ended = (last % 2 == 0) & F.element_at(p, -1).rlike(r"[\r\n]$")
+        return F.when(ended, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+
+    def odd(p: Column) -> Column:
+        last = F.size(p) - 1
+        broken = F.transform(
+            p,
+            lambda x, i: (i % 2 == 0)
+            & (
+                ((i < last) & ~((x == "") | x.rlike(r"[,\r\n]$")))  # before an opening quote
+                | ((i > 0) & ~((x == "") | x.rlike(r"^[,\r\n]")))  # after a closing one
+            ),
+        )
+        # the library's reader also stops inside an open quote, and drops what is unquoted and NUL
+        return F.exists(broken, lambda b: b) | (last % 2 == 1)
+
+    return let(F.split(text, '"', -1), lambda p: F.when(~odd(p), join(p)))
+
+
+def csv_rows_as_text(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add ``out``: the CSV text of ``column`` with each row's values joined by a space (SRC2).
+    Only texts with irregular quoting go through the standard library's reader."""
+    bare = F.regexp_replace(column, "^\ufeff", "")
+    work = df.withColumn("__bare", bare).withColumn("__regular", regular_csv_as_text(F.col("__bare")))
+    read = F.pandas_udf(_csv_reader(), StringType())(F.when(F.col("__regular").isNull(), F.col("__bare")))
+    return work.withColumn("__read", read).withColumn(out, F.coalesce("__regular", "__read")).drop("__bare", "__regular", "__read")
+
+
+def _csv_reader():
+    """Function of a series of whole CSV texts, values of any length."""
 
     def flatten(texts):
         import csv
         import io
 
+        csv.field_size_limit(2**31 - 1)
+
         def one(value):
             return "\n".join(" ".join(row) for row in csv.reader(io.StringIO(value, newline="")))
 
@@ -38,17 +89,16 @@ def csv_rows_as_text(text: Column) -> Column:
     import pandas as pd
 
     flatten.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(flatten, StringType())(F.regexp_replace(text, "^﻿", ""))
+    return flatten
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, filename, text`` of CSV files, byte-order mark removed (SRC2)."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
-    return files.select(
-        F.sha2(F.col("_metadata.file_path"), 256).alias("doc_id"),
-        F.col("_metadata.file_name").alias("filename"),
-        csv_rows_as_text(F.col("value")).alias("text"),
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    named = files.select(
+        F.sha2(F.col("_metadata.file_path"), 256).alias("doc_id"), F.col("_metadata.file_name").alias("filename"), "value"
     )
+    return csv_rows_as_text(named, "value", "text").select("doc_id", "filename", "text")
 
 
 def _joined(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
