@@ -69,7 +69,8 @@ def unanswered(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 def percent(correct: Column, total: Column) -> Column:
     """``100*c/t`` with one decimal and a sign, ``n/a`` without truth (AGG4)."""
     share = F.try_divide(correct * F.lit(100.0), total)
-    return F.coalesce(F.concat(F.format_string("%.1f", F.bround(share, 1)), F.lit("%")), F.lit("n/a"))
+    # a NULL argument is printed, not passed on
+    return F.when(share.isNotNull(), F.concat(F.format_string("%.1f", F.bround(share, 1)), F.lit("%"))).otherwise("n/a")
 
 
 def accuracy(scored: DataFrame) -> DataFrame:
@@ -82,13 +83,22 @@ def accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
-def report_lines(scored: DataFrame) -> DataFrame:
+def report_lines(scored: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """``ord, key, line`` of the accuracy report (SNK2): header, one line per field, the
-    overall line, then every miss. Order by ``ord, key`` when writing."""
+    overall line, then every miss. Order by ``ord, key`` when writing. ``fields`` are shown in
+    their order, ``n/a`` where there is no truth; without them the fields found, by name."""
     table = accuracy(scored)
+    if fields is not None:
+        asked = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(f).alias("field")) for i, f in enumerate(fields)]))
+        listed = scored.sparkSession.range(1).select(asked.alias("a")).select("a.at", "a.field")
+        counted = listed.join(table.filter(F.col("field").isNotNull()), "field", "left").na.fill(0, ["correct", "total"])
+        counted = counted.withColumn("pct", percent(F.col("correct"), F.col("total")))
+        shown = counted.withColumn("key", F.lpad(F.col("at").cast("string"), 4, "0"))
+    else:
+        shown = table.filter(F.col("field").isNotNull()).withColumn("key", F.col("field"))
     counts = F.format_string("%3d / %3d  (%s)", "correct", "total", "pct")
-    per_field = table.filter(F.col("field").isNotNull()).select(
-        F.lit(2).alias("ord"), F.col("field").alias("key"),
+    per_field = shown.select(
+        F.lit(2).alias("ord"), "key",
         F.concat(F.lit("  "), F.rpad("field", 15, " "), F.lit(": "), counts).alias("line"),
     )
     overall = table.filter(F.col("field").isNull()).select(
@@ -118,9 +128,9 @@ def report_lines(scored: DataFrame) -> DataFrame:
     return head.unionByName(per_field).unionByName(overall).unionByName(miss_head).unionByName(miss_rows)
 
 
-def write_report(scored: DataFrame, path: str) -> None:
+def write_report(scored: DataFrame, path: str, fields: list[str] | None = None) -> None:
     """Write the report as text, in order, by as many tasks as it needs."""
-    report_lines(scored).orderBy("ord", "key").select("line").write.mode("overwrite").text(path)
+    report_lines(scored, fields).orderBy("ord", "key").select("line").write.mode("overwrite").text(path)
 
 
 def doc_groups(files: DataFrame) -> DataFrame:

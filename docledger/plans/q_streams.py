@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..session import scratch_path
 from ..sources.audit_log import parse_audit_lines
 from ..streaming import audit_stream, notify_stream, status_stream
@@ -32,10 +35,9 @@ def _done(q) -> int:
 
 
 def _last_snapshot(t: Tables, root: str) -> DataFrame:
-    """The snapshot of the last batch that ran, found by its folder name."""
-    found = t.spark.read.parquet(root)
-    last = found.agg(F.max("batch")).first()[0]
-    return t.spark.read.parquet(f"{root}/batch={last}")
+    """The snapshot of the last batch that ran, the newest of two folders."""
+    last = t.spark.read.parquet(root).agg(F.max("batch_id")).first()[0]
+    return audit_stream.snapshot(t.spark, root, last)
 
 
 @query("str1_stream_audit", "SELECT CAST(ts AS DATE) AS dt, method, count(*) AS n FROM {v_audit} GROUP BY 1, 2")
@@ -93,11 +95,13 @@ _STATUS_KIND = """CASE event_id % 9 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'processe
    WHEN 5 THEN 'preview_failed' WHEN 6 THEN 'preview_retry' WHEN 7 THEN 'preview_failed' ELSE 'processed' END"""
 _STATUS = f"""SELECT doc_id, bool_or(kind = 'processed') AS ai_processed,
     coalesce(max(o) FILTER (WHERE kind = 'failed') > coalesce(max(o) FILTER (WHERE kind = 'processed'), -1), false) AS ai_processing_failed,
+    CASE WHEN coalesce(max(o) FILTER (WHERE kind = 'failed') > coalesce(max(o) FILTER (WHERE kind = 'processed'), -1), false)
+         THEN arg_max(reason, o) FILTER (WHERE kind = 'failed') END AS ai_failure_reason,
     CASE WHEN max(o) FILTER (WHERE kind IN ('preview_ready', 'preview_failed')) IS NULL
            THEN CASE WHEN bool_or(kind IN ('preview_requested', 'preview_retry')) THEN 'GENERATING' ELSE 'NOT_STARTED' END
          WHEN arg_max(kind, o) FILTER (WHERE kind IN ('preview_ready', 'preview_failed')) = 'preview_ready' THEN 'READY'
          WHEN max(o) FILTER (WHERE kind = 'preview_retry') > max(o) FILTER (WHERE kind = 'preview_failed') THEN 'GENERATING' ELSE 'FAILED' END AS redacted_preview_status
-  FROM (SELECT CAST(event_id * 7 % 1013 AS VARCHAR) AS doc_id, {_STATUS_KIND} AS kind, row_number() OVER (ORDER BY ts, event_id) AS o FROM {{events}}) s GROUP BY doc_id"""
+  FROM (SELECT CAST(event_id * 7 % 1013 AS VARCHAR) AS doc_id, {_STATUS_KIND} AS kind, 'reason ' || CAST(event_id AS VARCHAR) AS reason, row_number() OVER (ORDER BY ts, event_id) AS o FROM {{events}}) s GROUP BY doc_id"""
 
 
 def _status_events(events: DataFrame) -> DataFrame:
@@ -111,16 +115,16 @@ def _status_events(events: DataFrame) -> DataFrame:
 def _(t):
     root = scratch_path(t.spark, "stream-status")
     _done(status_stream.stream_status(_status_events(_stream(t, "events")), f"{root}/status", f"{root}/checkpoint"))
-    return _last_snapshot(t, f"{root}/status").select("doc_id", "ai_processed", "ai_processing_failed", "redacted_preview_status")
+    return _last_snapshot(t, f"{root}/status").select("doc_id", "ai_processed", "ai_processing_failed", "ai_failure_reason", "redacted_preview_status")
 
 
 @query("str5_status_of_events", _STATUS)
 def _(t):
-    return status_stream.status_of(_status_events(t["events"])).select("doc_id", "ai_processed", "ai_processing_failed", "redacted_preview_status")
+    return status_stream.status_of(_status_events(t["events"])).select("doc_id", "ai_processed", "ai_processing_failed", "ai_failure_reason", "redacted_preview_status")
 
 
 _STUCK = """SELECT CAST(u.event_id // 5 AS VARCHAR) AS doc_id, u.ts AS uploaded_at FROM {events} u
-   WHERE u.event_id % 5 = 0 AND u.ts < (SELECT max(ts) FROM {events}) - INTERVAL 2 HOUR AND NOT EXISTS (SELECT 1 FROM {events} o WHERE o.event_id % 5 <> 0
+   WHERE u.event_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM {events} o WHERE o.event_id % 5 <> 0
      AND o.event_type IN ('view', 'click') AND o.event_id // 5 = u.event_id // 5 AND o.ts >= u.ts AND o.ts <= u.ts + INTERVAL 200 SECOND)"""
 
 
@@ -131,25 +135,31 @@ def _uploads_and_outcomes(events: DataFrame):
     return ups, outs
 
 
-def _settled(t: Tables, stuck: DataFrame) -> DataFrame:
-    last = t["events"].agg(F.max("ts")).first()[0]
-    return stuck.withColumn("uploaded_at", F.col("uploaded_at").cast("timestamp_ntz")).filter(
-        F.col("uploaded_at") < F.lit(last).cast("timestamp_ntz") - F.expr("interval 2 hours")
-    ).select("doc_id", "uploaded_at")
-
-
 @query("str6_stream_stuck", _STUCK)
 def _(t):
     root = scratch_path(t.spark, "stream-stuck")
-    ups, outs = _uploads_and_outcomes(_stream(t, "events"))
-    out = status_stream.stream_stuck(ups, outs)
+    # a later upload and outcome end the log: they move the watermark past every deadline
+    last = t["events"].agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    closing = last.select(F.explode(F.array(F.lit(-10).cast("long"), F.lit(-9).cast("long"))).alias("event_id"), "ts", F.lit("view").alias("event_type"))
+    t["events"].select("event_id", "ts", "event_type").unionByName(closing).write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(t.spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+    out = status_stream.stream_stuck(*_uploads_and_outcomes(stream))
     _done(notify_stream.append_stream(out, f"{root}/out", f"{root}/checkpoint"))
-    return _settled(t, t.spark.read.parquet(f"{root}/out"))
+    found = t.spark.read.parquet(f"{root}/out").filter("doc_id <> '-2'")
+    return found.select("doc_id", F.col("uploaded_at").cast("timestamp_ntz").alias("uploaded_at"))
 
 
-@query("str6_stuck_in_stored_events", _STUCK)
+@query(
+    "str6_stuck_in_stored_events",
+    """SELECT CAST(u.event_id // 5 AS VARCHAR) AS doc_id, u.ts AS uploaded_at, d.limit_s FROM {events} u, (SELECT CAST(180 AS INT) AS limit_s UNION ALL SELECT 200 UNION ALL SELECT 600) d
+       WHERE u.event_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM {events} o WHERE o.event_id % 5 <> 0 AND o.event_type IN ('view', 'click')
+         AND o.event_id // 5 = u.event_id // 5 AND o.ts >= u.ts AND o.ts <= u.ts + to_seconds(d.limit_s))""",
+)
 def _(t):
-    return _settled(t, status_stream.stream_stuck(*_uploads_and_outcomes(t["events"])))
+    # a log that is complete: every upload is settled, for the service's and the clients' deadlines
+    limits = (V.CLIENT_DEADLINES[0], V.EXPECTED_SECONDS, V.CLIENT_DEADLINES[1])
+    found = [status_stream.stream_stuck(*_uploads_and_outcomes(t["events"]), limit_s=n).withColumn("limit_s", F.lit(n)) for n in limits]
+    return reduce(DataFrame.unionByName, found).select("doc_id", F.col("uploaded_at").cast("timestamp_ntz").alias("uploaded_at"), "limit_s")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import amounts, cleaning, extract_au, extract_vn, text
 from ..operators import merge, rules, scoring, spans
+from ..session import scratch_path
 from .registry import query
 
 _LABEL = {k: p.replace("(?iU)", "(?i)") for k, p in V.AU_LABELS.items()}
@@ -626,18 +627,27 @@ def _(t):
     return s.agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"))
 
 
+_REPORT_FIELDS = ["name", "bsb", "abn", "phone", "income"]
+_PAD = "CASE WHEN length(CAST({x} AS VARCHAR)) < 3 THEN lpad(CAST({x} AS VARCHAR), 3, ' ') ELSE CAST({x} AS VARCHAR) END"
+
+
 @query(
     "snk2_report_lines",
-    f"""SELECT * FROM (
-      SELECT 0 AS ord, 'Documents scored: ' || CAST(count(DISTINCT doc_id) AS STRING) AS line FROM ({_CORRECT}) s
-      UNION ALL SELECT 2, '  ' || rpad(field, 15, ' ') || ': ' || CASE WHEN length(c) < 3 THEN lpad(c, 3, ' ') ELSE c END || ' / ' || CASE WHEN length(n) < 3 THEN lpad(n, 3, ' ') ELSE n END || '  (' || p || ')'
-        FROM (SELECT field, CAST(count(*) FILTER (WHERE correct) AS STRING) AS c, CAST(count(*) AS STRING) AS n, {_PCT} AS p FROM ({_CORRECT}) s GROUP BY field) f
-      UNION ALL SELECT 3, 'Overall: ' || CAST(count(*) FILTER (WHERE correct) AS STRING) || ' / ' || CAST(count(*) AS STRING) || '  (' || {_PCT} || ')' FROM ({_CORRECT}) s
-      UNION ALL SELECT 4, 'Misses (' || CAST(count(*) FILTER (WHERE NOT correct) AS STRING) || '):' FROM ({_CORRECT}) s) r""",
-)
-def _(t):
-    lines = scoring.report_lines(scoring.score_fields(t["v_payslip_truth"], _prediction(t)))
-    return lines.filter(F.col("ord") < 5).select("ord", "line")
+    f"""SELECT line FROM (
+      SELECT 'Documents scored: ' || CAST(count(DISTINCT doc_id) AS STRING) AS line FROM ({_CORRECT}) s
+      UNION ALL SELECT '  ' || rpad(field, 15, ' ') || ': ' || {_PAD.format(x="c")} || ' / ' || {_PAD.format(x="n")} || '  (' || coalesce(p, 'n/a') || ')'
+        FROM (SELECT f.field, coalesce(c, 0) AS c, coalesce(n, 0) AS n, p FROM (SELECT unnest({_REPORT_FIELDS}) AS field) f
+          LEFT JOIN (SELECT field, count(*) FILTER (WHERE correct) AS c, count(*) AS n, {_PCT} AS p FROM ({_CORRECT}) s GROUP BY field) g ON g.field = f.field) h
+      UNION ALL SELECT 'Overall: ' || CAST(count(*) FILTER (WHERE correct) AS STRING) || ' / ' || CAST(count(*) AS STRING) || '  (' || {_PCT} || ')' FROM ({_CORRECT}) s
+      UNION ALL SELECT 'Misses (' || CAST(count(*) FILTER (WHERE NOT correct) AS STRING) || '):' FROM ({_CORRECT}) s
+      UNION ALL SELECT '  ' || t.doc_id || ' field=income expected=' || t.expected || ' got=' || CASE WHEN v.pay >= 1000 THEN CAST(CAST(v.pay AS DOUBLE) + 0.5 AS VARCHAR) ELSE CAST(CAST(v.pay AS DOUBLE) + 0.5 AS VARCHAR) END
+        FROM {{v_payslip_truth}} t JOIN {{v_payslip_values}} v ON v.doc_id = t.doc_id WHERE t.field = 'income' AND (v.k % 9 = 0 OR v.k % 7 = 0)) r""",
+)
+def _(t):
+    # the written file, read back
+    root = scratch_path(t.spark, "report")
+    scoring.write_report(scoring.score_fields(t["v_payslip_truth"], _prediction(t)), root, _REPORT_FIELDS)
+    return t.spark.read.text(root).select(F.col("value").alias("line"))
 
 
 @query(

@@ -33,24 +33,30 @@ def stream_newest(
     """Keep the newest ``n`` entries (STR2).
 
     Each batch joins the snapshot of the batch before it with the newest of its own
-    entries, and writes the next snapshot. A batch that is run again after a failure reads
-    the same snapshot and overwrites the same folder, so nothing is counted twice.
+    entries, and writes the next snapshot. Two folders take turns. A batch that is run again
+    after a failure reads the same snapshot and overwrites the same folder, so nothing is
+    counted twice.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         merged = newest_n(batch, n)
         if batch_id > 0:
-            merged = newest_n(spark.read.parquet(f"{snapshots}/batch={batch_id - 1}").unionByName(merged), n)
-        merged.write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+            merged = newest_n(snapshot(spark, snapshots, batch_id - 1).unionByName(merged), n)
+        write_snapshot(merged, snapshots, batch_id)
 
     writer = entries.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def newest_snapshot(spark: SparkSession, snapshots: str, batch_id: int) -> DataFrame:
-    """The buffer after a batch."""
-    return spark.read.parquet(f"{snapshots}/batch={batch_id}")
+def write_snapshot(rows: DataFrame, snapshots: str, batch_id: int) -> None:
+    """Write what holds after a batch, over what held two batches before."""
+    rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{snapshots}/side={batch_id % 2}")
+
+
+def snapshot(spark: SparkSession, snapshots: str, batch_id: int) -> DataFrame:
+    """What holds after a batch, the last or the one before it."""
+    return spark.read.parquet(f"{snapshots}/side={batch_id % 2}").filter(F.col("batch_id") == batch_id).drop("batch_id")
 
 
 def throttled(spark: SparkSession, path: str, schema: str, max_files: int = 50, fmt: str = "json") -> DataFrame:
@@ -66,9 +72,11 @@ def write_with_dead_letters(
     dropped (STR8)."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        marked = batch.withColumn("batch_id", F.lit(batch_id))
+        # kept while it is written twice, so that the work is done once
+        marked = batch.withColumn("batch_id", F.lit(batch_id)).persist()
         marked.filter(F.col(error).isNull()).write.mode("overwrite").parquet(os.path.join(out, f"part={batch_id}"))
         marked.filter(F.col(error).isNotNull()).write.mode("overwrite").parquet(os.path.join(dead, f"part={batch_id}"))
+        marked.unpersist()
 
     writer = processed.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

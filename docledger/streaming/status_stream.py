@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed_values as V
+from .audit_stream import snapshot, write_snapshot
 
 # kinds: uploaded, processed, failed, preview_requested, preview_retry, preview_ready, preview_failed
 
@@ -63,16 +64,17 @@ def stream_status(events: DataFrame, snapshots: str, checkpoint: str, once: bool
     """Keep the current status of every document (STR5).
 
     Each batch brings only the documents that changed; they replace their rows of the
-    snapshot before it. A batch run again after a failure rewrites the same snapshot.
+    snapshot before it. Two folders take turns; a batch run again after a failure rewrites
+    the same one.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         out = batch
         if batch_id > 0:
-            before = spark.read.parquet(f"{snapshots}/batch={batch_id - 1}")
+            before = snapshot(spark, snapshots, batch_id - 1)
             out = batch.unionByName(before.join(batch.select("doc_id"), "doc_id", "left_anti"))
-        out.write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+        write_snapshot(out, snapshots, batch_id)
 
     writer = status_of(events).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
