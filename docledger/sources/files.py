@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import let, strip
-from ..operators.ordered import running_sum
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -134,29 +137,50 @@ def text_length(pages: DataFrame) -> DataFrame:
 
 
 # --- HTML ----------------------------------------------------------------------------
-# fixed values: named entities found in table markup
-_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&pound;": "£", "&euro;": "€",
-}
+#: A character reference, or the text up to the next one.
+_REFERENCE = r"(?s)&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]{0,31};?|.[^&]*"
+
+
+def _named() -> tuple[Column, str]:
+    """The standard's names (from the library's table) as a literal map, and a pattern of those
+    that need no semicolon, longest first."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    table = F.from_json(F.lit(json.dumps(html5, ensure_ascii=False)), "map<string,string>")
+    return table, "^&(" + "|".join(bare) + ")"
 
 
 def unescape(c: Column) -> Column:
-    """Named and numeric character references as characters; ``&amp;`` last."""
+    """Character references as characters: all names of the standard, with the semicolon where
+    it may not be missing; numbers; code points that stand for others in old pages."""
+    table, prefix = _named()
+
+    def from_number(code: Column) -> Column:
+        # what browsers read in the place of code points that are no characters
+        char = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | code.isNull(), "\ufffd")
+        char = char.when(code == 0x0D, "\r")
+        page = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
+        windows = F.substring(F.lit(page), (code - 0x7F).cast("int"), F.lit(1))
+        kept = code.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D)  # no sign in that page: the code point itself
+        char = char.when(code.between(0x80, 0x9F) & ~kept, windows)
+        nothing = code.between(1, 8) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | (code == 0xB)
+        nothing = (nothing & ~kept) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        return char.when(nothing, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
     def decode(token: Column) -> Column:
-        digits = F.regexp_extract(token, r"^&#([0-9]+);$", 1)
-        hexa = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-        code = F.coalesce(F.nullif(hexa, F.lit("")), F.hex(digits.try_cast("long")))
-        return F.when(
-            token.rlike(r"^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});$"),
-            F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"),
+        digits = F.regexp_extract(token, r"^&#([0-9]+);?$", 1)
+        hexa = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
+        # a number of more digits than a code point has is none
+        code = F.when(hexa != "", F.conv(F.when(F.length(F.ltrim(hexa)) <= 15, hexa), 16, 10).try_cast("long")).otherwise(digits.try_cast("long"))
+        whole = F.try_element_at(table, F.substring(token, 2, 64))
+        short = F.regexp_extract(token, prefix, 1)
+        part = F.concat(F.try_element_at(table, short), F.substring(token, F.length(short) + 2, F.length(token)))
+        named = F.coalesce(whole, F.when(short != "", part), token)
+        return F.when(token.startswith("&#"), F.when((hexa == "") & (digits == ""), token).otherwise(let(code, from_number))).when(
+            token.startswith("&"), named
         ).otherwise(token)
 
-    tokens = F.regexp_extract_all(c, F.lit(r"(?s)&#[xX]?[0-9a-fA-F]+;|.[^&]*"), F.lit(0))
-    out = F.when(c.contains("&#"), F.array_join(F.transform(tokens, decode), "")).otherwise(c)
-    for name, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    tokens = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
+    return F.when(c.contains("&"), F.array_join(F.transform(tokens, decode), "")).otherwise(c)
 
 
 def table_cells(html: Column) -> Column:
@@ -174,13 +198,7 @@ def table_cells(html: Column) -> Column:
 def html_rows(tables: DataFrame) -> DataFrame:
     """``doc_id, page, row_idx, cells`` from ``doc_id, page, table_idx, html`` (SRC5); the
     row index runs over all tables of a page, in table order."""
-    rows = tables.select(
-        "doc_id", "page", "table_idx", F.posexplode(table_cells(F.col("html"))).alias("i", "cells")
-    )
-    sizes = tables.select("doc_id", "page", "table_idx", F.size(table_cells(F.col("html"))).cast("long").alias("n"))
-    offsets = running_sum(
-        sizes, ["doc_id", "page"], ["table_idx"], F.col("n"), "offset", [F.floor(F.col("table_idx") / 1024)]
-    ).select("doc_id", "page", "table_idx", "offset")
-    return rows.join(offsets, ["doc_id", "page", "table_idx"]).select(
-        "doc_id", "page", (F.col("i") + F.col("offset")).cast("int").alias("row_idx"), "cells"
-    )
+    rows = tables.select("doc_id", "page", "table_idx", F.posexplode(table_cells(F.col("html"))).alias("i", "cells"))
+    # the rows of one page are numbered in one task, as its tables are read from one page
+    at = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("table_idx", "i")) - 1
+    return rows.select("doc_id", "page", at.alias("row_idx"), "cells")
