@@ -186,6 +186,16 @@ def resolve_actions(audit: DataFrame, docs: DataFrame, users: DataFrame, departm
 
 
 # --- who may do what -----------------------------------------------------------------
+def delete_scopes(users: DataFrame) -> DataFrame:
+    """``user_id, scope, key``: what each user may delete, one row for each user (ACL1): the
+    documents of an ``uploader``, of a ``department`` (none without one), or ``all``."""
+    role = F.col("role")
+    scope = F.when(role == "STAFF", "uploader").when(role == "MANAGER", "department").when(role == "ADMIN", "all")
+    key = F.when(role == "STAFF", F.col("id")).when(role == "MANAGER", F.col("department_id"))
+    scopes = users.select(F.col("id").alias("user_id"), scope.alias("scope"), key.alias("key"))
+    return scopes.filter((F.col("scope") == "all") | F.col("key").isNotNull())
+
+
 def can_delete(docs: DataFrame, users: DataFrame) -> DataFrame:
     """``doc_id, user_id`` pairs allowed by role: own uploads, own department, everything
     (ACL1). A missing department equals nothing.

@@ -259,6 +259,15 @@ def _(t):
     )
 
 
+@query(
+    "acl1_delete_scopes",
+    """SELECT id AS user_id, CASE role WHEN 'STAFF' THEN 'uploader' WHEN 'MANAGER' THEN 'department' ELSE 'all' END AS scope,
+         CASE role WHEN 'STAFF' THEN id WHEN 'MANAGER' THEN department_id END AS key FROM {v_user} WHERE role = 'ADMIN' OR role = 'STAFF' OR department_id IS NOT NULL""",
+)
+def _(t):
+    return views.delete_scopes(t["v_user"])
+
+
 # --- the documents list ------------------------------------------------------------
 _REQUESTERS = {
     "STAFF": "SELECT min(CAST(uploader_id AS BIGINT)) FROM {v_document} d JOIN {v_user} u ON u.id = d.uploader_id WHERE u.role = 'STAFF' AND NOT d.is_deleted",
