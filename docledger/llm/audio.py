@@ -42,6 +42,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from .common import small_batches
+
 SOURCE_RATE = 16_000
 UP, DOWN = 3, 4
 RATE = SOURCE_RATE * UP // DOWN
@@ -195,7 +197,7 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = [payload_of(t) for t in texts]
         return pd.DataFrame({"media": [store(p) for p, _ in rows], "n_bytes": [n for _, n in rows]})
 
-    return docs.withColumn("__m", stored(F.col(text))).select(*docs.columns, "__m.media", "__m.n_bytes")
+    return small_batches(docs).withColumn("__m", stored(F.col(text))).select(*docs.columns, "__m.media", "__m.n_bytes")
 
 
 def with_features(media: DataFrame, column: str = "media") -> DataFrame:
@@ -218,7 +220,7 @@ def with_features(media: DataFrame, column: str = "media") -> DataFrame:
             ))
         return pd.DataFrame(rows, columns=_READ.names)
 
-    return media.withColumn("__f", read(F.col(column))).select(*media.columns, "__f.*")
+    return small_batches(media).withColumn("__f", read(F.col(column))).select(*media.columns, "__f.*")
 
 
 def tensor_table(rows: pa.Table, tensor: str = "tensor") -> pa.Table:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that a Python task gets at once.
+_BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python at most 8 MB of rows at once (or one longer row):
+    texts differ in length by orders of magnitude, and a batch of them is held several
+    times over. A lower setting of the session's own is kept."""
+    spark = df.sparkSession
+    conf = spark.conf
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(_BATCH))
+    if not 0 < now <= _BATCH_BYTES:
+        conf.set(_BATCH, str(_BATCH_BYTES))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row. Inside a lambda a plain
     expression would be computed again for every element."""
@@ -29,15 +43,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U64(27))
     x = x * _U64(0x94D049BB133111EB)
     return x ^ (x >> _U64(31))
-
-
-def slices(frames: Iterable[pd.DataFrame], column: str, chars: int) -> Iterator[pd.DataFrame]:
-    """Cut frames so that one piece holds about ``chars`` characters of ``column`` (a longer
-    text is a piece of its own): memory follows the text, not the number of rows."""
-    for frame in frames:
-        if not len(frame):
-            continue
-        size = frame[column].str.len().fillna(0).to_numpy(dtype="int64", na_value=0)
-        part = np.cumsum(size) // chars
-        for _, rows in frame.groupby(part, sort=False):
-            yield rows

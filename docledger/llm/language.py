@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import small_batches
+
 UNKNOWN = "und"
 WINDOW = 128
 SPAN = 384
@@ -236,7 +238,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", chars:
                     begin, size = end, 0
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("__label", label(F.col(text))).select(
+    return small_batches(docs).withColumn("__label", label(F.col(text))).select(
         *[c for c in docs.columns if c not in ("lang_pred", "score")], "__label.lang_pred", "__label.score"
     )
 

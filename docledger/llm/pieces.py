@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -267,7 +267,7 @@ def encode(
                 made = {"ids": ids} | ({"decoded": [_decode(i, held.value.raw) for i in ids]} if decoded else {})
                 yield pd.DataFrame(made, dtype=object)
 
-    coded = docs.withColumn("__coded", sampled(F.col(text), F.xxhash64(F.col(key))))
+    coded = small_batches(docs).withColumn("__coded", sampled(F.col(text), F.xxhash64(F.col(key))))
     coded = coded.withColumn(out, F.col("__coded.ids"))
     return (coded.withColumn(decoded, F.col("__coded.decoded")) if decoded else coded).drop("__coded")
 
@@ -280,7 +280,7 @@ def decode(ids: DataFrame, vocabulary: Vocabulary, column: str = "ids", out: str
     def joined(rows: pd.Series) -> pd.Series:
         return pd.Series([_decode(r, held.value.raw) for r in rows], dtype=object)
 
-    return ids.withColumn(out, joined(F.col(column)))
+    return small_batches(ids).withColumn(out, joined(F.col(column)))
 
 
 def _decode(ids: np.ndarray | None, raw: list[bytes]) -> str | None:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, small_batches
 from .language import fold
 
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|[^\p{L}\p{N}\s]+")
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, bits: int = 18
         with np.errstate(over="ignore"):
             return pd.Series([of(t).astype(np.int32) for t in text], dtype=object)
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     made = rows.select(F.xxhash64("doc_id", "text").alias("h"), "quality", hashed("text").alias("f"))
     found = made.orderBy("h", "quality").limit(sample).toArrow()
     labels_of, features = found["quality"].to_numpy(), [x.values.to_numpy() for x in found["f"]]
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
         with np.errstate(over="ignore"):
             return pd.Series([m.score(of(t)) for t in text], dtype=float)
 
-    return docs.withColumn(out, scored(F.col(text)))
+    return small_batches(docs).withColumn(out, scored(F.col(text)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
