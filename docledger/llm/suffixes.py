@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..session import cut
-from .common import mix
+from .common import mix, small_batches
 
 _NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -92,7 +92,7 @@ class Words:
 
 def _named(docs: DataFrame) -> DataFrame:
     """``doc``: the id, with the least long for null; ``row``: a name of the id and text."""
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    return small_batches(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def _suffixes(docs: DataFrame, length: int, k: int, w: int) -> DataFrame:
@@ -171,7 +171,8 @@ def repeated_runs(docs: DataFrame, length: int, k: int, w: int) -> DataFrame:
             F.min(F.struct("doc", "row", "lo", "n")).alias("at"), F.min("row").alias("low"), F.max("row").alias("high")
         )
     )
-    mixed = classes.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1").select("head")
+    # written, so that the joins on it are of two plain shuffles: Spark splits a hot head then
+    mixed = cut(classes.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1").select("head"))
     pure = classes.join(mixed, "head", "left_anti").filter("low <> high")
     whole = pure.select("head", "ext", F.lit(0).alias("off"), F.lit(None).cast("int").alias("many"), "at.doc", "at.row", F.col("at.lo").alias("start"))
     single = _compared(docs, cut(classes.join(mixed, "head", "left_semi")), length).withColumn("many", F.lit(1))
@@ -219,6 +220,7 @@ def _compared(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
         .filter("low <> high")
         .select("h1", "h2", "p")
     )
+    groups = cut(groups)
     return windows.select("head", "ext", "off", "h1", "h2").join(groups, ["h1", "h2"]).select("head", "ext", "off", "p.doc", "p.row", "p.start")
 
 
