@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from ..session import cut
 from .bktree import Forest, merged
-from .common import mix
+from .common import mix, small_batches
 
 _PRINT = StructType([StructField("fp", BinaryType()), StructField("minima", ArrayType(LongType()))])
 #: Ids from here up stand for nodes whose rows have no id at all.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, minima: int =
             rows = [_fingerprint(shingle_hashes(t, words), bits, minima) for t in text]
         return pd.DataFrame(rows, columns=["fp", "minima"])
 
-    return docs.select("doc_id", prints("text").alias("p")).select("doc_id", "p.fp", "p.minima")
+    return small_batches(docs).select("doc_id", prints("text").alias("p")).select("doc_id", "p.fp", "p.minima")
 
 
 def block_shards(bits: int, radius: int, blocks: int) -> Column:
@@ -107,7 +107,8 @@ def near_links(nodes: DataFrame, radius: int, cap: int = 2048) -> DataFrame:
     ``nodes``: (id long, fp, shards array<long>). Within a task, links that add nothing to
     the connection are not returned, so a dense group gives about as many links as nodes."""
     keyed = nodes.select("id", "fp", F.explode(F.array_distinct("shards")).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join on it is of two plain shuffles: Spark splits a hot shard then
+    sizes = cut(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"))
     parts = F.ceil(F.col("n") / F.lit(cap)).cast("int")
     dealt = (
         keyed.join(sizes, "shard")
@@ -176,7 +177,8 @@ def near_duplicates(
         .join(found.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left")
         .withColumn("root", F.coalesce("root", "id"))
     )
-    names = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
+    placed = cut(placed)
+    names = cut(placed.groupBy("root").agg(F.min("doc").alias("component_id")))
     placed = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
     known = F.when(F.col("component_id") < F.lit(_NO_ID), F.col("component_id"))
     return prints.select("doc_id", "fp").join(placed, "fp").select("doc_id", "fp", known.alias("component_id"))
