@@ -74,6 +74,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .select(F.col("digest").alias("of"), "keeper", F.lit(True).alias("known"))
     )
     # joined by a sort: the pages' shuffle deals out the archives, and Spark splits a hot digest
+    # as both sides are plain shuffles
+    keeper = cut(keeper)
     joined = read.join(keeper.hint("merge"), F.col("digest") == F.col("of"), "left")
     revisit = F.col("known") & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     revisit = F.coalesce(revisit, F.lit(False))
