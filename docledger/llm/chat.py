@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -91,19 +92,29 @@ class Model:
         """(lines, states) scores."""
         return sum(self.shows[name][:, frame[name].to_numpy()].T for name in FEATURES)
 
+    def paths(self, shown: np.ndarray, bounds: np.ndarray, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The best states of groups of lines [bounds[i], bounds[i + 1]), each after a state
+        ``before`` and ending in ``last`` (-1: in the best). All groups go one line further at a time."""
+        size = np.diff(bounds)
+        order = np.argsort(-size, kind="stable")  # those that go on stand in front
+        start, size, before, last = bounds[:-1][order], size[order], before[order], last[order]
+        back, score = np.zeros((len(shown), STATES), np.int8), self.moves[before] + shown[start]
+        for t in range(1, int(size[0]) if len(size) else 0):
+            at = start[: np.searchsorted(-size, -t)] + t
+            step = score[: len(at), :, None] + self.moves[None, :STATES]
+            back[at] = step.argmax(axis=1)
+            score[: len(at)] = step.max(axis=1) + shown[at]
+        state, out = np.where(last < 0, score.argmax(axis=1), last), np.empty(len(shown), np.int64)
+        for t in range(int(size[0]) - 1 if len(size) else -1, -1, -1):
+            at = start[: np.searchsorted(-size, -t)] + t
+            out[at] = state[: len(at)]
+            if t:
+                state[: len(at)] = back[at, state[: len(at)]]
+        return out
+
     def path(self, shown: np.ndarray, before: int, last: int | None) -> np.ndarray:
         """The best states of some lines after state ``before``, ending in ``last`` if given."""
-        n, back = len(shown), np.zeros((len(shown), STATES), np.int8)
-        score = self.moves[before] + shown[0]
-        for i in range(1, n):
-            step = score[:, None] + self.moves[:STATES]
-            back[i] = step.argmax(axis=0)
-            score = step.max(axis=0) + shown[i]
-        out = np.empty(n, np.int64)
-        out[-1] = score.argmax() if last is None else last
-        for i in range(n - 1, 0, -1):
-            out[i - 1] = back[i][out[i]]
-        return out
+        return self.paths(shown, np.array([0, len(shown)]), np.array([before]), np.array([-1 if last is None else last]))
 
     def summary(self, shown: np.ndarray) -> np.ndarray:
         """(state or start before, state at the end): the best score over some lines."""
@@ -158,24 +169,22 @@ def train(turns: DataFrame, lines: DataFrame) -> Model:
     return Model(moves, shows)
 
 
-def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of sorted frames; a group may go on in the next frame."""
-    rest: list[pd.DataFrame] = []
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Whole groups of sorted frames, many at a time, with their bounds. The last group of a
+    frame may go on in the next: it waits."""
+    rest: pd.DataFrame | None = None
     for frame in frames:
         if not len(frame):
             continue
-        frame = frame.reset_index(drop=True)
-        values = frame[keys]
-        changed = (values.iloc[1:].reset_index(drop=True) != values.iloc[:-1].reset_index(drop=True)).any(axis=1).to_numpy()
-        starts = [0, *(np.flatnonzero(changed) + 1), len(frame)]
-        for a, b in zip(starts[:-1], starts[1:]):
-            part = frame.iloc[a:b]
-            if rest and (rest[0][keys].iloc[0] != part[keys].iloc[0]).any():
-                yield pd.concat(rest, ignore_index=True)
-                rest = []
-            rest.append(part)
-    if rest:
-        yield pd.concat(rest, ignore_index=True)
+        frame = frame.reset_index(drop=True) if rest is None else pd.concat([rest, frame], ignore_index=True)
+        values = [frame[k].to_numpy() for k in keys]
+        changed = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        bounds = np.concatenate([[0], np.flatnonzero(changed) + 1])
+        rest = frame.iloc[bounds[-1] :]
+        if len(bounds) > 1:
+            yield frame.iloc[: bounds[-1]], bounds
+    if rest is not None:
+        yield rest.reset_index(drop=True), np.array([0, len(rest)])
 
 
 def states(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
@@ -192,9 +201,10 @@ def states(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
     split = cut(parts.groupBy("__conv").agg(F.count("*").alias("p")).filter("p > 1").select("__conv"))
 
     def summarise(frames):
-        for g in _groups(frames, group):
-            table = held.value.summary(held.value.emissions(g))
-            yield pd.DataFrame({"__conv": g["__conv"][:1], "__part": g["__part"][:1], "t": [table.reshape(-1).tolist()]})
+        for g, bounds in _groups(frames, group):
+            shown = held.value.emissions(g)
+            tables = [held.value.summary(shown[a:b]).reshape(-1).tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield g.iloc[bounds[:-1]][group].assign(t=tables)
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__part")
@@ -206,15 +216,14 @@ def states(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
     ends = tables.groupBy("__conv").applyInPandas(settle, "__conv long, __part int, before int, last int")
 
     def decode(frames):
-        for g in _groups(frames, group):
-            last = int(g["last"].iloc[0])
-            found = held.value.path(held.value.emissions(g), int(g["before"].iloc[0]), None if last < 0 else last)
+        for g, bounds in _groups(frames, group):
+            at = bounds[:-1]
+            found = held.value.paths(held.value.emissions(g), bounds, g["before"].to_numpy()[at], g["last"].to_numpy()[at])
             opened = np.cumsum(found % len(PARTS) == 0)
-            yield pd.DataFrame({"__row": g["__row"], "state": found, "__local": opened, "__conv": g["__conv"], "__part": g["__part"]})
+            earlier = np.repeat(np.concatenate([[0], opened[bounds[1:-1] - 1]]), np.diff(bounds))
+            yield pd.DataFrame({"__row": g["__row"], "state": found, "__local": opened - earlier, "__conv": g["__conv"], "__part": g["__part"]})
 
     # the row's place among its group's, so that texts need not pass through the decoder
-    from pyspark.sql import Window as W
-
     numbered = cut(dealt.withColumn("__row", F.row_number().over(W.partitionBy(*group).orderBy(*order, "line"))))
     asked = numbered.select(*group, "__row", *FEATURES).join(ends, group, "left")
     asked = asked.withColumns({"before": F.coalesce("before", F.lit(START)), "last": F.coalesce("last", F.lit(-1))})
