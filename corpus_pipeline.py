@@ -38,8 +38,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to weights of count ** 0.7, until one has no block left; in training order."""
-    return mixing.mixture(docs, mixing.tempered_shares(docs))
+    """All rows in training order, sources to weights of count ** 0.7 as long as they have blocks."""
+    return mixing.arranged(docs, mixing.tempered_shares(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

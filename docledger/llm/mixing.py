@@ -124,12 +124,22 @@ def exhausted(docs: DataFrame, shares: DataFrame, block: int = 16) -> int | None
     return sizes.join(F.broadcast(plan), same).agg(F.min(F.floor(F.col("b") / F.col("share")) * F.col("q") + F.col("at"))).first()[0]
 
 
+def arranged(docs: DataFrame, shares: DataFrame, block: int = 16) -> DataFrame:
+    """All of ``docs`` in the order of the mixture: the result's partitions, and files written
+    from it, follow one another in training order. A source without blocks leaves its slots
+    empty and the others go on, so weights hold up to there and no row is left out."""
+    return _in_order(schedule(docs, shares, block), docs)
+
+
 def mixture(docs: DataFrame, shares: DataFrame, block: int = 16) -> DataFrame:
-    """``docs`` up to the first slot that cannot be filled, in the order of the mixture: the
-    result's partitions, and files written from it, follow one another in training order.
-    What lies beyond would break the weights and is left out; that is the sampling."""
+    """``docs`` up to the first slot that cannot be filled, in the order of the mixture. What
+    lies beyond would break the weights and is left out: a sample as small as the source that
+    runs out first makes it. ``arranged`` keeps every row."""
     end = exhausted(docs, shares, block)
     if end is None:
         return docs
-    placed = schedule(docs, shares, block).filter(F.col("__slot") < end)
+    return _in_order(schedule(docs, shares, block).filter(F.col("__slot") < end), docs)
+
+
+def _in_order(placed: DataFrame, docs: DataFrame) -> DataFrame:
     return placed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").select(*[F.col(f"`{c}`") for c in docs.columns])

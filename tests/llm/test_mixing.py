@@ -1,5 +1,6 @@
 import collections
 
+import corpus_pipeline
 import pytest
 from cases import FOLDER, docs, empty
 from compare import compare, connect
@@ -63,3 +64,13 @@ def test_awkward_rows(spark):
     assert given["s0"] == given["s1"]
     with pytest.raises(ValueError):
         mixing.tempered_shares(docs(spark), weights={"s0": 0})
+
+
+def test_stage_keeps_every_row(spark):
+    """One source has one row, one is null, one holds nearly all."""
+    name = F.when(F.col("id") == 7, "rare").when(F.col("id") == 8, None).when(F.col("id") < 400, F.concat(F.lit("s"), F.col("id") % 3)).otherwise("hot")
+    table = spark.range(20_000).select(F.col("id").alias("doc_id"), name.alias("source"))
+    rows = corpus_pipeline.mix_sources(spark, table, FOLDER).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(20_000))
+    # training order: before the first source ends all sources take turns, the hot one goes on alone
+    assert len({r.source for r in rows[:2000]}) > 2 and {r.source for r in rows[-1000:]} == {"hot"}
