@@ -27,9 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose sets of five-word shingles are alike (similarity 0.8 or more) the
-    one with the smallest id stays. 512 fingerprint bits make the distance a close measure
-    of similarity: 0.8 lies at 78 bits, with a spread of 8; 90 takes in nearly all such pairs."""
-    return simhash.drop_near_duplicates(docs, words=5, bits=512, radius=90, minima=8)
+    one with the smallest id stays. 512 fingerprint bits, the least shingles of 8 orders and a
+    wide radius choose the candidates; the sets themselves decide."""
+    return simhash.drop_similar(docs, similarity=0.8, words=5)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
+import collections
+
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from cases import FOLDER, docs, empty
+from cases import FOLDER, docs, empty, prose
 from pyspark.sql import functions as F
 
 from docledger.llm import bktree, queries, simhash
@@ -124,3 +127,65 @@ def test_fingerprint_bits(spark):
     row = docs(spark).filter("doc_id = 2").select("doc_id", "text")
     assert [bytes(r.fp) for r in simhash.fingerprints(row).collect()] == [bytes(8)]
     assert simhash.fingerprints(row.withColumn("n", F.lit(1))).columns == ["doc_id", "fp", "minima"]
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def expected_stage(texts: dict) -> set:
+    """Ids left of {id: text}, by all pairs that share a shingle."""
+    sets, at, shared = {d: shingle_set(t) for d, t in texts.items()}, collections.defaultdict(list), collections.Counter()
+    for d, s in sets.items():
+        for x in s or {b""}:
+            at[x].append(d)
+    for group in at.values():
+        shared.update((a, b) for a in group for b in group if a < b)
+    label = {d: d for d in texts}
+
+    def find(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for (a, b), n in shared.items():
+        if not sets[a] or n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            a, b = sorted((find(a), find(b)))
+            label[b] = a
+    return {d for d in texts if find(d) == d}
+
+
+def of_set(spark, texts: dict):
+    return spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def overlapping(seed: int, shared: int, own: int) -> tuple[str, str]:
+    """Two texts of shared + own shingles each that have ``shared`` in common."""
+    words = prose(seed, shared + 4 + 2 * own).split()
+    common, a, b = words[: shared + 4], words[shared + 4 : shared + 4 + own], words[shared + 4 + own :]
+    return " ".join(common + a), " ".join(common + b)
+
+
+def test_stage_finds_every_similar_pair(spark):
+    """Short pairs of 0.8, where fingerprints are far apart, long ones of 0.8, and texts that
+    repeat one another's shingles."""
+    texts = {}
+    for k in range(120):
+        short = prose(1000 + k, 8)
+        texts[10 * k], texts[10 * k + 1] = short, short + " more"
+        texts[10 * k + 2], texts[10 * k + 3] = overlapping(2000 + k, 80, 10)
+        run = prose(3000 + k, 30)
+        texts[10 * k + 4], texts[10 * k + 5] = f"{run} {run}", " ".join([run] * 3)
+        texts[10 * k + 6], texts[10 * k + 7] = overlapping(5000 + k, 400, 50)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, of_set(spark, texts), FOLDER).collect()}
+    want = expected_stage(texts)
+    assert want == {10 * k + i for k in range(120) for i in (0, 2, 4, 6)}
+    assert got == want
+
+
+@pytest.mark.parametrize("cap", [5, 2048])
+def test_stage_is_the_brute_force_result(spark, cap):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = simhash.drop_similar(of_set(spark, texts), similarity=0.8, words=5, cap=cap)
+    assert {r.doc_id for r in got.collect()} == expected_stage(texts)
