@@ -189,3 +189,13 @@ def test_stage_is_the_brute_force_result(spark, cap):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = simhash.drop_similar(of_set(spark, texts), similarity=0.8, words=5, cap=cap)
     assert {r.doc_id for r in got.collect()} == expected_stage(texts)
+
+
+def test_stage_keeps_related_but_distinct_texts(spark):
+    """Pairs of 0.75, and a series in which each text has 0.75 of the one before."""
+    texts = {2 * k + i: t for k in range(60) for i, t in enumerate(overlapping(7000 + k, 300, 50))}
+    line = prose(8000, 1600).split()
+    texts |= {1000 + k: " ".join(line[60 * k : 60 * k + 424]) for k in range(16)}
+    assert expected_stage(texts) == set(texts)
+    got = corpus_pipeline.near_dedup(spark, of_set(spark, texts), FOLDER)
+    assert {r.doc_id for r in got.collect()} == set(texts)
