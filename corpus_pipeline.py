@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 from docledger.llm import language, mixing, pieces, simhash, suffixes
 from docledger.session import cut
 
-#: A text in one of n languages has at least 1/n for its best one; below this it is in none.
-MIN_LANGUAGE_SCORE = 0.3
+#: How far from 1/n, the least that the best of n languages can have, to 1 a score must be.
+MIN_LANGUAGE_SCORE = 1 / 15
+
+
+def least_score(labels: int) -> float:
+    """Below this a text is in none of ``labels`` languages (0.3 for four); a single language
+    has score 1 always and rejects nothing."""
+    return 1 / labels + (1 - 1 / labels) * MIN_LANGUAGE_SCORE if labels > 1 else 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that fit no learned language, go."""
+    """Documents without a letter, or that fit no learned language, go; if no language can be
+    learned, only the former."""
     network = language.train(docs.filter(language.fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    if network is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     seen = language.predict(docs.withColumnsRenamed({"score": "__score", "lang_pred": "__pred"}), network)
-    kept = seen.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    kept = seen.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least_score(len(network.labels))))
     return kept.drop("lang_pred", "score").withColumnsRenamed({"__score": "score", "__pred": "lang_pred"})
 
 

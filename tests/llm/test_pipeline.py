@@ -2,6 +2,7 @@ import collections
 
 import pytest
 from cases import FOLDER, docs, empty
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docledger.llm import pieces
@@ -91,3 +92,15 @@ def test_awkward_rows_pass_every_stage(spark, table):
         now, columns = cut(stage(spark, now, FOLDER)), now.columns
         assert name == NAMES[-1] or now.columns == columns
     assert (now.count() > 0) == (table is docs)
+
+
+def test_language_id_without_labels_keeps_all_with_a_letter(spark):
+    table = docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language_id(spark, table, FOLDER)
+    assert got.columns == table.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([1, 1, 5, 6, 7, None, 8, 9, 10, 11, 12, 13], key=str)
+
+
+def test_least_language_score_follows_the_number_of_labels():
+    assert corpus_pipeline.least_score(1) == 0 and corpus_pipeline.least_score(4) == pytest.approx(0.3)
+    assert all(1 / n < corpus_pipeline.least_score(n) < 1 / n + 0.067 for n in range(2, 200))
