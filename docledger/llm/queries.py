@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, language, mixing, order_minhash, pieces, quality, simhash, suffixes, warc
+from ..session import scratch_path
+from . import audio, chat, language, mixing, order_minhash, pieces, quality, records, simhash, suffixes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +149,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three folds of four."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as binary records in order of their ids and read back."""
+    folder = scratch_path(spark, "records")
+    index = records.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    found = records.with_starts(records.read(index, folder), index)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
