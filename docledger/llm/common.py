@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U64(27))
     x = x * _U64(0x94D049BB133111EB)
     return x ^ (x >> _U64(31))
+
+
+def digests(pieces: DataFrame, keys: list[str], order: list[str], separator: bytes) -> DataFrame:
+    """(keys, sha256): the SHA-256 of each key's ``piece`` values (binary), in order and joined by
+    ``separator``. A digest is taken in sequence: pieces pass through a task as a stream and
+    none is kept, so a key may have any number of them; join short ones to longer ones before."""
+    fields = [f for f in pieces.schema.fields if f.name in keys]
+    names = [f.name for f in fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", sha256 string"
+    dealt = pieces.repartition(*names).sortWithinPartitions(*names, *order).select(*names, "piece")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = digest = None
+        for batch in batches:
+            types = [batch.schema.field(n).type for n in names]
+            rows = zip(*[batch.column(n).to_pylist() for n in names])
+            done = []
+            for now, piece in zip(rows, batch.column("piece")):
+                if digest is None or now != key:
+                    if digest is not None:
+                        done.append((*key, digest.hexdigest()))
+                    key, digest = now, hashlib.sha256()
+                else:
+                    digest.update(separator)
+                digest.update(piece.as_buffer())
+            if done:
+                yield _rows(done, names, types)
+        if digest is not None:
+            yield _rows([(*key, digest.hexdigest())], names, types)
+
+    return small_batches(dealt).mapInArrow(run, schema)
+
+
+def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), [*types, pa.string()])]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, "sha256"])

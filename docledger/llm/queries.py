@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import audio, chat, language, mixing, order_minhash, pieces, quality, records, simhash, suffixes, warc
+from . import audio, chat, language, mixing, order_minhash, pieces, quality, records, simhash, structure, suffixes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,106 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged in known ways, its faults, and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    found = structure.repair(structure.damaged(rows)).withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(structure.NOTHING)).alias("repaired_sha256"),
+    )
+
+
+def _sql_crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, which must not be empty."""
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {byte}), 4294967295)"
+
+
+def _sql_least(*choices: str) -> str:
+    return f"list_sort([{', '.join(choices)}])[1]"
+
+
+def _sql_more(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    text = f"{state}.r" if line is None else f"list_append({state}.r, {line})"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {text}}}"
+
+
+def _structure_sql() -> str:
+    user, assistant, never = "'user:'", "'assistant:'", "{'c': 1000000000, 'a': '', 'r': []::VARCHAR[]}"
+    more = _sql_more
+    second = _sql_least("v2", *[more(f"v{k}", "5", "I", user) for k in (0, 1, 3)])
+    third = _sql_least("v3", more("w2", "5", "I", assistant))
+
+    def stays(initial: str, sources: tuple[int, ...], states: str, line: str) -> list[str]:
+        kept = [f"CASE WHEN may_stay AND initial = '{initial}' THEN {more(f'{states}{k}', 'extra', 'K', 'line')} ELSE {never} END" for k in sources]
+        changed = [f"CASE WHEN may_stay THEN {more(f'{states}{k}', '(extra + 1)', 'R', line)} ELSE {never} END" for k in sources]
+        return kept + (changed if initial != "s" else [])
+
+    new0 = more("v0", "2", "D")
+    new1 = _sql_least(more("v1", "2", "D"), *stays("s", (0,), "v", "''"))
+    new2 = _sql_least(more("w2", "2", "D"), *[x.replace("v3", "w3") for x in stays("u", (0, 1, 3), "v", f"{user} || text")])
+    new3 = _sql_least(more("w3", "2", "D"), *stays("a", (2,), "w", f"{assistant} || text"))
+    return rf"""
+WITH RECURSIVE spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_sql_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM spaced WHERE kind <> 0
+),
+ranked AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS is_blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS is_again,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS is_cut,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 32), md5(text), copy) AS i
+  FROM hurt
+),
+lines AS (
+  SELECT conv_id, turn, text, initial, i, is_blank, NOT is_blank AND is_again AS is_again, NOT is_blank AND NOT is_again AND is_cut AS is_cut,
+    NOT is_blank AND NOT is_again AS may_stay, CASE WHEN is_cut THEN 5 ELSE 0 END AS extra, role || ':' || text AS line,
+    i > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS is_illegal
+  FROM ranked
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn) AS gaps, count(*) FILTER (is_blank) AS blank,
+    count(*) FILTER (is_again) AS duplicate, count(*) FILTER (is_cut) AS truncated, count(*) FILTER (is_illegal) AS illegal, max(i) AS n
+  FROM lines GROUP BY conv_id
+),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS v0, {never} AS v1, {never} AS v2, {never} AS v3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, {new0}, {new1}, {new2}, {new3}
+  FROM (
+    SELECT *, {third} AS w3 FROM (
+      SELECT l.*, v0, v1, v2, v3, {second} AS w2
+      FROM steps s JOIN lines l ON l.conv_id IS NOT DISTINCT FROM s.conv_id AND l.i = s.i + 1
+    )
+  )
+),
+ends AS (
+  SELECT conv_id, {_sql_least("v0", third)} AS e
+  FROM (SELECT s.*, {second} AS w2 FROM steps s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i)
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit,
+  sha256(coalesce(array_to_string(e.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+ORACLES["op12_structure_repair"] = _structure_sql()
+
+
 @query
 def op13_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as binary records in order of their ids and read back."""
