@@ -73,13 +73,47 @@ def digests(pieces: DataFrame, keys: list[str], order: list[str], separator: byt
                     digest.update(separator)
                 digest.update(piece.as_buffer())
             if done:
-                yield _rows(done, names, types)
+                yield _rows(done, [*names, "sha256"], [*types, pa.string()])
         if digest is not None:
-            yield _rows([(*key, digest.hexdigest())], names, types)
+            yield _rows([(*key, digest.hexdigest())], [*names, "sha256"], [*types, pa.string()])
 
     return small_batches(dealt).mapInArrow(run, schema)
 
 
+#: Bytes of a strung piece.
+_PIECE = 1 << 20
+
+
+def strung(rows: DataFrame, keys: list[str], order: list[str], separator: bytes) -> DataFrame:
+    """(keys, part, number, piece): each key's ``value`` texts in order, joined by ``separator`` into pieces.
+    Ranges of (keys, order) are joined apart, so a key with very many values is spread; ``order`` has to
+    tell its rows apart. Pieces stand in the order of (part, number)."""
+    fields = [rows.schema[k] for k in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", part int, number int, piece binary"
+    place = [*keys, *[c for c in order if c not in keys]]
+    dealt = rows.repartitionByRange(*place).sortWithinPartitions(*place).select(*keys, "value", F.spark_partition_id().alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size, number = None, [], 0, 0
+        types = part = None
+        for batch in batches:
+            types = types or [*[batch.schema.field(n).type for n in keys], pa.int32(), pa.int32(), pa.binary()]
+            done = []
+            for *now, part, value in zip(*[batch.column(n).to_pylist() for n in (*keys, "part", "value")]):
+                if held and (now != key or size > _PIECE):
+                    done.append((*key, part, number, separator.join(held)))
+                    number = number + 1 if now == key else 0
+                    held, size = [], 0
+                key = now
+                held.append(value.encode())
+                size += len(value) + len(separator)
+            if done:
+                yield _rows(done, [*keys, "part", "number", "piece"], types)
+        if held:
+            yield _rows([(*key, part, number, separator.join(held))], [*keys, "part", "number", "piece"], types)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows), [*types, pa.string()])]
-    return pa.RecordBatch.from_arrays(columns, names=[*names, "sha256"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

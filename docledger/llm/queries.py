@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import audio, chat, language, mixing, order_minhash, pieces, quality, records, simhash, structure, suffixes, warc
+from . import audio, chat, language, mixing, order_minhash, pieces, prefix_trie, quality, records, simhash, structure, suffixes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,48 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def _sql_crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, which must not be empty."""
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {byte}), 4294967295)"
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shared beginnings of rebuilt conversations, with what sharing them saves."""
+    conversations = table(spark, sf_dir, "conversations")
+    return prefix_trie.nodes(prefix_trie.rebuilt(prefix_trie.turns(conversations), conversations))
+
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH own AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+lists AS (SELECT conv_id, list({{'id': id, 'words': words}} ORDER BY i) AS t FROM own GROUP BY conv_id),
+named AS (SELECT conv_id, t, conv_id - conv_id % 20 AS template, {_sql_crc32("conv_id::VARCHAR")} % 4 AS h FROM lists),
+built AS (SELECT n.conv_id, list_concat(coalesce(o.t, [])[1:h], n.t[h + 1:]) AS t FROM named n LEFT JOIN lists o ON o.conv_id = n.template),
+walks AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS depth FROM built),
+found AS (
+  SELECT t[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(t) = depth), '')) AS ends_sha256,
+    any_value(CASE WHEN depth = 0 THEN 0 ELSE t[depth].words END) AS words
+  FROM walks GROUP BY t[1:depth], depth
+),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM found WHERE depth > 0 GROUP BY path[1:depth - 1]),
+joined AS (SELECT f.*, coalesce(c.n, 0) AS n_children FROM found f LEFT JOIN children c ON f.path = c.path),
+above AS (SELECT path, words, n_convs, n_children, unnest(range(0, depth + 1)) AS up FROM joined),
+sums AS (
+  SELECT path[1:up] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM above GROUP BY path[1:up]
+)
+SELECT j.conv_id, j.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, j.n_convs::BIGINT AS n_convs, j.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, j.ends_sha256
+FROM joined j JOIN sums s ON j.path = s.path LEFT JOIN joined p ON j.depth > 0 AND p.path = j.path[1:j.depth - 1]
+"""
+
+
 @query
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged in known ways, its faults, and its cheapest repair."""
@@ -164,12 +206,6 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_crc32(text: str) -> str:
-    """The unsigned CRC-32 of an ASCII text, which must not be empty."""
-    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
-    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {byte}), 4294967295)"
-
-
 def _sql_least(*choices: str) -> str:
     return f"list_sort([{', '.join(choices)}])[1]"
 
@@ -207,9 +243,12 @@ hurt AS (
   FROM spaced WHERE kind <> 0
 ),
 ranked AS (
-  SELECT conv_id, turn, role, text, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS is_blank,
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS is_blank,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS is_again,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS is_cut,
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') AS is_cut,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 32), md5(text), copy) AS i
   FROM hurt
 ),
