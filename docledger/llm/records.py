@@ -2,16 +2,17 @@
 
 Documents are range-partitioned on their id, so that shard k holds ids below those of shard
 k + 1, and each task writes one shard. A record is one document: 8 bytes length, 4 bytes masked
-checksum of those, the ids as little-endian unsigned 32-bit integers, 4 bytes masked checksum
-of the ids. Checksums are CRC-32C, turned by 15 bits and added to a constant: the TFRecord frame.
-The index is a Parquet table beside the shards with one row for each record: shard, file,
-offset, n_tokens, and the ids before it in its shard. Any subset in any order is read by it.
+checksum of those, the ids as little-endian unsigned integers, 4 bytes masked checksum of the
+ids. Checksums are CRC-32C, turned by 15 bits and added to a constant: the TFRecord frame. An id
+takes 2 bytes if all of the vocabulary fits, else 4. The index is a Parquet table beside the shards
+with one row for each record: shard, file, offset, n_tokens, bytes of an id, and the ids before
+it in its shard. Any subset in any order is read by it.
 
 A task's file has a name of its own and takes it when complete; only files that the committed
 index names count, so a task that runs twice leaves no second copy of a record.
 
-A text is cut at blanks, tabs and line ends, which the tokenizer drops and no token crosses.
-Distinct pieces are tokenized once for each task and kept up to a bound.
+Where the tokenizer drops white space, a text is cut at blanks, tabs and line ends, and distinct
+pieces are tokenized once: a Python worker keeps them, up to a bound, for its next tasks too.
 
 Nulls and blanks: a null text is the empty one and has the end id alone; null ids come first. Rows
 with equal ids stand in the order of a hash of their texts; repeated rows are all written. An
@@ -21,7 +22,9 @@ match its checksums raises.
 
 from __future__ import annotations
 
+import functools
 import posixpath
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -38,136 +41,147 @@ from .common import small_batches
 #: Bytes of stored text that make a shard, as the plan estimates them.
 SHARD_BYTES = 32 << 20
 #: Distinct pieces of text that a task keeps.
-_KEPT_PIECES = 1_000_000
+_KEPT_PIECES = 600_000
 #: Bytes read from a shard at once, if no record is longer.
 _READ_BYTES = 8 << 20
 _HEAD = np.dtype([("length", "<u8"), ("check", "<u4")])
 _MASK = 0xA282EAD8
 _POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
-_BLOCK = 64  # words that are checked side by side
+_BLOCK = 128  # half-words of a block
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lookups that take a checksum over 4 zero bytes, and over a block of zero words."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lookups that take a checksum over 2 zero bytes, and over a block of zeros; and the two
+    half-words that take a checksum from 0 to the standard's first state, all ones."""
     first = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         first = np.where(first & 1, (first >> 1) ^ np.uint32(_POLYNOMIAL), first >> 1).astype(np.uint32)
-    slices = [first]
-    for _ in range(3):
-        slices.append(first[slices[-1] & 255] ^ (slices[-1] >> 8))
-    word = np.stack(slices[::-1])  # by byte of the checksum, lowest first
+    half = np.stack([first[first & 255] ^ (first >> 8), first])
     block = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
     for _ in range(_BLOCK):
-        block = _through(block, word)
-    return word, block
+        block = _over_half(block, half)
+    state = 0xFFFFFFFF
+    for _ in range(4):  # back by a byte
+        byte = int(np.flatnonzero(first >> 24 == state >> 24)[0])
+        state = (((state ^ int(first[byte])) << 8) | byte) & 0xFFFFFFFF
+    return half, block, np.array([state & 0xFFFF, state >> 16], dtype=np.uint16)
 
 
-def _through(checks: np.ndarray, lookup: np.ndarray) -> np.ndarray:
-    return (
-        lookup[0][checks & 255] ^ lookup[1][(checks >> 8) & 255] ^ lookup[2][(checks >> 16) & 255] ^ lookup[3][checks >> 24]
-    )
+def _over_half(checks: np.ndarray, half: np.ndarray) -> np.ndarray:
+    return half[0][checks & 255] ^ half[1][(checks >> 8) & 255] ^ (checks >> 16)
 
 
-_WORD, _OVER_BLOCK = _tables()
+def _over_block(checks: np.ndarray) -> np.ndarray:
+    return _BLOCKS[0][checks & 255] ^ _BLOCKS[1][(checks >> 8) & 255] ^ _BLOCKS[2][(checks >> 16) & 255] ^ _BLOCKS[3][checks >> 24]
 
 
-def checksums(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The masked CRC-32C of each run of ``words`` (32 bits, little-endian), ``sizes`` of one word or
-    more. Runs are cut into blocks that go side by side; leading zeros do not change a
-    checksum that starts at 0, so a run's first block is filled up in front."""
-    blocks = -(-sizes // _BLOCK)
+_HALF, _BLOCKS, _ONES = _tables()
+
+
+def checksums(halves: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The masked CRC-32C of each run of ``halves`` (16 bits, little-endian), ``sizes`` of any length. Runs are cut
+    into blocks that go side by side; leading zeros do not change a checksum that starts at 0,
+    so a run's first block is filled up in front, before the half-words that set all ones."""
+    blocks = -(-(sizes + 2) // _BLOCK)
     first = np.cumsum(blocks) - blocks
     start = np.cumsum(sizes) - sizes
-    words = words.astype(np.uint32)
-    words[start] ^= np.uint32(0xFFFFFFFF)
-    laid = np.zeros(int(blocks.sum()) * _BLOCK, dtype=np.uint32)
-    laid[np.repeat((first + blocks) * _BLOCK - sizes - start, sizes) + np.arange(len(words))] = words
+    laid = np.zeros(int(blocks.sum()) * _BLOCK, dtype=np.uint16)
+    begins = (first + blocks) * _BLOCK - sizes
+    laid[begins - 2], laid[begins - 1] = _ONES
+    laid[np.repeat(begins - start, sizes) + np.arange(len(halves))] = halves
     columns = np.ascontiguousarray(laid.reshape(-1, _BLOCK).T)
     parts = np.zeros(columns.shape[1], dtype=np.uint32)
     for column in columns:
-        parts = _through(parts ^ column, _WORD)
+        parts = _over_half(parts ^ column, _HALF)
     longest = np.argsort(-blocks, kind="stable")
     left, at = blocks[longest], first[longest]
     sums = np.zeros(len(sizes), dtype=np.uint32)
     top = int(left[0]) if len(left) else 0
     for k in range(top):
         n = int(np.searchsorted(-left, -(top - k), side="right"))  # runs that have begun
-        sums[:n] = _through(sums[:n], _OVER_BLOCK) ^ parts[at[:n] + (k - top + left[:n])]
+        sums[:n] = _over_block(sums[:n]) ^ parts[at[:n] + (k - top + left[:n])]
     out = np.empty_like(sums)
     out[longest] = sums ^ np.uint32(0xFFFFFFFF)
     return ((out >> np.uint32(15)) | (out << np.uint32(17))) + np.uint32(_MASK)
 
 
 class Encoder:
-    """Texts to ids, each id as 4 bytes. ``ids(text)`` equals the tokenizer's own, without special
-    tokens added."""
+    """Texts to ids, as bytes. ``encode`` equals the tokenizer's own, without special tokens added."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
         self.kept: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letter = "H" if self.type.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
+        # does white space only part what stands around it?
+        self.parted = all(self._plainly(a + s + b) == self._plainly(a) + self._plainly(b) for a, s, b in _PARTED)
+        # are letters alone a unit, of lower-case bytes? Then the model can be asked directly
+        self.direct = self.parted and all(self._plainly(w + t) == self._asked(w.lower()) + self._plainly(t) for w, t in _UNITS)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.parted:
+            return [self._plainly(t or "") for t in texts]
         cut = [(t or "").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.kept) > _KEPT_PIECES:
             self.kept = {}
         self._learn(set().union(*cut).difference(self.kept))
         return [b"".join(map(self.kept.__getitem__, pieces)) for pieces in cut]
 
+    def _plainly(self, text: str) -> bytes:
+        return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _asked(self, word: str) -> bytes:
+        """Ids of a unit of lower-case letters, as the model has them for its bytes."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return self._raw([t.id for t in self.model.tokenize(word)])
+
     def _learn(self, pieces: set[str]) -> None:
-        """A piece of letters, with or without stops and commas after it, is looked up by its
-        letters in lower case; all such words are tokenized as one text and told apart by their
-        last tokens. Other pieces are tokenized one by one."""
-        plain: dict[str, tuple[str, str]] = {}
-        other = []
+        """A piece of letters, with or without stops and commas after it, is looked up by its letters
+        in lower case; other pieces go through the whole tokenizer."""
+        kept = self.kept
         for piece in pieces:
             word = piece.rstrip(".,")
-            # letters below U+0370 have a lower case that no neighbour changes
-            if word.isalpha() and max(word) < "Ͱ":
-                plain[piece] = (word.lower(), piece[len(word) :])
+            # letters below U+0250 are composed, and have a lower case that no neighbour changes
+            if self.direct and word.isalpha() and max(word) < "\u0250":
+                lower = word.lower()
+                found = kept.get(lower)
+                if found is None:
+                    found = kept[lower] = self._asked(lower)
+                tail = piece[len(word) :]
+                if tail and tail not in kept:
+                    kept[tail] = self._plainly(tail)
+                kept[piece] = found + kept[tail] if tail else found
             else:
-                other.append(piece)
-        tails = {tail for _, tail in plain.values()}
-        other.extend(tails)
-        for piece, found in zip(other, self._one_by_one(other)):
-            self.kept[piece] = found
-        words = list({word for word, _ in plain.values()})
-        found = dict(zip(words, self._together(words)))
-        for piece, (word, tail) in plain.items():
-            self.kept[piece] = found[word] + self.kept[tail]
-
-    def _one_by_one(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 1000):
-            for found in self.tokenizer.encode_batch(texts[i : i + 1000], add_special_tokens=False):
-                yield np.array(found.ids, dtype="<u4").tobytes()
-
-    def _together(self, words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):  # a model without word ends
-                yield from self._one_by_one(part)
-                continue
-            raw = ids.tobytes()
-            begins = np.concatenate([[0], ends[:-1]])
-            yield from (raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist()))
+                kept[piece] = self._plainly(piece)
+
+
+_PARTED = [(a, s, b) for a, b in (("a", "b"), ("It", "is."), ("x1", "'s"), ("é", "́"), ("", "!?")) for s in (" ", "\n", "\r\n", " \t ")]
+_UNITS = [(w, t) for w in ("a", "Word", "Éclair", "straße", "ıÎ", "internationally") for t in ("", ".", ",", "...")]
+#: The letters that byte-level models write bytes with: printable bytes as they are, others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(model: str) -> Encoder:
+    """A worker's encoder: tasks that run in the worker one after the other share it."""
+    return Encoder(model)
 
 
 def frames(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The records of ``bodies`` (whole words of 4 bytes), and their lengths in bytes."""
+    """The records of ``bodies`` (ids of 2 or 4 bytes), and their lengths in bytes."""
     sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
     heads = np.zeros(len(bodies), dtype=_HEAD)
     heads["length"] = sizes
-    heads["check"] = checksums(sizes.astype("<u8").view("<u4"), np.full(len(bodies), 2))
-    checks = np.full(len(bodies), _MASK, dtype="<u4")  # that of no bytes
-    some = sizes > 0
-    if some.any():
-        checks[some] = checksums(np.frombuffer(b"".join(bodies), dtype="<u4"), sizes[some] // 4)
+    heads["check"] = checksums(sizes.astype("<u8").view("<u2"), np.full(len(bodies), 4))
+    checks = checksums(np.frombuffer(b"".join(bodies), dtype="<u2"), sizes // 2).astype("<u4")
     raw, tails = heads.tobytes(), checks.tobytes()
     out: list[bytes] = []
     for i, body in enumerate(bodies):
@@ -182,7 +196,7 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
 def write(docs: DataFrame, folder: str, model: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``docs`` to shards and the index below ``folder`` (which all executors share: a path or an
     address that pyarrow opens) and returns the index: (key, shard, file, offset, n_tokens,
-    before), ``before`` being the ids before a record in its shard. ``end_id`` is put after each text.
+    width, before), ``width`` being the bytes of an id and ``before`` the ids before a record in its shard. ``end_id`` is put after each text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -191,19 +205,18 @@ def write(docs: DataFrame, folder: str, model: str, end_id: int | None = None, k
     order = ["key", "hash", "tie"]
     dealt = rows.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
     dealt = dealt.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
-    end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
     field = rows.schema["key"]
-    schema = f"key {field.dataType.simpleString()}, shard int, file string, offset long, n_tokens long, before long"
+    schema = f"key {field.dataType.simpleString()}, shard int, file string, offset long, n_tokens long, width int, before long"
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
-        encoder, out, name, temporary = None, None, "", ""
+        encoder, out, name, temporary, end = _encoder(model), None, "", "", b""
         offset = before = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = Encoder(model)
+                end = np.array([] if end_id is None else [end_id], dtype=encoder.type).tobytes()
                 store.create_dir(f"{base}/shards", recursive=True)
                 number = batch.column("shard")[0].as_py()
                 name = f"shards/{number:06d}-{uuid.uuid4().hex}.records"
@@ -212,13 +225,14 @@ def write(docs: DataFrame, folder: str, model: str, end_id: int | None = None, k
             bodies = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
             parts, sizes = frames(bodies)
             out.write(b"".join(parts))
-            tokens = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // 4
+            tokens = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // encoder.type.itemsize
+            width = np.full(batch.num_rows, encoder.type.itemsize, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"), batch.column("shard"), pa.array([name] * batch.num_rows),
-                    pa.array(offset + np.cumsum(sizes) - sizes), pa.array(tokens), pa.array(before + np.cumsum(tokens) - tokens),
+                    pa.array(offset + np.cumsum(sizes) - sizes), pa.array(tokens), pa.array(width), pa.array(before + np.cumsum(tokens) - tokens),
                 ],
-                names=["key", "shard", "file", "offset", "n_tokens", "before"],
+                names=["key", "shard", "file", "offset", "n_tokens", "width", "before"],
             )
             offset += int(sizes.sum())
             before += int(tokens.sum())
@@ -236,12 +250,12 @@ def read_index(spark, folder: str, key: str = "doc_id") -> DataFrame:
 
 
 def read(index: DataFrame, folder: str, key: str = "doc_id", seed: int | None = None) -> DataFrame:
-    """(key, shard, before, n_tokens, ids): the records that ``index`` names, ids as the stored bytes. Rows
-    come in the order of the shards, or with a ``seed`` in an order shuffled over all shards."""
+    """(key, shard, before, n_tokens, ids): the records that ``index`` names, ids as little-endian unsigned 32-bit
+    integers in one binary. Rows come in the order of the shards, or with a ``seed`` in an order shuffled over all shards."""
     spark = index.sparkSession
     place = ["shard", "offset"] if seed is None else ["turn", "shard", "offset"]
     turn = F.xxhash64(F.lit(seed or 0), "shard", "offset")
-    named = index.select(F.col(key).alias("key"), "shard", "file", "offset", "n_tokens", "before", turn.alias("turn"))
+    named = index.select(F.col(key).alias("key"), "shard", "file", "offset", "n_tokens", "width", "before", turn.alias("turn"))
     # an index row stands for a document: parts of some thousand rows, whatever the index's size
     parts = max(spark.sparkContext.defaultParallelism, plan_bytes(index) // (1 << 20))
     dealt = named.repartitionByRange(parts, *place).sortWithinPartitions(*place)
@@ -252,7 +266,8 @@ def read(index: DataFrame, folder: str, key: str = "doc_id", seed: int | None =
         for batch in batches:
             file = batch.column("file").to_pylist()
             offset = batch.column("offset").to_numpy()
-            sizes = batch.column("n_tokens").to_numpy() * 4
+            width = batch.column("width").to_numpy()
+            sizes = batch.column("n_tokens").to_numpy() * width
             ends = offset + sizes + 16
             a = 0
             while a < batch.num_rows:
@@ -264,7 +279,7 @@ def read(index: DataFrame, folder: str, key: str = "doc_id", seed: int | None =
                 bodies = _checked(raw, offset[a:b] - offset[a], sizes[a:b], file[a])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("shard"), part.column("before"), part.column("n_tokens"), pa.array(bodies, pa.binary())],
+                    [part.column("key"), part.column("shard"), part.column("before"), part.column("n_tokens"), pa.array([_wide(x, w) for x, w in zip(bodies, width[a:b].tolist())], pa.binary())],
                     names=["key", "shard", "before", "n_tokens", "ids"],
                 )
                 a = b
@@ -273,6 +288,10 @@ def read(index: DataFrame, folder: str, key: str = "doc_id", seed: int | None =
     return dealt.drop("turn").mapInArrow(load, schema).withColumnRenamed("key", key)
 
 
+def _wide(ids: bytes, width: int) -> bytes:
+    return ids if width == 4 else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+
+
 def _checked(raw: bytes, offset: np.ndarray, sizes: np.ndarray, file: str) -> list[bytes]:
     bodies = [raw[a + 12 : a + 12 + n] for a, n in zip(offset.tolist(), sizes.tolist())]
     if b"".join(frames(bodies)[0]) != raw:
