@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,6 +43,8 @@ from .common import small_batches
 SHARD_BYTES = 32 << 20
 #: Distinct pieces of text that a task keeps.
 _KEPT_PIECES = 600_000
+#: Bytes of texts that are encoded at once, if no text is longer.
+_PART_BYTES = 2 << 20
 #: Bytes read from a shard at once, if no record is longer.
 _READ_BYTES = 8 << 20
 _HEAD = np.dtype([("length", "<u8"), ("check", "<u4")])
@@ -148,9 +151,9 @@ class Encoder:
         kept = self.kept
         for piece in pieces:
             word = piece.rstrip(".,")
-            # letters below U+0250 are composed, and have a lower case that no neighbour changes
-            if self.direct and word.isalpha() and max(word) < "\u0250":
-                lower = word.lower()
+            lower = word.lower()
+            # letters below U+0250 are composed, and no neighbour changes their lower case
+            if self.direct and word.isalpha() and lower.isalpha() and max(word) < "\u0250":
                 found = kept.get(lower)
                 if found is None:
                     found = kept[lower] = self._asked(lower)
@@ -189,10 +192,25 @@ def frames(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return out, sizes + 16
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of few bytes, or of one row: a text's pieces take many times its size."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // _PART_BYTES
+    bounds = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(bounds, [*bounds[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
 
 
+def _parts_for(rows: DataFrame, part_bytes: int) -> list[int]:
+    """How many parts of that size ``rows`` make; the session's own number where the plan does not know."""
+    known = plan_bytes(rows)
+    return [max(rows.sparkSession.sparkContext.defaultParallelism, -(-known // part_bytes))] if known < 1 << 60 else []
+
+
 def write(docs: DataFrame, folder: str, model: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``docs`` to shards and the index below ``folder`` (which all executors share: a path or an
     address that pyarrow opens) and returns the index: (key, shard, file, offset, n_tokens,
@@ -200,11 +218,10 @@ def write(docs: DataFrame, folder: str, model: str, end_id: int | None = None, k
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    shards = max(spark.sparkContext.defaultParallelism, -(-plan_bytes(rows) // SHARD_BYTES))
     # equal rows may be dealt to several shards: a hash and a number follow the id
     order = ["key", "hash", "tie"]
     dealt = rows.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
-    dealt = dealt.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
+    dealt = dealt.repartitionByRange(*_parts_for(rows, SHARD_BYTES), *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
     field = rows.schema["key"]
     schema = f"key {field.dataType.simpleString()}, shard int, file string, offset long, n_tokens long, width int, before long"
 
@@ -212,9 +229,7 @@ def write(docs: DataFrame, folder: str, model: str, end_id: int | None = None, k
         store, base = _open(folder)
         encoder, out, name, temporary, end = _encoder(model), None, "", "", b""
         offset = before = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _parts(whole)):
             if out is None:
                 end = np.array([] if end_id is None else [end_id], dtype=encoder.type).tobytes()
                 store.create_dir(f"{base}/shards", recursive=True)
@@ -257,8 +272,7 @@ def read(index: DataFrame, folder: str, key: str = "doc_id", seed: int | None =
     turn = F.xxhash64(F.lit(seed or 0), "shard", "offset")
     named = index.select(F.col(key).alias("key"), "shard", "file", "offset", "n_tokens", "width", "before", turn.alias("turn"))
     # an index row stands for a document: parts of some thousand rows, whatever the index's size
-    parts = max(spark.sparkContext.defaultParallelism, plan_bytes(index) // (1 << 20))
-    dealt = named.repartitionByRange(parts, *place).sortWithinPartitions(*place)
+    dealt = named.repartitionByRange(*_parts_for(index, 1 << 20), *place).sortWithinPartitions(*place)
     field = named.schema["key"]
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -240,7 +240,7 @@ _BLOCKS = (
 )
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows as blocks: rows of one conversation, up to a bound. A conversation that may go on in
     another block or task is an edge and brings its table."""
     out: list[tuple] = []
@@ -253,7 +253,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.array([h[0] for h in held], dtype=np.uint8)
         table = summary(codes).reshape(-1).tolist() if edge else None
         return (
-            key, key is None, part, number, edge, codes.tobytes(), bytes(h[1] for h in held), [h[2] for h in held], [h[3] for h in held], table,
+            key or 0, key is None, part, number, edge, codes.tobytes(), bytes(h[1] for h in held), [h[2] for h in held], [h[3] for h in held], table,
         )
 
     def sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -266,7 +266,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_pylist() for c in ("conv_id", "part", "code", "initial", "role", "text")]
         for conv, p, code, initial, role, text in zip(*columns):
             new = bool(held) and conv != key
-            full = bool(held) and not new and (len(held) >= _BLOCK_ROWS or chars >= _BLOCK_CHARS)
+            full = bool(held) and not new and (len(held) >= block_rows or chars >= _BLOCK_CHARS)
             if new or full:
                 out.append(close(full, opening or full or number > 0))
                 size += chars + 64 * len(held)
@@ -357,9 +357,9 @@ def _repaired(letters: list[str], state: int, roles: list[str], texts: list[str]
     return "\n".join(lines).encode() if lines else None
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, block_rows: int = _BLOCK_ROWS) -> DataFrame:
     """Of ``rows`` (conv_id, turn, role, text) one row for each conversation: (conv_id, gaps, blank, duplicate, truncated,
-    illegal, cost, audit, repaired_sha256)."""
+    illegal, cost, audit, repaired_sha256). Results do not depend on ``block_rows``."""
     spaced = rows.withColumns({"role": F.coalesce("role", F.lit(" ")), "text": F.coalesce("text", F.lit(" "))})
     known = cut(with_faults(spaced))
     counts = known.groupBy("conv_id").agg(
@@ -369,7 +369,7 @@ def repair(rows: DataFrame) -> DataFrame:
     # a conversation's turns are counted once each
     turns = known.filter("turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.lit(1).alias("one")).groupBy("conv_id").agg(F.count("*").alias("turns"))
 
-    solved = cut(blocks_repaired(known))
+    solved = cut(blocks_repaired(known, block_rows))
     group = ["conv", "conv_null"]
     # blocks of a conversation, in order: letters are joined, and pairs of rows that meet there counted
     order = F.struct("part", "block", "audit", "edge_initials")
@@ -393,13 +393,13 @@ def repair(rows: DataFrame) -> DataFrame:
     )
 
 
-def blocks_repaired(known: DataFrame) -> DataFrame:
+def blocks_repaired(known: DataFrame, block_rows: int = _BLOCK_ROWS) -> DataFrame:
     """The blocks of all conversations with letters, cost and repaired rows."""
     order = ["conv_id", "turn", "role", "head", "digest", "row"]
     initial = F.ascii(F.substring("role", 1, 1))
     coded = known.withColumns({"code": _code().cast("int"), "initial": F.when(initial.between(1, 127), initial).otherwise(32).cast("int")})
     dealt = coded.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    packed = cut(small_batches(dealt.select("conv_id", "part", "code", "initial", "role", "text")).mapInArrow(_pack, _BLOCKS))
+    packed = cut(small_batches(dealt.select("conv_id", "part", "code", "initial", "role", "text")).mapInArrow(lambda batches: _pack(batches, block_rows), _BLOCKS))
     key = ["conv", "conv_null", "part", "block"]
 
     def settled(frame):
