@@ -44,18 +44,44 @@ def plausible(c: Column) -> Column:
     return ok
 
 
+def _measured(c: Column, kind: str, measure) -> Column:
+    # kept from being evaluated a second time in a filter on its result
+    return F.pandas_udf(measure, kind).asNondeterministic()(c)
+
+
+def _closest(r: Column) -> Column:
+    """The label of the best of a text's ratios, if it is good enough and no other good one is
+    within the margin."""
+    fields = F.array(*[F.lit(f) for f in V.CANONICAL_LABELS])
+    best = F.array_max(r)
+    rivals = F.filter(r, lambda x: (x >= V.FUZZY_THRESHOLD) & (best - x < V.FUZZY_MARGIN))
+    clear = (best >= V.FUZZY_THRESHOLD) & (F.size(rivals) == 1)
+    return F.when(clear, F.get(fields, (F.array_position(r, best) - 1).cast("int")))
+
+
+def _labels() -> list[str]:
+    return [label.lower() for label in V.CANONICAL_LABELS.values()]
+
+
 def fuzzy_label(c: Column) -> Column:
     """Field of a misread label cell, or NULL: the closest label, if it is close enough and no
     other close one is within the margin. Filter rows with ``plausible`` first."""
-    labels = [label.lower() for label in V.CANONICAL_LABELS.values()]
-    # kept from being evaluated a second time in a filter on its result
-    measured = F.pandas_udf(likeness(labels), "array<double>").asNondeterministic()(F.lower(c))
-    fields = F.array(*[F.lit(f) for f in V.CANONICAL_LABELS])
+    return let(_measured(F.lower(c), "array<double>", likeness(_labels())), _closest)
+
+
+def fuzzy_labels(texts: Column) -> Column:
+    """``fuzzy_label`` of each text of an array, NULL for NULL."""
+    one = likeness(_labels())
 
-    def decide(r: Column) -> Column:
-        best = F.array_max(r)
-        rivals = F.filter(r, lambda x: (x >= V.FUZZY_THRESHOLD) & (best - x < V.FUZZY_MARGIN))
-        clear = (best >= V.FUZZY_THRESHOLD) & (F.size(rivals) == 1)
-        return F.when(clear, F.get(fields, (F.array_position(r, best) - 1).cast("int")))
+    def measure(arrays):
+        import pandas as pd
+
+        whole = pd.Series([t for a in arrays for t in a], dtype=object)
+        ratios = iter(one(whole))
+        return pd.Series([[next(ratios) for _ in a] for a in arrays], dtype=object)
+
+    import pandas as pd
 
-    return let(measured, decide)
+    measure.__annotations__ = {"arrays": pd.Series, "return": pd.Series}
+    lowered = F.transform(texts, F.lower)
+    return F.transform(_measured(lowered, "array<array<double>>", measure), _closest)

@@ -1,16 +1,20 @@
 """Balance-sheet reader over table rows ``doc_id, page, row_idx, cells``.
 
-The reader is a chain of set-based steps:
-
-1. per row, without a shuffle: classify cells (header, bare total, label, misread label)
-   and keep only those cells, each with its row;
-2. per page: the period column, carried forward over pages (WIN3);
-3. per document: the section before each bare total, carried forward (WIN2);
-4. per kept cell: the value before it, after it, or below it (BAL2, BAL3);
-5. per page and field: the first cell with a value (WIN4), exact labels before misread
-   ones; then per document the first page with a value.
-
-Only kept cells are shuffled; they are a small part of the table.
+The reader is one lazy plan:
+
+1. per row, without a shuffle: classify cells (header, bare total, label, possible misread
+   label) and find the period column it declares; blank rows go;
+2. rows meet once, in blocks of a page (up to 4,096 rows): a row array in order;
+3. per block one slim row: the section left open (WIN2) and the period column (WIN3) are carried
+   over the blocks and pages of a document;
+4. in the block's row: the section of each bare total, misread labels, and the values before,
+   after or below each kept cell (BAL2, BAL3);
+5. per page a fold over its kept cells settles the fields (WIN4, WIN5), exact labels before
+   misread ones; then per document the first page with a value wins.
+
+A page of several blocks is folded from the cells that can settle a field at all: a cell that
+settles nothing while some fields are settled settles nothing when more are, so from each of
+the 32 sets of settled fields a block has at most five such cells.
 """
 
 from __future__ import annotations
@@ -18,14 +22,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.amounts import parse_amount_bs
-from ..functions.fuzzy import fuzzy_label, plausible
+from ..functions.fuzzy import fuzzy_labels, plausible
 from ..functions.text import despace, find_all, let, strip
-from ..session import cut
-from .ordered import carry_last
+from .ordered import carry_last, carry_several
 
 KEYS = V.BALANCE_KEYS
 ROW_BLOCK = 4096
@@ -34,8 +38,9 @@ PAGE_BLOCK = 1024
 
 # every period word contains one of these once blanks are gone
 _PERIOD_HINT = r"(?iU)CURRENT|THISY|PRIOR|PREVIOUS|LASTY|Y\d|YEAR\d"
-# headers, totals, labels and misread labels all contain two letters side by side
-_LETTERS = r"\p{L}{2}"
+# headers, totals, labels and misread labels all contain two letters side by side once blanks
+# are gone
+_LETTERS = r"(?U)\p{L}[\s\x1c-\x1f]*\p{L}"
 
 
 def label_pattern(field: str) -> str:
@@ -54,7 +59,8 @@ def period_kind(cell: Column) -> Column:
         return c.rlike(V.PERIOD_CURRENT) | c.rlike(V.PERIOD_PRIOR) | c.rlike(V.PERIOD_NUMBERED)
 
     def kind(c: Column) -> Column:
-        number = F.regexp_extract(c, V.PERIOD_NUMBERED, 1).try_cast("decimal(38,0)")
+        # only digits are cast: a failed cast costs an exception
+        number = F.when(c.rlike(V.PERIOD_NUMBERED), F.regexp_extract(c, V.PERIOD_NUMBERED, 1).try_cast("decimal(38,0)"))
         return F.struct(
             F.when(c.rlike(V.PERIOD_CURRENT), "current")
             .when(c.rlike(V.PERIOD_PRIOR), "prior")
@@ -169,23 +175,14 @@ def label_hits(cell: Column) -> Column:
     return F.when(cell.contains("/"), F.array().cast("array<string>")).otherwise(let(flat, hits))
 
 
-def marked_cells(rows: DataFrame) -> DataFrame:
-    """The cells the reader looks at, one row each, with their kind (BAL4, BAL5); other
-    columns of ``rows`` are kept.
-
-    ``kind``: ``assets`` / ``liabilities`` / ``other`` section header, ``total``,
-    ``label`` (with ``fields``) or ``text`` (a possible misread label).
-    """
-    cells = F.col("cells")
-    numeric = F.transform(cells, lambda c: F.coalesce(c.rlike(r"(?U)[$\d]"), F.lit(False)).cast("int"))
-    wide = rows.withColumn("__numeric", numeric).withColumn(
-        "__n", F.aggregate("__numeric", F.lit(0), lambda a, n: a + n)
-    )
+def _marks(cells: Column, numeric: Column, n: Column) -> Column:
+    """The cells of a row that the reader looks at, with their kind; ``numeric`` tells which cells have a
+    ``$`` or digit, ``n`` how many."""
 
     def one(cell: Column, i: Column) -> Column:
         def mark(raw: Column) -> Column:
             def with_flat(flat: Column) -> Column:
-                alone = F.col("__n") - F.get(F.col("__numeric"), i) == 0
+                alone = n - F.get(numeric, i) == 0
                 assets, liabilities = flat.rlike(V.SECTION_ASSETS), flat.rlike(V.SECTION_LIABILITIES)
                 header = assets | liabilities | flat.rlike(V.SECTION_OTHER)
 
@@ -204,16 +201,32 @@ def marked_cells(rows: DataFrame) -> DataFrame:
                         (~header).alias("may_be_misread"),
                     )
 
-                return F.when(flat.rlike(_LETTERS), let(label_hits(raw), with_fields))
+                return let(label_hits(raw), with_fields)
 
             return let(despace(raw), with_flat)
 
-        return let(strip(cell), mark)
+        return F.when(cell.rlike(_LETTERS), let(strip(cell), mark))
+
+    return F.filter(F.transform(cells, one), lambda m: m["kind"].isNotNull())
+
+
+def _with_numeric(rows: DataFrame) -> DataFrame:
+    """Add ``__numeric`` (which cells have a ``$`` or digit) and ``__n`` (how many)."""
+    numeric = F.transform("cells", lambda c: F.coalesce(c.rlike(r"(?U)[$\d]"), F.lit(False)).cast("int"))
+    return rows.withColumn("__numeric", numeric).withColumn("__n", F.aggregate("__numeric", F.lit(0), lambda a, n: a + n))
+
 
-    marks = F.filter(F.transform(cells, one), lambda m: m["kind"].isNotNull())
+def marked_cells(rows: DataFrame) -> DataFrame:
+    """The cells the reader looks at, one row each, with their kind (BAL4, BAL5); other
+    columns of ``rows`` are kept.
+
+    ``kind``: ``assets`` / ``liabilities`` / ``other`` section header, ``total``,
+    ``label`` (with ``fields``) or ``text`` (a possible misread label).
+    """
+    marks = _marks(F.col("cells"), F.col("__numeric"), F.col("__n"))
     return (
         # outer: an inner explode would make the optimizer classify every cell twice
-        wide.withColumn("__m", F.explode_outer(marks))
+        _with_numeric(rows).withColumn("__m", F.explode_outer(marks))
         .filter(F.col("__m").isNotNull())
         .drop("__numeric", "__n")
         .select("*", "__m.*")
@@ -272,136 +285,167 @@ def own_row_value(cells: Column, i: Column, prefer_col: Column) -> Column:
     return F.coalesce(before, after)
 
 
-def _value_at(offset: Column) -> Column:
-    return F.coalesce(F.col("own"), parse_amount_bs(F.get(F.col("below"), F.col("col") + offset)))
+_SECTIONS = ("assets", "liabilities", "other", "total")
+#: Cells of a block that are folded as they are.
+_FOLDED = 64
+_KEPT = "array<struct<row_idx:int,col:int,fields:array<int>,misread:int,vals:array<double>>>"
 
 
-def _firsts(candidates: DataFrame) -> DataFrame:
-    """One row per page: for each field the value of its first candidate (WIN4)."""
-    at = F.struct("row_idx", "col")
-    return candidates.groupBy("doc_id", "page").agg(
-        *[F.min_by("value", F.when((F.col("field") == f) & F.col("value").isNotNull(), at)).alias(f) for f in KEYS]
-    )
+def _places(fields: Column) -> Column:
+    """Field names as their places in KEYS."""
+    keys = F.array(*[F.lit(k) for k in KEYS])
+    return F.transform(fields, lambda f: (F.array_position(keys, f) - 1).cast("int"))
 
 
-def _ranked_pages(cells: DataFrame) -> DataFrame:
-    """Pages where one cell names several labels and its values stand in the row below.
+def _row_blocks(rows: DataFrame) -> DataFrame:
+    """``doc_id, page, block, rows``: the rows of a page that are not blank, in order, with their marks and the
+    period column they declare."""
 
-    A label's rank among the *still missing* fields of its cell picks the column (WIN5),
-    so what earlier cells settled matters. At most five fields can be settled, hence at
-    most five rounds: each finds the first cell of a page that settles anything given what
-    is already settled. Every round is one aggregate with map-side combine, so no page is
-    ever gathered in one task.
-    """
-    at = F.struct("row_idx", "col")
-    pages = cells.select("doc_id", "page").distinct()
-    state = pages.select(
-        "doc_id", "page", *[F.lit(None).cast("double").alias(f"s_{f}") for f in KEYS],
-        F.lit(None).cast("struct<row_idx:int,col:int>").alias("done"),
-    )
-    for _ in KEYS:
-        work = cells.join(state, ["doc_id", "page"]).withColumn("at", at)
-        settled = F.array_compact(F.array(*[F.when(F.col(f"s_{f}").isNotNull(), F.lit(f)) for f in KEYS]))
-        open_fields = F.filter(F.col("fields"), lambda f: ~F.array_contains(settled, f))
-        work = work.withColumn("__open", open_fields)
-        offsets = F.when(F.size("__open") > 1, F.lit(1)).otherwise(F.lit(0))
-        found = {
-            f: F.when(
-                F.array_contains("__open", f),
-                _value_at(offsets * (F.array_position("__open", f).cast("int") - 1)),
-            )
-            for f in KEYS
-        }
-        work = work.withColumns({f"v_{f}": c for f, c in found.items()})
-        fresh = F.col("done").isNull() | (F.col("at") > F.col("done"))
-        any_value = F.coalesce(*[F.col(f"v_{f}") for f in KEYS]).isNotNull()
-        when = F.when(fresh & any_value, F.col("at"))
-        values = F.struct(*[F.col(f"v_{f}").alias(f) for f in KEYS])
-        state = (
-            work.groupBy("doc_id", "page")
-            .agg(
-                F.min_by(values, when).alias("new"),
-                F.min(when).alias("hit"),
-                *[F.first(f"s_{f}", ignorenulls=True).alias(f"s_{f}") for f in KEYS],
-                F.first("done", ignorenulls=True).alias("done"),
-            )
-            .select(
-                "doc_id",
-                "page",
-                *[F.coalesce(F.col(f"s_{f}"), F.col(f"new.{f}")).alias(f"s_{f}") for f in KEYS],
-                F.coalesce("hit", "done").alias("done"),
+    def slim(m: Column) -> Column:
+        may_be = m["kind"].isin("text", "label") & m["may_be_misread"] & plausible(m["text"])
+        return F.struct(m["col"].cast("int").alias("col"), m["kind"].alias("kind"), m["fields"].alias("fields"), F.when(may_be, m["text"]).alias("guess"))
+
+    marks = F.transform(_marks(F.col("cells"), F.col("__numeric"), F.col("__n")), slim)
+    record = F.struct(F.col("row_idx").cast("int").alias("row_idx"), row_period_column(F.col("cells")).cast("int").alias("declared"), marks.alias("marks"), "cells")
+    some = rows.filter(F.exists("cells", lambda c: strip(c) != ""))
+    return (
+        # never null, so that the join below reads these blocks from one shuffle
+        _with_numeric(some).withColumn("block", F.coalesce(F.floor(F.col("row_idx") / ROW_BLOCK), F.lit(0).cast("long")))
+        .groupBy("doc_id", "page", "block").agg(F.sort_array(F.collect_list(record)).alias("rows"))
+    )
+
+
+def _carried(blocks: DataFrame) -> DataFrame:
+    """``doc_id, page, block`` with ``before`` (the last section event before the block), ``prefer_col`` of its page, and
+    ``next_cells``, the first row of the page's next block."""
+    rows = F.col("rows")
+    events = F.filter(F.flatten(F.transform(rows, lambda r: r["marks"])), lambda m: m["kind"].isin(*_SECTIONS))
+    declared = F.filter(F.transform(rows, lambda r: r["declared"]), lambda d: d.isNotNull())
+    slim = blocks.select(
+        "doc_id", "page", "block", F.get(events, F.size(events) - 1)["kind"].alias("event"), F.get(declared, F.lit(0)).alias("declared"),
+        F.get(rows, F.lit(0))["cells"].alias("first_cells"),
+    )
+    page = W.partitionBy("doc_id", "page").orderBy("block")
+    whole = page.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    paged = slim.withColumns({"declared": F.first("declared", ignorenulls=True).over(whole), "next_cells": F.lead("first_cells").over(page)})
+    values = {"before": (F.col("event"), False), "prefer_col": (F.col("declared"), True)}
+    return carry_several(paged, ["doc_id"], ["page", "block"], values, [F.floor(F.col("page") / PAGE_BLOCK)]).drop("event", "declared", "first_cells")
+
+
+def _resolved(blocks: DataFrame) -> DataFrame:
+    """``doc_id, page, block, kept``: the cells of a block that name fields, each with the value it gives at every
+    column offset; cells without any value go."""
+    rows = F.col("rows")
+
+    def entries(r: Column, i: Column) -> Column:
+        below = F.coalesce(F.get(rows, i + 1)["cells"], F.col("next_cells"))
+        return F.transform(r["marks"], lambda m: F.struct(r["row_idx"].alias("row_idx"), m.alias("m"), r["cells"].alias("cells"), below.alias("below")))
+
+    flat = blocks.withColumn("entries", F.flatten(F.transform(rows, entries))).drop("rows", "next_cells")
+    named = flat.withColumn("misread", fuzzy_labels(F.transform("entries", lambda e: e["m"]["guess"])))
+    keys = {"assets": KEYS.index("total_current_assets"), "liabilities": KEYS.index("total_current_liabilities")}
+    kind = "array<struct<i:int,fields:array<int>>>"
+    start = F.struct(F.col("before").alias("open"), F.lit(0).alias("i"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        what = e["m"]["kind"]
+        opened = F.when(acc["open"] == "assets", keys["assets"]).when(acc["open"] == "liabilities", keys["liabilities"])
+        fields = F.when(what == "total", F.array_compact(F.array(opened))).when(what == "label", _places(e["m"]["fields"]))
+        here = F.struct(acc["i"].alias("i"), F.coalesce(fields, F.array().cast("array<int>")).alias("fields"))
+        names = what.isin("text", "label") | ((what == "total") & opened.isNotNull())
+        return F.struct(
+            F.when(what.isin(*_SECTIONS), what).otherwise(acc["open"]).alias("open"), (acc["i"] + 1).alias("i"),
+            F.when(names, F.array_append(acc["out"], here)).otherwise(acc["out"]).alias("out"),
+        )
+
+    def valued(x: Column) -> Column:
+        e, misread = F.get(F.col("entries"), x["i"]), F.get(F.col("misread"), x["i"])
+
+        def with_own(own: Column) -> Column:
+            offsets = F.sequence(F.lit(0), F.greatest(F.size(x["fields"]) - 1, F.lit(0)))
+            vals = F.transform(offsets, lambda o: F.coalesce(own, parse_amount_bs(F.get(e["below"], e["m"]["col"] + o))))
+            place = F.get(_places(F.array(misread)), F.lit(0))
+            return F.struct(
+                e["row_idx"].alias("row_idx"), e["m"]["col"].alias("col"), x["fields"].alias("fields"), F.when(place >= 0, place).alias("misread"), vals.alias("vals")
             )
-        )
-    return state.select("doc_id", "page", *[F.col(f"s_{f}").alias(f) for f in KEYS])
 
+        return let(own_row_value(e["cells"], e["m"]["col"], F.col("prefer_col")), with_own)
 
-def _kept_cells(rows: DataFrame) -> DataFrame:
-    """Marked cells worth shuffling, all decided without one: ``misread`` names the field of
-    a misread label (other text is dropped here), ``bare`` tells that the row holds no
-    amount for the cell."""
-    may_be = F.col("kind").isin("text", "label") & F.col("may_be_misread") & plausible(F.col("text"))
-    scored = marked_cells(rows).withColumn("misread", F.when(may_be, fuzzy_label(F.when(may_be, F.col("text")))))
-    none = F.lit(None).cast("int")
-    return (
-        scored.filter((F.col("kind") != "text") | F.col("misread").isNotNull())
-        .withColumn("bare", own_row_value(F.col("cells"), F.col("col"), none).isNull())
-        .drop("text", "may_be_misread")
+    named = named.withColumn("named", F.aggregate("entries", start, step, lambda acc: acc["out"]))
+    useful = F.filter("named", lambda x: (F.size(x["fields"]) > 0) | F.get(F.col("misread"), x["i"]).isNotNull())
+    kept = F.filter(F.transform(useful, valued), lambda k: F.exists(k["vals"], lambda v: v.isNotNull()))
+    return named.select("doc_id", "page", "block", kept.cast(_KEPT).alias("kept"))
+
+
+def _settle(acc: Column, cell: Column) -> Column:
+    """One cell's turn: its label's rank among the fields still missing picks the column (WIN5)."""
+    missing = F.filter(cell["fields"], lambda f: F.get(acc, f).isNull())
+
+    def take(left: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            rank = (F.array_position(left, i) - 1).cast("int")
+            value = F.get(cell["vals"], F.when(F.size(left) > 1, rank).otherwise(F.lit(0)))
+            return F.coalesce(v, F.when(rank >= 0, value))
+
+        return F.when(F.size(left) > 0, F.transform(acc, one)).otherwise(acc)
+
+    return let(missing, take)
+
+
+def _thinned(kept: Column) -> Column:
+    """Of many cells those that can settle a field, whatever is settled before."""
+    sets = F.sequence(F.lit(0), F.lit(2 ** len(KEYS) - 1))
+    numbered = F.transform(kept, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+
+    def hits(settled: Column) -> Column:
+        known = F.transform(F.sequence(F.lit(0), F.lit(len(KEYS) - 1)), lambda b: F.when(F.pmod(F.floor(settled / F.pow(F.lit(2), b)), F.lit(2)) == 1, F.lit(0.0)))
+        start = F.struct(known.cast("array<double>").alias("acc"), F.array().cast("array<int>").alias("hits"))
+
+        def step(state: Column, x: Column) -> Column:
+            def compare(after: Column) -> Column:
+                count = lambda a: F.size(F.filter(a, lambda v: v.isNotNull()))
+                changed = count(after) > count(state["acc"])
+                return F.struct(after.alias("acc"), F.when(changed, F.array_append(state["hits"], x["i"])).otherwise(state["hits"]).alias("hits"))
+
+            return let(_settle(state["acc"], x["c"]), compare)
+
+        return F.aggregate(numbered, start, step, lambda state: state["hits"])
+
+    misread = F.transform(
+        F.sequence(F.lit(0), F.lit(len(KEYS) - 1)),
+        lambda f: F.get(F.filter(numbered, lambda x: (x["c"]["misread"] == f) & F.get(x["c"]["vals"], F.lit(0)).isNotNull()), F.lit(0))["i"],
     )
+    wanted = F.array_distinct(F.concat(F.flatten(F.transform(sets, hits)), F.array_compact(misread)))
+    return let(wanted, lambda w: F.filter(kept, lambda c, i: F.array_contains(w, i)))
 
 
 def read_pages(rows: DataFrame) -> DataFrame:
     """Totals of every page that has any, ``doc_id, page`` and one column per field (BAL6).
 
     Inside a page an exact label beats a misread one; misread labels fill what is missing.
-    The kept cells are read several times below, so their lineage is cut once.
     """
-    rows = rows.select("doc_id", "page", "row_idx", "cells")
-    kept = cut(_kept_cells(rows))
-    total = F.col("kind") == "total"
-    usable = (
-        _with_section(kept)
-        .filter(F.col("kind").isin("label", "text") | (total & _section_field().isNotNull()))
-        .withColumn("fields", F.when(total, F.array(_section_field())).otherwise(F.col("fields")))
-    )
-    # the row below matters only where a row holds no amount: few pages are read again
-    lacking = kept.filter(F.col("bare") & F.col("kind").isin("label", "text", "total"))
-    if lacking.isEmpty():
-        below = kept.select("doc_id", "page", "row_idx", F.col("cells").alias("below")).limit(0)
-    else:
-        below = with_row_below(rows.join(lacking.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"))
-    valued = cut(
-        usable.join(period_columns(rows), ["doc_id", "page"], "left")
-        .withColumn("own", own_row_value(F.col("cells"), F.col("col"), F.col("prefer_col")))
-        .join(below.select("doc_id", "page", "row_idx", "below"), ["doc_id", "page", "row_idx"], "left")
-        .select("doc_id", "page", "row_idx", "col", "kind", "fields", "misread", "own", "below")
-    )
-
-    exact = valued.filter(F.col("kind").isin("total", "label"))
-    several = (F.size("fields") > 1) & F.col("own").isNull() & F.col("below").isNotNull()
-    ranked_pages = exact.filter(several).select("doc_id", "page").distinct()
-    plain = (
-        exact.join(ranked_pages, ["doc_id", "page"], "left_anti")
-        .withColumn("value", _value_at(F.lit(0)))
-        .withColumn("field", F.explode("fields"))
-    )
-    exact_pages = _firsts(plain)
-    # a stored table answers this at once; without such pages the rounds are left out
-    if not ranked_pages.isEmpty():
-        ranked = _ranked_pages(exact.join(ranked_pages, ["doc_id", "page"], "left_semi"))
-        exact_pages = exact_pages.unionByName(ranked)
-
-    misread = (
-        valued.filter(F.col("misread").isNotNull())
-        .withColumn("value", _value_at(F.lit(0)))
-        .withColumnRenamed("misread", "field")
-    )
-    fuzzy_pages = _firsts(misread)
-    both = exact_pages.withColumn("tier", F.lit(1)).unionByName(fuzzy_pages.withColumn("tier", F.lit(2)))
-    return (
-        both.groupBy("doc_id", "page")
-        .agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("tier"))).alias(f) for f in KEYS])
-        .filter(F.coalesce(*[F.col(f) for f in KEYS]).isNotNull())
-    )
+    blocks = _row_blocks(rows.select("doc_id", "page", "row_idx", "cells"))
+    known = _resolved(blocks.join(_carried(blocks), ["doc_id", "page", "block"]))
+    useful = F.when(F.size("kept") > _FOLDED, _thinned(F.col("kept"))).otherwise(F.col("kept"))
+    pages = (
+        known.withColumn("kept", useful)
+        .groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("block", "kept"))).alias("x"))
+        .select("doc_id", "page", F.flatten(F.transform("x", lambda b: b["kept"])).alias("kept"))
+    )
+    nothing = F.array(*[F.lit(None).cast("double") for _ in KEYS])
+
+    def guess(acc: Column, cell: Column) -> Column:
+        given = F.transform(acc, lambda v, i: F.coalesce(v, F.when(cell["misread"] == i, F.get(cell["vals"], F.lit(0)))))
+        return F.when(cell["misread"].isNotNull(), given).otherwise(acc)
+
+    exact = pages.withColumn("exact", F.aggregate("kept", nothing, _settle))
+    # exploded from one element: a filter on its fields does not fold the cells again
+    settled = exact.select("doc_id", "page", F.explode(F.array(let(F.aggregate("kept", F.col("exact"), guess), _named_fields))).alias("s"))
+    return settled.select("doc_id", "page", "s.*").filter(F.coalesce(*[F.col(f) for f in KEYS]).isNotNull())
+
+
+def _named_fields(values: Column) -> Column:
+    return F.struct(*[F.get(values, F.lit(i)).alias(k) for i, k in enumerate(KEYS)])
 
 
 def read_balance_sheet(rows: DataFrame) -> DataFrame:

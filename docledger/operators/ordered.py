@@ -86,6 +86,34 @@ def carry_last(
     return joined.drop("__local", "__v", *names)
 
 
+def carry_several(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: dict[str, tuple[Column, bool]],
+    blocks: list[Column],
+) -> DataFrame:
+    """Add, for each ``out: (value, inclusive)``, the last non-null value before each row (inclusive: up to and
+    including it). One pass for all; what crosses blocks is joined only where a key has several."""
+    names = _named(blocks, 0)
+    work = df.withColumns({**dict(zip(names, blocks)), **{f"__v{i}": v for i, (v, _) in enumerate(values.values())}})
+    at = F.struct(*order)
+    spots = W.partitionBy(*keys, *names).orderBy(*_order([F.col(c) for c in order], False))
+    local = {
+        f"__l{i}": F.last(f"__v{i}", ignorenulls=True).over(spots.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
+        for i, (_, inclusive) in enumerate(values.values())
+    }
+    several = range(len(values))
+    tails = work.groupBy(*keys, *names).agg(*[F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), at)).alias(f"__t{i}") for i in several])
+    outer = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
+    incoming = tails.select(*keys, *names, *[F.last(f"__t{i}", ignorenulls=True).over(outer).alias(f"__i{i}") for i in several])
+    incoming = incoming.filter(F.coalesce(*[F.col(f"__i{i}").cast("string") for i in several]).isNotNull())
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*keys, *names]]
+    joined = work.withColumns(local).alias("l").join(incoming.alias("r"), on, "left")
+    out = [F.coalesce(f"l.__l{i}", f"r.__i{i}").alias(n) for i, n in enumerate(values)]
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *out)
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],
