@@ -267,6 +267,37 @@ def _(t):
     return upload.unique_names(ups, held).select(F.col("upload_idx").alias("idx"), "final_name")
 
 
+_RIVALS = """(SELECT CAST(o_custkey % 200 AS VARCHAR) AS uploader_id, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS i, o_orderkey AS idx,
+   'x' || CASE o_orderkey % 6 WHEN 0 THEN ' (' || CAST(o_orderkey % 23 + 1 AS VARCHAR) || ')' WHEN 1 THEN ' (' || CAST(o_orderkey % 5 + 1 AS VARCHAR) || ') (1)' WHEN 2 THEN ' (0)' ELSE '' END AS base
+   FROM {orders} WHERE o_orderkey % 11 <> 0)"""
+
+
+@query(
+    "val9_competing_names",
+    f"""WITH RECURSIVE rivals AS {_RIVALS},
+    steps AS (
+      SELECT CAST(o_custkey % 200 AS VARCHAR) AS uploader_id, 0::BIGINT AS i, NULL::BIGINT AS idx, '' AS final_name,
+        list(DISTINCT 'x (' || CAST(o_orderkey % 13 + 1 AS VARCHAR) || ')') FILTER (o_orderkey % 11 = 0) AS held FROM {{orders}} GROUP BY ALL
+      UNION ALL
+      SELECT uploader_id, i, idx, name || '.pdf', list_append(held, name) FROM (
+        SELECT s.uploader_id, r.i, r.idx, coalesce(held, []::VARCHAR[]) AS held,
+          list_filter(list_transform(range(0, len(coalesce(held, []::VARCHAR[])) + 1), lambda c: base || CASE WHEN c > 0 THEN ' (' || CAST(c AS VARCHAR) || ')' ELSE '' END),
+            lambda n: NOT list_contains(coalesce(held, []::VARCHAR[]), n))[1] AS name
+        FROM steps s JOIN rivals r ON r.uploader_id = s.uploader_id AND r.i = s.i + 1)
+    )
+    SELECT idx, final_name FROM steps WHERE i > 0""",
+)
+def _(t):
+    """Half of an uploader's files are called alike, the others like the names those would get."""
+    k = F.col("o_orderkey")
+    number = lambda n: F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))
+    tail = F.when(k % 6 == 0, number(k % 23 + 1)).when(k % 6 == 1, F.concat(number(k % 5 + 1), F.lit(" (1)"))).when(k % 6 == 2, " (0)").otherwise("")
+    who = (F.col("o_custkey") % 200).cast("string").alias("uploader_id")
+    ups = t["orders"].filter(k % 11 != 0).select(who, k.alias("upload_idx"), F.concat(F.lit("x"), tail, F.lit(".PDF")).alias("name"))
+    held = t["orders"].filter(k % 11 == 0).select(who, F.concat(F.lit("x"), number(k % 13 + 1), F.lit(".pdf")).alias("name"))
+    return upload.unique_names(ups, held).select(F.col("upload_idx").alias("idx"), "final_name")
+
+
 @query("val10_batch_gate", "SELECT user_id, count(*) AS n, count(*) > 10 AS too_many FROM {events} GROUP BY user_id")
 def _(t):
     batch = t["events"].select(F.col("user_id").alias("request_id"), (F.col("value") * 1000).cast("long").alias("byte_size"))
