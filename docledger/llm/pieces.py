@@ -20,6 +20,7 @@ ids; a null key counts as 0. Other columns pass through unless named like the re
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from itertools import count as counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +43,7 @@ _LITERAL = "\ud800"
 _UNIT = re.compile(rf"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 _END = "\x00"
 _CUT = "\ud802"
-_CHARS = 3 << 18
+_CHARS = 1 << 21
 #: Filter of the pieces' hashes, looked at before an exact search.
 _SLOTS = 1 << 18
 _PRIME = np.uint64(0x100000001B3)
@@ -69,20 +72,29 @@ class Vocabulary:
         first = min(self.pieces.values(), default=0)
         self.log = -theta * np.log(np.maximum(np.arange(size) - first, 0) + 2.0)
         self.fallback = -theta * np.log(size + 2.0)
-        # by length: sorted hashes of its pieces with their ids, filters of those hashes, and of
-        # the hashes of what longer pieces begin with
+        # by length: hashes of its pieces, sorted by slot, with their ids, filters of those hashes,
+        # and of the hashes of what longer pieces begin with
         self.by_length = []
         with np.errstate(over="ignore"):
             for n in range(1, max(map(len, self.pieces), default=0) + 1):
                 some = [p for p in self.pieces if len(p) == n]
                 hashes = _hashed(some, n)
-                order = np.argsort(hashes)
+                order = np.argsort(hashes & np.uint64(_SLOTS - 1), kind="stable")
                 if len(np.unique(hashes)) < len(hashes):
                     raise ValueError("two pieces of one length share a hash")
                 longer = {p[:n] for p in self.pieces if len(p) > n}
                 ids = np.array([self.pieces[p] for p in some], np.int32)[order]
                 self.by_length.append((hashes[order], ids, _filter(hashes), _filter(_hashed(list(longer), n))))
 
+    @functools.cached_property
+    def slots(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length: where a slot's hashes begin, and how many it has. Built by each worker."""
+        out = []
+        for hashes, *_ in self.by_length:
+            counts = np.bincount((hashes & np.uint64(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS)
+            out.append(((np.cumsum(counts) - counts).astype(np.uint16 if len(hashes) < 1 << 16 else np.int32), counts.astype(np.uint8)))
+        return out
+
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in a text given as code points, longest first: (place after it, length, id)."""
         to, length, piece = [], [], []
@@ -93,12 +105,18 @@ class Vocabulary:
             slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int32)
             some = np.flatnonzero(filled[slot])
             if len(known) and len(some):
-                asked = hashes[some]
-                spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                hit = known[spot] == asked
-                to.append(at[some[hit]] + np.int32(n))
-                length.append(np.full(int(hit.sum()), n, np.uint8))
-                piece.append(ids[spot[hit]])
+                begin, count = self.slots[n - 1]
+                nth = 0
+                while len(some):  # most slots have one hash
+                    spot = begin[slot[some]].astype(np.int32) + np.int32(nth)
+                    hit = known[spot] == hashes[some]
+                    found = some[hit]
+                    to.append(at[found] + np.int32(n))
+                    length.append(np.full(len(found), n, np.uint8))
+                    piece.append(ids[spot[hit]])
+                    nth += 1
+                    some = some[~hit]
+                    some = some[count[slot[some]] > nth]
             # only where a longer piece may begin
             on = np.flatnonzero(begun[slot] & (at < len(codes) - n))
             at, hashes = at[on], hashes[on]
@@ -206,7 +224,14 @@ def _units(text: str) -> list[str]:
     return [u for u in marked.split(_CUT) if u]
 
 
-def _encode(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, seed: int) -> list[np.ndarray]:
+def _encode(texts: list[str | None], keys: np.ndarray, vocabulary: Vocabulary, seed: int) -> list[np.ndarray]:
+    """The ids of each text."""
+    ids, at = _encode_all(texts, keys, vocabulary, seed)
+    return np.split(ids, at[1:-1])
+
+
+def _encode_all(texts: list[str | None], keys: np.ndarray, vocabulary: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and where each text's begin and the last end."""
     index: dict[str, int] = defaultdict(counter().__next__)  # words by order of appearance
     word, row, place = [], [], []
     for r, t in enumerate(texts):
@@ -217,7 +242,7 @@ def _encode(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, seed: in
         row.append(np.full(len(units), r, np.int32))
         place.append(np.arange(len(units), dtype=np.int32))
     if not word:
-        return [np.empty(0, np.int32) for _ in texts]
+        return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     word, row, place = np.array(word, np.int32), np.concatenate(row), np.concatenate(place)
     noise = mix(keys[row] ^ mix(np.uint64(seed) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
     lattice = Lattice(list(index), vocabulary)
@@ -239,7 +264,7 @@ def _encode(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, seed: in
     for o, s in zip(offset[bare], spelt):
         ids[o : o + len(s)] = vocabulary.byte_ids[list(s)]
     per_row = np.bincount(row[occurrence], weights=width, minlength=len(texts)).astype(np.int64)
-    return np.split(ids, np.cumsum(per_row)[:-1])
+    return ids, np.concatenate([[0], np.cumsum(per_row)])
 
 
 def _bytes(char: str) -> bytes:
@@ -255,17 +280,25 @@ def encode(
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = "ids array<int>" + (", decoded string" if decoded else "")
 
-    @F.pandas_udf(kind)
-    def sampled(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(kind)
+    def sampled(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, keys in parts:
-            keys = keys.to_numpy(dtype=np.int64).view(np.uint64)
-            size = np.cumsum(texts.str.len().fillna(0).to_numpy(dtype=np.int64)) // _CHARS
-            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1):
-                part = texts.iloc[rows].tolist()  # results leave in parts, too: they are as large as the texts
+            keys = keys.to_numpy().view(np.uint64)
+            sizes = pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_numpy().astype(np.int64)
+            bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // _CHARS, prepend=-1)).tolist()
+            made = []
+            for a, b in zip(bounds, [*bounds[1:], len(texts)]):
+                part = texts.slice(a, b - a).to_pylist()
                 with np.errstate(over="ignore"):
-                    ids = [None if t is None else i for t, i in zip(part, _encode(part, keys[rows], held.value, seed))]
-                made = {"ids": ids} | ({"decoded": [_decode(i, held.value.raw) for i in ids]} if decoded else {})
-                yield pd.DataFrame(made, dtype=object)
+                    ids, at = _encode_all(part, keys[a:b], held.value, seed)
+                none = np.fromiter((t is None for t in part), bool, len(part))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=pa.array(none))
+                columns = [lists]
+                if decoded:
+                    told = [None if t is None else _decode(ids[c:d], held.value.raw) for t, c, d in zip(part, at[:-1].tolist(), at[1:].tolist())]
+                    columns.append(pa.array(told, pa.string()))
+                made.append(pa.StructArray.from_arrays(columns, names=["ids", "decoded"][: len(columns)]))
+            yield pa.concat_arrays(made)
 
     coded = small_batches(docs).withColumn("__coded", sampled(F.col(text), F.xxhash64(F.col(key))))
     coded = coded.withColumn(out, F.col("__coded.ids"))
