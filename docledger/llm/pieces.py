@@ -15,7 +15,7 @@ and U+2581 (the vocabulary's sign for a blank), are encoded as their UTF-8 bytes
 
 Nulls and blanks: a null text gives null ids and decodes to null; an empty one gives no ids
 and decodes to the empty text. Texts of any length are read whole. Repeated rows give equal
-ids; a null key counts as 0. Other columns pass through unless named like the result.
+ids; a null key draws like one that hashes to 42. Other columns pass through unless named like the result.
 """
 
 from __future__ import annotations
@@ -227,7 +227,7 @@ def _units(text: str) -> list[str]:
 def _encode(texts: list[str | None], keys: np.ndarray, vocabulary: Vocabulary, seed: int) -> list[np.ndarray]:
     """The ids of each text."""
     ids, at = _encode_all(texts, keys, vocabulary, seed)
-    return np.split(ids, at[1:-1])
+    return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _encode_all(texts: list[str | None], keys: np.ndarray, vocabulary: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
