@@ -32,8 +32,6 @@ from .bktree import Forest, merged
 from .common import mix, small_batches
 
 _PRINT = StructType([StructField("fp", BinaryType()), StructField("minima", ArrayType(LongType()))])
-#: Ids from here up stand for nodes whose rows have no id at all.
-_NO_ID = 1 << 62
 _PART = 1 << 15
 #: Of the sets that are compared exactly: one text's fingerprint, name and size.
 _SET = StructType([*_PRINT.fields, StructField("id", LongType()), StructField("n", LongType())])
@@ -206,7 +204,7 @@ def near_duplicates(
     docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, blocks: int = 5, minima: int = 0, cap: int = 2048
 ) -> DataFrame:
     """(doc_id, fp, component_id): a row for each row of ``docs``; ``component_id`` is the
-    smallest id that links reach.
+    smallest id that links reach, null where none of them has an id.
 
     With ``minima`` 0 shards are blocks of fingerprint bits and no link is missed. With
     ``minima`` above 0, for fingerprints of many bits and a large radius, where blocks select
@@ -215,11 +213,10 @@ def near_duplicates(
     from .components import components
 
     prints = cut(fingerprints(docs, words, bits, minima))
-    no_id = F.xxhash64("fp").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("minima").alias("minima"))
     # an id may stand on rows of different texts, so a node is named by its fingerprint
     name = _as_long("fp") if bits == 64 else F.xxhash64("fp")
-    nodes = cut(nodes.select("fp", "minima", F.coalesce("id", no_id).alias("doc"), name.alias("id")))
+    nodes = cut(nodes.select("fp", "minima", F.col("id").alias("doc"), name.alias("id")))
     shards = F.col("minima") if minima else block_shards(bits, radius, blocks)
     found = components(near_links(nodes.withColumn("shards", shards), radius, cap))
     placed = (
@@ -230,8 +227,7 @@ def near_duplicates(
     placed = cut(placed)
     names = cut(placed.groupBy("root").agg(F.min("doc").alias("component_id")))
     placed = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
-    known = F.when(F.col("component_id") < F.lit(_NO_ID), F.col("component_id"))
-    return prints.select("doc_id", "fp").join(placed, "fp").select("doc_id", "fp", known.alias("component_id"))
+    return prints.select("doc_id", "fp").join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
