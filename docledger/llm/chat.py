@@ -244,7 +244,7 @@ def states(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
 def turns(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
     """(conv_id, turn_no, role, text, rendered): the turns that ``lines`` hold, markers and the
     blank line after a turn taken off, and their canonical form."""
-    found = states(lines, model, order).filter(F.col("turn_no").isNotNull())
+    found = states(lines.select("conv_id", *order, "line"), model, order).filter(F.col("turn_no").isNotNull())
     part = F.col("state") % len(PARTS)
     line = F.when(part == 0, without_marker(F.col("line"))).otherwise(F.col("line"))
     # a turn is one value, as the text of a document is
