@@ -190,20 +190,23 @@ _READ = StructType(
 
 
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``media`` (the stored WAV file) and ``n_bytes`` (of the text)."""
+    """``docs`` with ``media`` (the stored WAV file) and ``n_bytes`` (of the text); columns of those names go."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in _MEDIA.names]
 
     @F.pandas_udf(_MEDIA)
     def stored(texts: pd.Series) -> pd.DataFrame:
         rows = [payload_of(t) for t in texts]
         return pd.DataFrame({"media": [store(p) for p, _ in rows], "n_bytes": [n for _, n in rows]})
 
-    return small_batches(docs).withColumn("__m", stored(F.col(text))).select(*docs.columns, "__m.media", "__m.n_bytes")
+    return small_batches(docs).withColumn("__m", stored(F.col(text))).select(*kept, "__m.media", "__m.n_bytes")
 
 
 def with_features(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with what its stored files hold: digests of the samples and the file, the feature
     tensor (row by row, ``TIMES`` x ``MELS``) with its time spans, and the active segments.
-    ``feature`` is the tensor in halves of a dB above -60 dB, two hexadecimal digits each."""
+    ``feature`` is the tensor in halves of a dB above -60 dB, two hexadecimal digits each. Columns named like
+    these go."""
+    kept = [F.col(f"`{c}`") for c in media.columns if c not in _READ.names]
 
     @F.pandas_udf(_READ)
     def read(files: pd.Series) -> pd.DataFrame:
@@ -220,7 +223,7 @@ def with_features(media: DataFrame, column: str = "media") -> DataFrame:
             ))
         return pd.DataFrame(rows, columns=_READ.names)
 
-    return small_batches(media).withColumn("__f", read(F.col(column))).select(*media.columns, "__f.*")
+    return small_batches(media).withColumn("__f", read(F.col(column))).select(*kept, "__f.*")
 
 
 def tensor_table(rows: pa.Table, tensor: str = "tensor") -> pa.Table:
