@@ -52,26 +52,29 @@ def signature(text: Column, k: int = 2, slots: int = 32, take: int = 2) -> Colum
 
     def numbered(h: Column) -> Column:
         """Hash of (gram, occurrence) with its place, sorted."""
-        order = F.sort_array(F.transform(h, lambda x, i: _packed(x, i)))
         place = lambda s, p: F.get(s, p).bitwiseAND(F.lit(_MASK)).cast("int")
         at = lambda s, p: F.get(h, place(s, p))
 
-        def from_sorted(s: Column) -> Column:
-            every = F.sequence(F.lit(0), F.size(s) - 1)
-            opens = F.filter(every, lambda p: (p == 0) | (at(s, p) != at(s, p - 1)))
+        def opens(s: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda p: (p == 0) | (at(s, p) != at(s, p - 1)))
 
-            def runs(opens: Column) -> Column:
-                def run(begin: Column, j: Column) -> Column:
-                    end = F.coalesce(F.get(opens, j + 1), F.size(s)) - 1
-                    return F.transform(
-                        F.sequence(begin, end), lambda p: _packed(F.xxhash64(at(s, p), p - begin), place(s, p))
-                    )
+        def number(s: Column, opens: Column) -> Column:
+            def run(begin: Column, j: Column) -> Column:
+                end = F.coalesce(F.get(opens, j + 1), F.size(s)) - 1
+                return F.transform(F.sequence(begin, end), lambda p: _packed(F.xxhash64(at(s, p), p - begin), place(s, p)))
 
-                return F.flatten(F.transform(opens, run))
+            return F.sort_array(F.flatten(F.transform(opens, run)))
 
-            return F.sort_array(let(opens, runs))
+        def from_sorted(s: Column, opens_: Column) -> Column:
+            # different grams with equal leading bits stand by place, one among the other: those texts are
+            # sorted by the whole hash
+            mixed = F.exists(opens_, lambda p: F.shiftright(F.get(s, p), _PLACE) == F.shiftright(F.get(s, p - 1), _PLACE))
+            whole = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p"))))
+            places = F.transform(whole, lambda x: x["p"])
+            return F.when(F.coalesce(mixed, F.lit(False)), let(places, lambda s: let(opens(s), lambda o: number(s, o)))).otherwise(number(s, opens_))
 
-        return let(order, from_sorted)
+        order = F.sort_array(F.transform(h, lambda x, i: _packed(x, i)))
+        return let(order, lambda s: let(opens(s), lambda o: from_sorted(s, o)))
 
     def slot(y: Column) -> Column:
         return F.shiftrightunsigned(y, 64 - bits).cast("int")

@@ -52,6 +52,17 @@ def test_signature_is_the_definition(spark, text):
     assert got == brute(spark, text)
 
 
+@pytest.mark.parametrize("before", ["", "w191316 and more words than two "])
+def test_occurrences_of_grams_with_equal_leading_bits(spark, before):
+    """The hashes of these two words agree in their leading 34 bits."""
+    text = before + "w181519 w191316 w181519 w191316 w191316"
+    a, b = spark_hash(spark, ["w181519", "w191316"])
+    pair = spark_hash(spark, [a, b])
+    assert pair[0] >> 30 == pair[1] >> 30 and pair[0] != pair[1]
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(order_minhash.signature(F.col("text"), k=1).alias("s")).first().s == brute(spark, text, k=1)
+
+
 def test_order_matters_and_distance_shows(spark):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words), " ".join(words[:-5]), " ".join(words[100:] + words[:100]), " ".join(reversed(words)), " ".join(f"v{i}" for i in range(200))]
