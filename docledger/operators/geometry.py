@@ -10,13 +10,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.amounts import parse_amount, parse_amount_bs, same_amount
 from ..functions.cleaning import clean_value, looks_like_address, looks_like_bsb, looks_like_name
 from ..functions.extract_au import reads_as_person
-from ..functions.text import despace, line_of_offset, literal_occurrences, match_spans, strip
+from ..functions.text import despace, let, line_of_offset, literal_occurrences, match_spans, strip
 from ..session import cut
 from .balance import label_pattern
 from .ordered import carry_last, number_rows, running_sum
@@ -442,74 +443,94 @@ def recover_rows(frags: DataFrame, missing: DataFrame) -> DataFrame:
     ``frags``: doc_id, page, table_idx, frag_idx, text, x1..y2; ``missing``: doc_id, page,
     field. A label is a run of at most eight fragments of the leftmost column whose joined
     text begins with it; its value is the rightmost readable column in a window below.
-    """
-    wanted = frags.join(missing.select(*PAGE).distinct(), PAGE, "left_semi")
-    left = wanted.groupBy(*TABLE).agg(F.min("x1").alias("left_x"))
-    placed = wanted.join(left, TABLE)
-    in_band = F.col("x1") - F.col("left_x") < V.LABEL_BAND
-    labels = placed.filter(in_band).drop("left_x")
-    labels = number_rows(
-        labels, TABLE, ["y1", "x1", "text", "frag_idx"], "n", [F.floor(F.col("y1") / BAND)]
-    )
-
-    # runs start only at a fragment that could begin a label; each takes the eight
-    # fragments from there on
-    starts = labels.filter(F.col("text").rlike(r"(?iU)^\s*(?:[tn]|$)")).select(
-        *TABLE, F.col("n").alias("run"), F.col("y1").alias("row_y1"),
-        F.explode(F.sequence(F.col("n"), F.col("n") + V.LABEL_RUN - 1)).alias("n"),
-    )
-    runs = (
-        starts.join(labels.select(*TABLE, "n", "text"), [*TABLE, "n"])
-        .groupBy(*TABLE, "run", "row_y1")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("parts"))
-    )
 
-    def joined(parts: Column) -> Column:
-        return despace(F.array_join(F.transform(parts, lambda p: p["text"]), ""))
+    Fragments are shuffled once, to one row for each band of a table; runs and columns are
+    found in arrays of that row. A run that leaves its band is completed from the first
+    fragments of the bands that follow, which is all that meets for a whole table.
+    Fragments without a position are left out.
+    """
+    band = [*TABLE, "band"]
+    piece = F.struct("y1", "x1", despace(F.col("text")).alias("text"), "frag_idx")
+    blocks = (
+        frags.filter(F.col("x1").isNotNull() & F.col("y1").isNotNull())
+        .groupBy(*TABLE, F.floor(F.col("y1") / BAND).alias("band"))
+        .agg(F.array_sort(F.collect_list(piece)).alias("parts"), F.min("x1").alias("min_x"))
+    )
+    wanted = missing.groupBy(*PAGE).agg(F.collect_set("field").alias("wanted"))
+    left_x = F.min("min_x").over(W.partitionBy(*TABLE))
+    edges = blocks.select(*band, "min_x").repartition(*PAGE).join(wanted, PAGE).select(*band, "wanted", left_x.alias("left_x"))
+    labels = F.filter("parts", lambda p: p["x1"] - F.col("left_x") < V.LABEL_BAND)
+    rest = V.LABEL_RUN - 1
+
+    def in_block(found: Column) -> Column:
+        inside = F.greatest(F.size(found) - rest, F.lit(0))
+        return F.struct(
+            _label_rows(found, inside, F.col("wanted")).alias("rows"),
+            F.slice(found, 1, rest).alias("first"),
+            F.slice(found, inside + 1, F.lit(rest)).alias("last"),
+        )
 
-    whole = joined(F.col("parts"))
-    # a label found in a shorter run is found in the whole one, unless it depends on what
-    # follows; those are tried on every length
-    def begins(field: str) -> Column:
+    seen = blocks.join(edges, band).withColumn("b", let(labels, in_block)).select(*band, "wanted", "left_x", "b.*")
+    after = F.flatten(F.collect_list("first").over(W.partitionBy(*TABLE).orderBy("band").rowsBetween(1, rest)))
+    rows = (
+        seen.filter(F.size("last") > 0)
+        .withColumn("after", F.slice(after, 1, rest))
+        .withColumn("across", let(F.concat("last", "after"), lambda a: _label_rows(a, F.size("last"), F.col("wanted"))))
+        .select(*TABLE, "left_x", F.explode(F.concat("rows", "across")).alias("row"))
+        .groupBy(*TABLE, "row.field")
+        .agg(F.min("row.y1").alias("row_y1"), F.first("left_x").alias("left_x"))
+    )
+    top, bottom = F.col("row_y1") - V.VALUE_WINDOW_ABOVE, F.col("row_y1") + V.VALUE_WINDOW_BELOW
+    near = F.filter("parts", lambda p: (p["x1"] - F.col("left_x") >= V.LABEL_BAND) & p["y1"].between(top, bottom))
+    by_x = F.transform(near, lambda p: F.struct(p["x1"], p["frag_idx"], p["y1"], p["text"]))
+    values = rows.withColumn("band", F.explode(bands(top, bottom))).join(blocks, band).select(*TABLE, "field", by_x.alias("near"))
+    amounts = values.groupBy(*TABLE, "field").agg(
+        let(F.array_sort(F.flatten(F.collect_list("near"))), _rightmost_amount).alias("amount")
+    )
+    found = amounts.filter(F.col("amount").isNotNull())
+    return found.groupBy(*PAGE, "field").agg(F.min_by("amount", "table_idx").alias("value"))
+
+
+def _label_rows(labels: Column, starts: Column, wanted: Column) -> Column:
+    """``(field, y1)`` of the first run, among those beginning in the first ``starts``
+    fragments, that opens with each wanted field's label."""
+
+    def run(part: Column, i: Column) -> Column:
+        texts = F.transform(F.slice(labels, i + 1, F.lit(V.LABEL_RUN)), lambda p: p["text"])
+        could_begin = part["text"].rlike(r"(?iU)^(?:[tn]|$)")
+        return F.when(could_begin, F.struct(part["y1"].alias("y1"), texts.alias("texts"), F.array_join(texts, "").alias("whole")))
+
+    def begins(r: Column, field: str) -> Column:
         pattern = f"(?iU)^(?:{V.BALANCE_LABELS[field]})"
+        # a label found in a shorter run is found in the whole one, unless it depends on
+        # what follows; those are tried on every length
         if "(?!" not in pattern:
-            return F.col("whole").rlike(pattern)
-        lengths = F.sequence(F.lit(1), F.size("parts"))
-        return F.exists(lengths, lambda k: joined(F.slice("parts", F.lit(1), k)).rlike(pattern))
+            return r["whole"].rlike(pattern)
+        lengths = F.sequence(F.lit(1), F.size(r["texts"]))
+        return F.exists(lengths, lambda k: F.array_join(F.slice(r["texts"], F.lit(1), k), "").rlike(pattern))
 
-    runs = runs.withColumn("whole", whole)
-    named = F.array_compact(F.array(*[F.when(begins(f), F.lit(f)) for f in V.BALANCE_KEYS]))
-    rows = (
-        runs.withColumn("field", F.explode_outer(named))
-        .filter(F.col("field").isNotNull())
-        .join(missing.select(*PAGE, "field"), [*PAGE, "field"], "left_semi")
-        .groupBy(*TABLE, "field")
-        .agg(F.min_by("row_y1", "run").alias("row_y1"))
-        .withColumn(
-            "band",
-            F.explode(
-                bands(F.col("row_y1") - V.VALUE_WINDOW_ABOVE, F.col("row_y1") + V.VALUE_WINDOW_BELOW)
-            ),
-        )
-    )
-    values = placed.filter(~in_band).withColumn("band", F.floor(F.col("y1") / BAND))
-    window = F.col("y1").between(
-        F.col("row_y1") - V.VALUE_WINDOW_ABOVE, F.col("row_y1") + V.VALUE_WINDOW_BELOW
-    )
-    near = values.join(rows, [*TABLE, "band"]).filter(window)
-    keys = [*TABLE, "field"]
-    # columns are islands of fragments whose left edges are close together
-    stepped = carry_last(
-        near, keys, ["x1", "frag_idx"], F.col("x1"), "prev_x", [F.floor(F.col("x1") / BAND)]
-    ).withColumn("new", (F.col("prev_x").isNull() | (F.col("x1") - F.col("prev_x") > V.COLUMN_GAP)).cast("long"))
-    islands = running_sum(
-        stepped, keys, ["x1", "frag_idx"], F.col("new"), "island", [F.floor(F.col("x1") / BAND)], inclusive=True
-    )
-    parts = F.array_sort(F.collect_list(F.struct("y1", "x1", "frag_idx", "text")))
-    columns = islands.groupBy(*keys, "island").agg(
-        parse_amount_bs(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("amount")
-    )
-    per_table = columns.filter(F.col("amount").isNotNull()).groupBy(*keys).agg(
-        F.max_by("amount", "island").alias("amount")
+    def first(runs: Column, field: str) -> Column:
+        opening = F.get(F.filter(runs, lambda r: begins(r, field)), F.lit(0))
+        return F.when(F.array_contains(wanted, field) & opening.isNotNull(), F.struct(F.lit(field).alias("field"), opening["y1"].alias("y1")))
+
+    runs = F.array_compact(F.transform(F.slice(labels, F.lit(1), starts), run))
+    return let(runs, lambda r: F.array_compact(F.array(*[first(r, f) for f in V.BALANCE_KEYS])))
+
+
+def _rightmost_amount(parts: Column) -> Column:
+    """The last readable amount of the columns that ``parts``, sorted by ``x1``, form: islands
+    of fragments whose left edges are close together."""
+    opens = F.filter(
+        F.transform(parts, lambda p, i: F.when((i == 0) | (p["x1"] - F.get(parts, i - 1)["x1"] > V.COLUMN_GAP), i)),
+        lambda i: i.isNotNull(),
     )
-    return per_table.groupBy(*PAGE, "field").agg(F.min_by("amount", "table_idx").alias("value"))
+
+    def amounts(opens: Column) -> Column:
+        def amount(begin: Column, j: Column) -> Column:
+            island = F.slice(parts, begin + 1, F.coalesce(F.get(opens, j + 1), F.size(parts)) - begin)
+            read = F.array_sort(F.transform(island, lambda p: F.struct(p["y1"], p["x1"], p["frag_idx"], p["text"])))
+            return parse_amount_bs(F.array_join(F.transform(read, lambda p: p["text"]), ""))
+
+        return F.array_compact(F.transform(opens, amount))
+
+    return let(let(opens, amounts), lambda a: F.get(a, F.size(a) - 1))
