@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .amounts import parse_amount
 from .cleaning import clean_value, looks_like_name
-from .text import find_all, first_not_null, let, strip
+from .text import find_all, first_not_null, leading_blanks, let, match_spans, strip
 
 
 def first_accepted(text: Column, pattern: str, locale: str = "au") -> Column:
@@ -26,6 +26,17 @@ def label_fields(text: Column) -> dict[str, Column]:
     return {k: first_accepted(text, p) for k, p in V.AU_LABELS.items()}
 
 
+def _gross_before_net(gross: Column, net: Column) -> Column:
+    def pick(pair: Column) -> Column:
+        gross, net = pair["gross"], pair["net"]
+        return F.struct(
+            F.coalesce(gross, net).alias("amount"),
+            F.when(gross.isNotNull(), F.lit("gross")).when(net.isNotNull(), F.lit("net")).alias("basis"),
+        )
+
+    return let(F.struct(gross.alias("gross"), net.alias("net")), pick)
+
+
 def income(text: Column) -> Column:
     """``(amount, basis)``; every gross label is tried before any net label (EXT3)."""
 
@@ -35,14 +46,7 @@ def income(text: Column) -> Column:
         )
         return first_not_null(amounts)
 
-    def pick(pair: Column) -> Column:
-        gross, net = pair["gross"], pair["net"]
-        return F.struct(
-            F.coalesce(gross, net).alias("amount"),
-            F.when(gross.isNotNull(), F.lit("gross")).when(net.isNotNull(), F.lit("net")).alias("basis"),
-        )
-
-    return let(F.struct(first("gross").alias("gross"), first("net").alias("net")), pick)
+    return _gross_before_net(first("gross"), first("net"))
 
 
 def annual_salary(text: Column) -> Column:
@@ -101,6 +105,60 @@ def context_name(text: Column, is_person=reads_as_person) -> Column:
     return let(lines, hits)
 
 
+def cleaned_hits(text: Column, pattern: str) -> Column:
+    """``value, start, end`` of the matches whose captured value survives cleaning."""
+    return clean_hits(match_spans(text, pattern, 1))
+
+
+def clean_hits(spans: Column) -> Column:
+    """The same of matches found before.
+
+    Every label pattern ends with its capture group, so the group starts at the match end
+    minus its length; blanks dropped by cleaning shift it right.
+    """
+
+    def place(span: Column) -> Column:
+        raw = span["grp"]
+        start = span["end"] - F.length(raw) + leading_blanks(raw)
+        return let(
+            clean_value(raw),
+            lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), start.alias("start"), (start + F.length(v)).alias("end"))),
+        )
+
+    return F.array_compact(F.transform(spans, place))
+
+
+CLEANED = {**V.AU_LABELS, **V.AU_INCOME}
+_HIT = "__hits_"
+
+
+def with_hits(df: DataFrame, text: str = "text") -> DataFrame:
+    """One column for each pattern with all its matches and their places, from one pass of the
+    pattern. Fields and spans are both read from these (``hits=hit_columns()``).
+
+    They are columns of their own: a struct of them would be taken apart by the optimizer and
+    its patterns searched again for every use."""
+    c = F.col(text)
+    # a null text has no lists, an empty one has empty lists
+    raw = {k: F.when(c.isNotNull(), match_spans(c, p)) for k, p in V.AU_LISTS.items()} | {"annual_salary": match_spans(c, V.ANNUAL_SALARY, 1)}
+    found = raw | {k: cleaned_hits(c, p) for k, p in CLEANED.items()}
+    return df.withColumns({_HIT + k: v for k, v in found.items()})
+
+
+def hit_columns() -> dict[str, Column]:
+    return {k: F.col(_HIT + k) for k in [*V.AU_LISTS, "annual_salary", *CLEANED]}
+
+
+def _fields_of_hits(hits: dict[str, Column]) -> dict[str, Column]:
+    """EXT1 to EXT4 from all matches."""
+    out = {k: F.transform(hits[k], lambda s: s["value"]) for k in V.AU_LISTS}
+    out |= {k: F.get(hits[k], F.lit(0))["value"] for k in V.AU_LABELS}
+    first = {b: first_not_null(F.transform(hits[b], lambda s: parse_amount(s["value"]))) for b in V.AU_INCOME}
+    out["__income"] = _gross_before_net(first["gross"], first["net"])
+    out["annual_salary"] = parse_amount(F.get(hits["annual_salary"], F.lit(0))["grp"])
+    return out
+
+
 FIELD_TYPES = {
     "abn": "array<string>", "phone": "array<string>", "dates": "array<string>", "salary": "array<string>",
     "name": "string", "address": "string", "employer_name": "string", "employer_address": "string",
@@ -112,16 +170,18 @@ FIELD_TYPES = {
 TEXT_KEYS = [k for k in FIELD_TYPES if k not in V.BALANCE_KEYS]
 
 
-def with_text_fields(df: DataFrame, text: str = "text", is_person=reads_as_person, keys: list[str] | None = None) -> DataFrame:
+def with_text_fields(df: DataFrame, text: str = "text", is_person=reads_as_person, keys: list[str] | None = None, hits: dict[str, Column] | None = None) -> DataFrame:
     """Add one column per text field (EXT1-6). ``keys`` limits the work to the fields a
-    caller needs; each pattern is a pass over the text."""
+    caller needs; each pattern is a pass over the text, unless its matches are in ``hits``."""
     c = F.col(text)
     want = set(keys or TEXT_KEYS)
-    cols = {k: v for k, v in {**regex_fields(c), **label_fields(c)}.items() if k in want}
     if want & {"income", "income_basis"}:
-        cols["__income"] = income(c)
-    if "annual_salary" in want:
-        cols["annual_salary"] = annual_salary(c)
+        want.add("__income")
+    if hits:
+        cols = _fields_of_hits(hits)
+    else:
+        cols = {**regex_fields(c), **label_fields(c), "__income": income(c), "annual_salary": annual_salary(c)}
+    cols = {k: v for k, v in cols.items() if k in want}
     if "pay_period_days" in want:
         cols["pay_period_days"] = pay_period_days(c)
     out = df.withColumns(cols)

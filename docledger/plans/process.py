@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.extract_au import FIELD_TYPES, pay_period_error, suppress_salary, with_text_fields
+from ..functions.extract_au import FIELD_TYPES, hit_columns, pay_period_error, suppress_salary, with_hits, with_text_fields
 from ..functions.validation import route
 from ..operators.balance import cross_check, first_page_wins, missing_fields, read_pages
 from ..operators.geometry import recover_rows, repair_split, sensitive_boxes, to_composite
@@ -27,14 +27,15 @@ def field_columns() -> dict[str, Column]:
 def read_text_documents(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Documents with their own text (``doc_id, text``) and, where they have tables, the
     totals found there: fields, cross-check, spans."""
-    out = with_text_fields(docs).withColumn("error", pay_period_error(F.col("text")))
+    hits = hit_columns()
+    out = with_text_fields(with_hits(docs), hits=hits).withColumn("error", pay_period_error(F.col("text")))
     totals = first_page_wins(read_pages(rows)) if rows is not None else None
     if totals is not None:
         out = out.join(totals, "doc_id", "left")
     else:
         out = out.withColumns({k: F.lit(None).cast("double") for k in V.BALANCE_KEYS})
     out = suppress_salary(cross_check(out))
-    spans = sensitive_spans(F.col("text"), field_columns())
+    spans = sensitive_spans(F.col("text"), field_columns(), hits)
     items = F.transform(
         spans,
         lambda s: F.struct(

@@ -349,8 +349,9 @@ def _(t):
 
 # --- spans ---------------------------------------------------------------------------
 def _payslip_spans(t):
-    df = extract_au.with_text_fields(t.spread("v_payslip"), is_person=lambda c: F.lit(False))
-    return df.withColumn("spans", spans.sensitive_spans(F.col("text"), {k: F.col(k) for k in extract_au.TEXT_KEYS}))
+    hits = extract_au.hit_columns()
+    df = extract_au.with_text_fields(extract_au.with_hits(t.spread("v_payslip")), is_person=lambda c: F.lit(False), hits=hits)
+    return df.withColumn("spans", spans.sensitive_spans(F.col("text"), {k: F.col(k) for k in extract_au.TEXT_KEYS}, hits))
 
 
 _SPANS = """SELECT doc_id, field, value, position(marker in text) - 1 + length(marker) AS start FROM (
