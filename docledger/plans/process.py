@@ -44,7 +44,7 @@ def read_text_documents(docs: DataFrame, rows: DataFrame | None = None) -> DataF
             s["detection_method"].alias("detection_method"),
         ),
     )
-    return out.withColumn("redaction", F.struct(F.lit("spans").alias("type"), items.alias("items")).cast(REDACTION))
+    return out.withColumn("redaction", F.struct(F.lit("spans").alias("type"), items.alias("items")).cast(REDACTION)).drop(*[c for c in out.columns if c.startswith("__hits_")])
 
 
 def read_scanned_pages(
