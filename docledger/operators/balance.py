@@ -29,9 +29,11 @@ from .. import fixed_values as V
 from ..functions.amounts import parse_amount_bs
 from ..functions.fuzzy import fuzzy_labels, plausible
 from ..functions.text import despace, find_all, let, strip
+from ..session import cut
 from .ordered import carry_last, carry_several
 
 KEYS = V.BALANCE_KEYS
+_SECTIONS = ("assets", "liabilities", "other", "total")
 ROW_BLOCK = 4096
 PAGE_BLOCK = 1024
 
@@ -42,6 +44,9 @@ _PERIOD_HINT = r"(?iU)CURRENT|THISY|PRIOR|PREVIOUS|LASTY|Y\d|YEAR\d"
 # are gone
 _LETTERS = r"(?U)\p{L}[\s\x1c-\x1f]*\p{L}"
 
+# any of the labels
+_ANY_LABEL = f"(?iU)(?:{'|'.join(V.BALANCE_LABELS.values())})"
+
 
 def label_pattern(field: str) -> str:
     return f"(?iU)(?:{V.BALANCE_LABELS[field]})"
@@ -170,9 +175,11 @@ def label_hits(cell: Column) -> Column:
                 for f in KEYS
             ]
         )
-        return F.transform(F.array_sort(F.filter(found, lambda h: h.isNotNull())), lambda h: h["field"])
+        named = F.transform(F.array_sort(F.filter(found, lambda h: h.isNotNull())), lambda h: h["field"])
+        return F.when(text.rlike(_ANY_LABEL), named).otherwise(none)
 
-    return F.when(cell.contains("/"), F.array().cast("array<string>")).otherwise(let(flat, hits))
+    none = F.array().cast("array<string>")
+    return F.when(cell.contains("/"), none).otherwise(let(flat, hits))
 
 
 def _marks(cells: Column, numeric: Column, n: Column) -> Column:
@@ -240,7 +247,7 @@ def _with_section(marked: DataFrame) -> DataFrame:
         marked,
         ["doc_id"],
         ["page", "row_idx", "col"],
-        F.when(F.col("kind").isin("assets", "liabilities", "other", "total"), F.col("kind")),
+        F.when(F.col("kind").isin(*_SECTIONS), F.col("kind")),
         "before",
         [F.col("page"), F.floor(F.col("row_idx") / ROW_BLOCK)],
     )
@@ -256,8 +263,10 @@ def section_at(marked: DataFrame) -> DataFrame:
     """Bare totals with the field of the section they close; NULL when no open section
     precedes them (WIN2). The event before a total decides: a header opens its section,
     any other header and every total closes it, across pages."""
+    # written once: cells are classified for it, and the carry reads its input twice
+    events = cut(marked.filter(F.col("kind").isin(*_SECTIONS)))
     return (
-        _with_section(marked)
+        _with_section(events)
         .filter(F.col("kind") == "total")
         .withColumn("section_field", _section_field())
         .drop("before")
@@ -285,7 +294,6 @@ def own_row_value(cells: Column, i: Column, prefer_col: Column) -> Column:
     return F.coalesce(before, after)
 
 
-_SECTIONS = ("assets", "liabilities", "other", "total")
 #: Cells of a block that are folded as they are.
 _FOLDED = 64
 _KEPT = "array<struct<row_idx:int,col:int,fields:array<int>,misread:int,vals:array<double>>>"

@@ -218,3 +218,19 @@ def test_line_below_and_gap_rules(spark):
     )
     r = geometry.repair_split(with_text_fields(files.lines_to_text(lines)), lines).first()
     assert (r.income, r.income_basis) == (9500.0, "net")
+
+
+def test_sections_are_carried_over_stored_cells(spark):
+    lines = [("d", 0, 0, ["Current assets", ""]), ("d", 0, 1, ["Cash", "$1"]), ("d", 0, 2, ["Total", "$5"]), ("d", 1, 0, ["Total", "$7"])]
+    rows = spark.createDataFrame(lines, "doc_id string, page int, row_idx int, cells array<string>")
+    found = balance.section_at(balance.marked_cells(rows))
+    # cells are taken apart and classified once, before the carry that reads them twice
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.page, r.row_idx, r.section_field) for r in found.collect()) == [(0, 2, "total_current_assets"), (1, 0, None)]
+
+
+def test_every_label_passes_the_search_for_any(spark):
+    cells = ["Total Assets", "NET  WORTH", "Net Assets (net worth)", "Total Owner's Equity", "Total Liabilities and Equity", "Totaſ Aſsets", "total aſſets", "Cash", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    rows = df.select("i", balance.label_hits(F.col("c")).alias("h")).orderBy("i").collect()
+    assert [r.h for r in rows] == [["total_assets"], ["total_equity"], ["total_equity"], ["total_equity"], [], [], ["total_assets"], [], None]
