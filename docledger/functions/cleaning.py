@@ -31,7 +31,9 @@ _MARKED, _PLAIN = _precomposed_letters()
 def strip_diacritics(c: Column) -> Column:
     """Letters without their marks (EXV6): precomposed letters through ``translate``,
     combining marks of decomposed text removed."""
-    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"\p{M}+", "")
+    plain = F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"\p{M}+", "")
+    # a text of one byte for each character is ASCII and has no marks
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(plain)
 
 
 # more than six letters, all of them capitals

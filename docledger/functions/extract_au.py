@@ -119,11 +119,12 @@ def clean_hits(spans: Column) -> Column:
 
     def place(span: Column) -> Column:
         raw = span["grp"]
-        start = span["end"] - F.length(raw) + leading_blanks(raw)
-        return let(
-            clean_value(raw),
-            lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), start.alias("start"), (start + F.length(v)).alias("end"))),
-        )
+
+        def placed(v: Column) -> Column:
+            start = span["end"] - F.length(raw) + leading_blanks(raw)
+            return let(start, lambda s: F.struct(v.alias("value"), s.alias("start"), (s + F.length(v)).alias("end")))
+
+        return let(clean_value(raw), lambda v: F.when(v.isNotNull(), placed(v)))
 
     return F.array_compact(F.transform(spans, place))
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # \s plus the four ASCII separators that count as blank in text but not in Java's \s
 _BLANK = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)^{_BLANK}+|{_BLANK}+$"
-_LSTRIP = rf"(?U)^{_BLANK}+"
 _ALL_BLANKS = rf"(?U){_BLANK}+"
+# the same characters one by one, for functions that take no pattern
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 SPANS = "array<struct<start:int,end:int,value:string,grp:string>>"
 
@@ -27,7 +27,7 @@ def first_not_null(values: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def despace(c: Column) -> Column:
@@ -36,7 +36,7 @@ def despace(c: Column) -> Column:
 
 
 def leading_blanks(c: Column) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, _LSTRIP, ""))
+    return F.length(c) - F.length(F.ltrim(c, F.lit(_BLANKS)))
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -57,20 +57,27 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_MID}${group}{_CLOSE}"))
 
+    def part(piece: Column) -> Column:
+        hit = F.substring_index(piece, _MID, 1)
+        return F.struct(
+            hit.alias("hit"), F.substring_index(F.substring_index(piece, _MID, -1), _CLOSE, 1).alias("grp"),
+            F.length(hit).alias("n"), F.length(F.substring_index(piece, _CLOSE, -1)).alias("gap"),
+        )
+
     def fold(pieces: Column) -> Column:
-        start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("pos"), F.array().cast(SPANS).alias("out"))
+        # positions alone are carried: spans carried in the state would be copied at every match
+        start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("pos"), F.array().cast("array<int>").alias("out"))
 
-        def step(acc: Column, piece: Column) -> Column:
-            hit = F.substring_index(piece, _MID, 1)
-            rest = F.substring_index(piece, _MID, -1)
-            grp = F.substring_index(rest, _CLOSE, 1)
-            end = acc["pos"] + F.length(hit)
-            span = F.struct(acc["pos"].alias("start"), end.alias("end"), hit.alias("value"), grp.alias("grp"))
-            return F.struct(
-                (end + F.length(rest) - F.length(grp) - 1).alias("pos"), F.array_append(acc["out"], span).alias("out")
-            )
-
-        found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda acc: acc["out"])
+        def step(acc: Column, p: Column) -> Column:
+            return F.struct((acc["pos"] + p["n"] + p["gap"]).alias("pos"), F.array_append(acc["out"], acc["pos"]).alias("out"))
+
+        def span(p: Column, at: Column) -> Column:
+            return F.struct(at.alias("start"), (at + p["n"]).alias("end"), p["hit"].alias("value"), p["grp"].alias("grp"))
+
+        def spans(parts: Column) -> Column:
+            return F.zip_with(parts, F.aggregate(parts, start, step, lambda acc: acc["out"]), span)
+
+        found = let(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), part), spans)
         return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(SPANS))
 
     own = text.contains(_OPEN) | text.contains(_MID) | text.contains(_CLOSE)

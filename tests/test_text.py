@@ -112,3 +112,23 @@ def test_dewrapped_and_occurrences(spark):
     ).first()
     assert (r.one.start, r.one.end) == (2, 11) and (r.two.start, r.two.end) == (14, 23)
     assert [(o.start, o.end) for o in r.all] == [(2, 5), (14, 17)] and r.line == 0
+
+
+def test_positions_of_many_matches(spark):
+    words = " ".join(f"w{i}é" for i in range(500)) + "　\x1c end"
+    df = spark.createDataFrame([(words,), ("",), (None,), ("a﷑b c",)], "t string")
+    out = [r.s for r in df.select(text.match_spans(F.col("t"), r"(\w)\S*", 1).alias("s")).collect()]
+    for t, spans_found in zip([words, "", "", "a﷑b c"], out):
+        # \w and \s are ASCII in this pattern
+        expected = [(m.start(), m.end(), m.group(0), m.group(1)) for m in re.finditer(r"([A-Za-z0-9_])[^ \t\n\x0b\f\r]*", t)]
+        assert [tuple(s) for s in spans_found] == expected
+    # the running state holds positions, not the spans found so far
+    plan = df.select(text.match_spans(F.col("t"), r"\S+"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan
+
+
+def test_blanks_at_both_ends(spark):
+    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       　"
+    df = spark.createDataFrame([(f"{b}x{blanks}y{blanks}{b}",) for b in blanks] + [(blanks,), ("​x᠎",), (None,)], "t string")
+    rows = df.select(text.strip(F.col("t")), text.leading_blanks(F.col("t"))).collect()
+    assert [tuple(r) for r in rows] == [(f"x{blanks}y", 1)] * len(blanks) + [("", len(blanks)), ("​x᠎", 0), (None, None)]
