@@ -155,7 +155,9 @@ def join_known(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Left join on a key that many rows may not have: rows without it match nothing, so
     they are dealt out evenly instead of meeting in the task of the NULL key."""
     deal = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024)) + 1).otherwise(F.lit(0).cast("long"))
-    right = names.withColumn("__deal", F.lit(0).cast("long"))
+    # always 0, but not a literal: the optimizer would put a literal into the join's condition and
+    # let the rows meet on the key alone, all those without one in one task
+    right = names.withColumn("__deal", F.pmod(F.xxhash64(key), F.lit(1).cast("long")))
     return df.withColumn("__deal", deal).join(right, [key, "__deal"], "left").drop("__deal")
 
 
