@@ -148,30 +148,31 @@ def find_dewrapped(text: Column, value: Column, start: Column | int = 0) -> Colu
     text are ignored; returns ``(start, end)`` in the original text or NULL (MAT3)."""
     start = F.lit(start) if isinstance(start, int) else start
     flat_start = F.length(dewrap(F.substring(text, F.lit(1), start)))
-    hit = F.position(value, dewrap(text), flat_start + 1) - 1
-    pieces = F.split(text, r"[\r\n]", -1)
+    # kept characters of each line that a break ends
+    lines = F.split(text, r"[\r\n]", -1)
+    lengths = F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), F.length)
 
-    def original(kept: Column) -> Column:
+    def original(kept: Column, breaks: Column) -> Column:
         # kept-character index -> original index: add the breaks that come before it
-        breaks = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
         zero = F.struct(F.lit(0).alias("cum"), F.lit(0).alias("n"))
 
-        def step(acc: Column, piece: Column) -> Column:
-            cum = acc["cum"] + F.length(piece)
+        def step(acc: Column, n: Column) -> Column:
+            cum = acc["cum"] + n
             return F.struct(cum.alias("cum"), (acc["n"] + (cum <= kept).cast("int")).alias("n"))
 
         return kept + F.aggregate(breaks, zero, step, lambda acc: acc["n"])
 
-    def build(k: Column) -> Column:
-        return F.when(
-            k >= 0,
-            F.struct(
-                original(k).alias("start"),
-                (original(k + F.length(value) - 1) + 1).alias("end"),
-            ),
-        )
+    def search(v: Column) -> Column:
+        def build(k: Column) -> Column:
+            def span(breaks: Column) -> Column:
+                return F.struct(original(k, breaks).alias("start"), (original(k + F.length(v) - 1, breaks) + 1).alias("end"))
+
+            return F.when(k >= 0, let(lengths, span))
+
+        return F.when(F.length(v) > 0, let(F.position(v, dewrap(text), flat_start + 1) - 1, build))
 
-    return F.when(F.length(value) > 0, let(hit, build))
+    # bound, as the value may be an expression over the text itself
+    return let(value, search)
 
 
 def find_first(text: Column, value: Column, start: Column | int = 0) -> Column:

@@ -215,8 +215,10 @@ def _(t):
     # the last ten characters of each text without its line breaks, found again in the text
     flat = text.dewrap(F.col("text"))
     value = F.substring(flat, F.greatest(F.length(flat) - 9, F.lit(1)), F.lit(10))
-    df = t.spread("documents").withColumn("value", value).withColumn("hit", text.find_dewrapped(F.col("text"), F.col("value")))
-    return df.filter("hit IS NOT NULL").select("doc_id", "hit.start", "hit.end")
+    hit = text.find_dewrapped(F.col("text"), value)
+    # exploded: a filter on the search itself would be pushed below the dealing out and search there, too
+    found = t.spread("documents").select("doc_id", F.explode_outer(F.array(hit)).alias("hit"))
+    return found.filter("hit IS NOT NULL").select("doc_id", "hit.start", "hit.end")
 
 
 # --- rules ---------------------------------------------------------------------------

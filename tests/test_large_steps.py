@@ -34,3 +34,12 @@ def test_rows_without_a_key_are_dealt_out(spark):
             spark.conf.set(k, v)
     assert sum(sizes) == 4000 and max(sizes) < 2000
     assert found == {1: "one", 2: "two"}
+
+
+def test_a_dewrapped_text_is_searched_once(spark, tmp_path):
+    texts = ["alpha beta\nga\nmma delta", "", None, "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["mat3_find_dewrapped"](spark, str(tmp_path))
+    # no filter on the search below the dealing out
+    assert "Filter" not in plan(found).split("Repartition")[1]
+    assert {r.doc_id: (r.start, r.end) for r in found.collect()} == {0: (12, 23), 3: (0, 1)}
