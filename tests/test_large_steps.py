@@ -43,3 +43,26 @@ def test_a_dewrapped_text_is_searched_once(spark, tmp_path):
     # no filter on the search below the dealing out
     assert "Filter" not in plan(found).split("Repartition")[1]
     assert {r.doc_id: (r.start, r.end) for r in found.collect()} == {0: (12, 23), 3: (0, 1)}
+
+
+def test_context_lines_are_lowered_once(spark):
+    df = spark.createDataFrame([("Ann WORKER:\nAnn Lee Low",), ("no key:\nAnn Lee",)], ["text"]).withColumn("n", context_name(F.col("text")))
+    assert "contains(lower(" not in plan(df).lower()
+    assert [r.n for r in df.collect()] == ["Ann Lee Low", None]
+
+
+def test_masks_carry_positions_only(spark):
+    kind = "array<struct<start:int,end:int>>"
+    cases = [("abcdefgh", [(4, 6), (1, 3), (2, 5)]), ("abc", []), ("abc", None), ("abc", [(0, 3), (1, 2)]), (None, [(0, 1)])]
+    df = spark.createDataFrame(cases, f"text string, spans {kind}").withColumn("m", mask_text(F.col("text"), F.col("spans"), "#"))
+    assert [r.m for r in df.collect()] == ["a#####gh", "abc", None, "###", None]
+    assert "parts" not in plan(df)
+
+
+def test_ascii_texts_take_the_plain_pattern(spark):
+    p = r"(?iU)N?ame\s*:\s*(\d+)"
+    assert T.ascii_pattern(p) == r"(?i)N?ame\s*:\s*(\d+)" and T.ascii_pattern(r"(?U)\b\d") == r"\b\d" and T.ascii_pattern("(?iU)ọ") == "(?iU)ọ"
+    # a long s, a no-break space and Arabic digits count only in texts that hold them
+    df = spark.createDataFrame([("NAME: 12 x ame:3",), ("name\u00a0: \u0661\u0662 ame:3",)], ["t"])
+    spans = df.select(T.match_spans(F.col("t"), p, 1).alias("s")).collect()
+    assert [[(x.start, x.end, x.grp) for x in r.s] for r in spans] == [[(0, 8, "12"), (11, 16, "3")], [(0, 9, "\u0661\u0662"), (10, 15, "3")]]
