@@ -164,9 +164,9 @@ def reading_order(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def cell_texts(cells: DataFrame, frags: DataFrame) -> DataFrame:
     """One row per non-empty cell: its text in reading order and the union of its
-    fragments' boxes (RED5)."""
+    fragments' boxes (RED5). Written once: callers read it as candidates and as labels."""
     parts = F.array_sort(F.collect_list(F.struct("y1", "x1", "text")))
-    return (
+    return cut(
         frags_in_cells(cells, frags)
         .groupBy(*TABLE, "cell_idx")
         .agg(
@@ -181,6 +181,8 @@ def row_label_matches(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates with a cell of the same row, wholly to the left, whose text names the
     field (JOI9): a left semi join, so neighbours are tested, not paired."""
     named = F.array_compact(F.array(*[F.when(F.col("joined").rlike(label_pattern(f)), F.lit(f)) for f in V.BALANCE_KEYS]))
+    # every label holds one of these words
+    named = F.when(F.col("joined").rlike("(?iu)total|net"), named)
     labels = (
         texts.withColumn("field", F.explode_outer(named))
         .filter(F.col("field").isNotNull())
@@ -205,23 +207,26 @@ def balance_boxes(cells: DataFrame, frags: DataFrame, targets: DataFrame) -> Dat
     others; among equals the rightmost wins, then the first.
     """
     texts = cell_texts(cells, frags)
-    hits = (
-        texts.withColumn("amount", parse_amount_bs(F.col("joined")))
+    # exploded: a filter on the amount itself would read it a second time; written once: read
+    # as they are and as the ones with a label
+    hits = cut(
+        texts.withColumn("amount", F.explode_outer(F.array(parse_amount_bs(F.col("joined")))))
         .filter(F.col("amount").isNotNull())
         .join(targets, PAGE)
         .filter(same_amount(F.col("amount"), F.col("target")))
     )
-    confirmed = row_label_matches(hits, texts).select(*TABLE, "cell_idx", "field").withColumn("labeled", F.lit(1))
+    confirmed = row_label_matches(hits, texts)
     box = F.struct(
         F.col("joined").alias("value"),
         *[F.bround(F.col(c), 0).alias(c) for c in ("x1", "y1", "x2", "y2")],
     )
     rank = F.struct(
-        F.coalesce("labeled", F.lit(0)).alias("labeled"), F.col("x1"),
+        F.col("labeled"), F.col("x1"),
         (-F.col("table_idx")).alias("t"), (-F.col("cell_idx")).alias("c"),
     )
     return (
-        hits.join(confirmed, [*TABLE, "cell_idx", "field"], "left")
+        # a confirmed cell stands here twice, and wins as such
+        hits.withColumn("labeled", F.lit(0)).unionByName(confirmed.withColumn("labeled", F.lit(1)))
         .groupBy(*PAGE, "field")
         .agg(F.max_by(box, rank).alias("b"))
         .select(*PAGE, "field", "b.*")

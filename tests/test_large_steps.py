@@ -66,3 +66,16 @@ def test_ascii_texts_take_the_plain_pattern(spark):
     df = spark.createDataFrame([("NAME: 12 x ame:3",), ("name\u00a0: \u0661\u0662 ame:3",)], ["t"])
     spans = df.select(T.match_spans(F.col("t"), p, 1).alias("s")).collect()
     assert [[(x.start, x.end, x.grp) for x in r.s] for r in spans] == [[(0, 8, "12"), (11, 16, "3")], [(0, 9, "\u0661\u0662"), (10, 15, "3")]]
+
+
+def test_cells_meet_their_fragments_once(spark):
+    cells = spark.createDataFrame([("a", 0, 0, 0, 0.0, 0.0, 200.0, 50.0), ("a", 0, 0, 1, 200.0, 0.0, 400.0, 50.0), ("a", 0, 0, 2, 400.0, 0.0, 600.0, 50.0), ("a", 0, 0, 3, 700.0, 60.0, 800.0, 90.0)],
+                                  "doc_id string, page int, table_idx int, cell_idx int, x1 double, y1 double, x2 double, y2 double")
+    frags = spark.createDataFrame([("a", 0, 0, 0, "Total Assets", 10.0, 5.0, 60.0, 20.0), ("a", 0, 0, 1, "$9", 210.0, 5.0, 260.0, 20.0), ("a", 0, 0, 2, "$8", 410.0, 5.0, 460.0, 20.0), ("a", 0, 0, 3, "$9", 710.0, 65.0, 760.0, 80.0)],
+                                  "doc_id string, page int, table_idx int, frag_idx int, text string, x1 double, y1 double, x2 double, y2 double")
+    targets = spark.createDataFrame([("a", 0, "total_assets", 9.0), ("a", 0, "total_equity", 9.0)], "doc_id string, page int, field string, target double")
+    assert "collect_list" not in plan(G.cell_texts(cells, frags))
+    boxes = G.balance_boxes(cells, frags, targets)
+    assert "collect_list" not in plan(boxes)
+    # next to its label, though another stands further right; without a label the rightmost
+    assert {r.field: (r.value, r.x1) for r in boxes.collect()} == {"total_assets": ("$9", 210.0), "total_equity": ("$9", 710.0)}
