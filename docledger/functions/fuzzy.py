@@ -1,5 +1,4 @@
-"""Misread label matching (MAT2). Python measures how alike two texts are; which label that
-makes it is a column expression."""
+"""Misread label matching (MAT2): Python measures how alike two texts are."""
 
 from __future__ import annotations
 
@@ -7,28 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .text import let
 
 
-def likeness(labels: list[str]):
-    """Function of a series of texts: the matching-block ratio of each with every label. The
-    labels travel with it, so workers need no installed package."""
+def closest(labels: dict[str, str], least: float, margin: float):
+    """Function of a series of texts: the field whose label has the best matching-block ratio with
+    each, if it is good enough and no other good one is within the margin. The labels travel with
+    it, so workers need no installed package."""
 
     def measure(texts):
         from difflib import SequenceMatcher
 
         # a matcher prepares its second sequence once: keep one for each label
-        matchers = [SequenceMatcher(b=label) for label in labels]
+        matchers = [(field, SequenceMatcher(b=label)) for field, label in labels.items()]
         known = {None: None}
 
-        def ratios(text):
+        def field_of(text):
             if text not in known:
-                for m in matchers:
+                for _, m in matchers:
                     m.set_seq1(text)
-                known[text] = [m.ratio() for m in matchers]
+                ratios = [(m.ratio(), field) for field, m in matchers]
+                best = max(r for r, _ in ratios)
+                rivals = [field for r, field in ratios if r >= least and best - r < margin]
+                known[text] = rivals[0] if len(rivals) == 1 else None
             return known[text]
 
-        return texts.map(ratios, na_action="ignore").astype(object).where(texts.notna(), None)
+        return texts.map(field_of, na_action="ignore").astype(object).where(texts.notna(), None)
 
     import pandas as pd
 
@@ -49,39 +51,28 @@ def _measured(c: Column, kind: str, measure) -> Column:
     return F.pandas_udf(measure, kind).asNondeterministic()(c)
 
 
-def _closest(r: Column) -> Column:
-    """The label of the best of a text's ratios, if it is good enough and no other good one is
-    within the margin."""
-    fields = F.array(*[F.lit(f) for f in V.CANONICAL_LABELS])
-    best = F.array_max(r)
-    rivals = F.filter(r, lambda x: (x >= V.FUZZY_THRESHOLD) & (best - x < V.FUZZY_MARGIN))
-    clear = (best >= V.FUZZY_THRESHOLD) & (F.size(rivals) == 1)
-    return F.when(clear, F.get(fields, (F.array_position(r, best) - 1).cast("int")))
-
-
-def _labels() -> list[str]:
-    return [label.lower() for label in V.CANONICAL_LABELS.values()]
+def _closest():
+    return closest({field: label.lower() for field, label in V.CANONICAL_LABELS.items()}, V.FUZZY_THRESHOLD, V.FUZZY_MARGIN)
 
 
 def fuzzy_label(c: Column) -> Column:
     """Field of a misread label cell, or NULL: the closest label, if it is close enough and no
     other close one is within the margin. Filter rows with ``plausible`` first."""
-    return let(_measured(F.lower(c), "array<double>", likeness(_labels())), _closest)
+    return _measured(F.lower(c), "string", _closest())
 
 
 def fuzzy_labels(texts: Column) -> Column:
     """``fuzzy_label`` of each text of an array, NULL for NULL."""
-    one = likeness(_labels())
+    one = _closest()
 
     def measure(arrays):
         import pandas as pd
 
         whole = pd.Series([t for a in arrays for t in a], dtype=object)
-        ratios = iter(one(whole))
-        return pd.Series([[next(ratios) for _ in a] for a in arrays], dtype=object)
+        fields = iter(one(whole))
+        return pd.Series([[next(fields) for _ in a] for a in arrays], dtype=object)
 
     import pandas as pd
 
     measure.__annotations__ = {"arrays": pd.Series, "return": pd.Series}
-    lowered = F.transform(texts, F.lower)
-    return F.transform(_measured(lowered, "array<array<double>>", measure), _closest)
+    return _measured(F.transform(texts, F.lower), "array<string>", measure)

@@ -1,6 +1,6 @@
 """Balance-sheet reader over table rows ``doc_id, page, row_idx, cells``.
 
-The reader is one lazy plan:
+The reader writes its blocks once and is a lazy plan from there:
 
 1. per row, without a shuffle: classify cells (header, bare total, label, possible misread
    label) and find the period column it declares; blank rows go;
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.amounts import parse_amount_bs
 from ..functions.fuzzy import fuzzy_labels, plausible
-from ..functions.text import despace, find_all, let, strip
+from ..functions.text import despace, find_all, is_ascii, let, strip
 from ..session import cut
 from .ordered import carry_last, carry_several
 
@@ -40,6 +40,7 @@ PAGE_BLOCK = 1024
 
 # every period word contains one of these once blanks are gone
 _PERIOD_HINT = r"(?iU)CURRENT|THISY|PRIOR|PREVIOUS|LASTY|Y\d|YEAR\d"
+_PERIOD_WORDS = ["current", "thisy", "prior", "previous", "lasty"]
 # headers, totals, labels and misread labels all contain two letters side by side once blanks
 # are gone
 _LETTERS = r"(?U)\p{L}[\s\x1c-\x1f]*\p{L}"
@@ -99,8 +100,12 @@ def row_period_column(cells: Column) -> Column:
         return F.when(F.size(found) >= 2, F.coalesce(current, numbered["col"]))
 
     # most rows hold no period word at all: one scan of the joined row settles those
-    worth_reading = despace(F.array_join(cells, " ")).rlike(_PERIOD_HINT)
-    return F.when(worth_reading, let(F.filter(kinds, lambda k: k["kind"].isNotNull()), decide))
+    def hinted(flat: Column) -> Column:
+        low = F.lower(flat)
+        plain = reduce(lambda a, b: a | b, [low.contains(w) for w in _PERIOD_WORDS]) | low.rlike("y(?:ear)?[0-9]")
+        return F.when(is_ascii(flat), plain).otherwise(flat.rlike(_PERIOD_HINT))
+
+    return F.when(let(despace(F.array_join(cells, " ")), hinted), let(F.filter(kinds, lambda k: k["kind"].isNotNull()), decide))
 
 
 def page_period_columns(rows: DataFrame) -> DataFrame:
@@ -163,23 +168,22 @@ def is_section_header(cells: Column, i: Column) -> Column:
 
 def label_hits(cell: Column) -> Column:
     """Fields named in one cell, in order of appearance, ``[]`` when it holds a ``/`` (BAL4)."""
-    flat = despace(cell)
-
-    def hits(text: Column) -> Column:
-        found = F.array(
-            *[
-                F.when(
-                    text.rlike(label_pattern(f)),
-                    F.struct(F.regexp_instr(text, F.lit(label_pattern(f))).alias("pos"), F.lit(f).alias("field")),
-                )
-                for f in KEYS
-            ]
-        )
-        named = F.transform(F.array_sort(F.filter(found, lambda h: h.isNotNull())), lambda h: h["field"])
-        return F.when(text.rlike(_ANY_LABEL), named).otherwise(none)
+    return F.when(cell.contains("/"), F.array().cast("array<string>")).otherwise(let(despace(cell), _fields_named))
+
 
-    none = F.array().cast("array<string>")
-    return F.when(cell.contains("/"), none).otherwise(let(flat, hits))
+def _fields_named(text: Column) -> Column:
+    """Fields named in the text of a cell without its blanks, in order of appearance."""
+    found = F.array(
+        *[
+            F.when(
+                text.rlike(label_pattern(f)),
+                F.struct(F.regexp_instr(text, F.lit(label_pattern(f))).alias("pos"), F.lit(f).alias("field")),
+            )
+            for f in KEYS
+        ]
+    )
+    named = F.transform(F.array_sort(F.filter(found, lambda h: h.isNotNull())), lambda h: h["field"])
+    return F.when(text.rlike(_ANY_LABEL), named).otherwise(F.array().cast("array<string>"))
 
 
 def _marks(cells: Column, numeric: Column, n: Column) -> Column:
@@ -208,7 +212,8 @@ def _marks(cells: Column, numeric: Column, n: Column) -> Column:
                         (~header).alias("may_be_misread"),
                     )
 
-                return let(label_hits(raw), with_fields)
+                fields = F.when(raw.contains("/"), F.array().cast("array<string>")).otherwise(_fields_named(flat))
+                return let(fields, with_fields)
 
             return let(despace(raw), with_flat)
 
@@ -219,7 +224,7 @@ def _marks(cells: Column, numeric: Column, n: Column) -> Column:
 
 def _with_numeric(rows: DataFrame) -> DataFrame:
     """Add ``__numeric`` (which cells have a ``$`` or digit) and ``__n`` (how many)."""
-    numeric = F.transform("cells", lambda c: F.coalesce(c.rlike(r"(?U)[$\d]"), F.lit(False)).cast("int"))
+    numeric = F.transform("cells", lambda c: F.coalesce(c.rlike(r"[$0-9]") | (~is_ascii(c) & c.rlike(r"(?U)\d")), F.lit(False)).cast("int"))
     return rows.withColumn("__numeric", numeric).withColumn("__n", F.aggregate("__numeric", F.lit(0), lambda a, n: a + n))
 
 
@@ -317,7 +322,7 @@ def _row_blocks(rows: DataFrame) -> DataFrame:
     record = F.struct(F.col("row_idx").cast("int").alias("row_idx"), row_period_column(F.col("cells")).cast("int").alias("declared"), marks.alias("marks"), "cells")
     some = rows.filter(F.exists("cells", lambda c: strip(c) != ""))
     return (
-        # never null, so that the join below reads these blocks from one shuffle
+        # never null: blocks meet their slim rows again by it
         _with_numeric(some).withColumn("block", F.coalesce(F.floor(F.col("row_idx") / ROW_BLOCK), F.lit(0).cast("long")))
         .groupBy("doc_id", "page", "block").agg(F.sort_array(F.collect_list(record)).alias("rows"))
     )
@@ -432,7 +437,8 @@ def read_pages(rows: DataFrame) -> DataFrame:
 
     Inside a page an exact label beats a misread one; misread labels fill what is missing.
     """
-    blocks = _row_blocks(rows.select("doc_id", "page", "row_idx", "cells"))
+    # written once: every cell is classified for it, and it is read for the slim rows and for itself
+    blocks = cut(_row_blocks(rows.select("doc_id", "page", "row_idx", "cells")))
     known = _resolved(blocks.join(_carried(blocks), ["doc_id", "page", "block"]))
     useful = F.when(F.size("kept") > _FOLDED, _thinned(F.col("kept"))).otherwise(F.col("kept"))
     pages = (

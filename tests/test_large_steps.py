@@ -68,6 +68,14 @@ def test_ascii_texts_take_the_plain_pattern(spark):
     assert [[(x.start, x.end, x.grp) for x in r.s] for r in spans] == [[(0, 8, "12"), (11, 16, "3")], [(0, 9, "\u0661\u0662"), (10, 15, "3")]]
 
 
+def test_cells_of_a_balance_sheet_are_classified_once(spark):
+    rows = [("a", 0, 0, ["Current assets", ""]), ("a", 0, 1, ["Total", "$5"]), ("a", 0, 2, ["Total Liabililies", "$7"])]
+    totals = B.read_pages(spark.createDataFrame(rows, "doc_id string, page int, row_idx int, cells array<string>"))
+    assert "^Total$" not in plan(totals)  # written before
+    (r,) = totals.collect()
+    assert (r.total_current_assets, r.total_liabilities, r.total_assets) == (5.0, 7.0, None)
+
+
 def test_cells_meet_their_fragments_once(spark):
     cells = spark.createDataFrame([("a", 0, 0, 0, 0.0, 0.0, 200.0, 50.0), ("a", 0, 0, 1, 200.0, 0.0, 400.0, 50.0), ("a", 0, 0, 2, 400.0, 0.0, 600.0, 50.0), ("a", 0, 0, 3, 700.0, 60.0, 800.0, 90.0)],
                                   "doc_id string, page int, table_idx int, cell_idx int, x1 double, y1 double, x2 double, y2 double")
