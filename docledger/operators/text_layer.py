@@ -117,6 +117,19 @@ def value_occurrences(text: Column, value: Column, whole: Column | None = None,
     return F.when(F.length(value) > 0, let(plain, wrapped)).otherwise(F.array().cast(_SPAN))
 
 
+def _packed(runs: Column) -> Column:
+    """Pieces as one array for each of their columns: a shuffle of them is much smaller."""
+
+    def column(name: str) -> Column:
+        return F.transform(runs, lambda r: r[name]).alias(name)
+
+    return F.struct(*[column(x.split(":")[0]) for x in RUN[7:-1].split(",")])
+
+
+def _unpacked(packed: Column) -> Column:
+    return F.arrays_zip(*[packed[x.split(":")[0]] for x in RUN[7:-1].split(",")]).cast(f"array<{RUN}>")
+
+
 def find_values(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc_id, page, value, pos, end, box``: every occurrence of a document's values on its pages, with the box of
     its pieces (NULL without one).
@@ -132,8 +145,9 @@ def find_values(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     )
     text = F.col("text")
     folds, low, flat = F.col("__folds"), F.col("__low"), F.col("__flat")
-    met = pages.select(*PAGE, "text", "runs", keeps_length(text).alias("__folds"), dewrap(text).alias("__flat"))
-    met = met.withColumn("__low", _lowered(text, folds)).join(grouped, "doc_id")
+    # the text is folded and dewrapped behind the join: one text of a page is shuffled, not three
+    met = pages.select(*PAGE, "text", _packed(F.col("runs")).alias("__runs")).join(grouped, "doc_id")
+    met = met.withColumns({"runs": _unpacked(F.col("__runs")), "__folds": keeps_length(text), "__flat": dewrap(text)}).withColumn("__low", _lowered(text, folds))
     held = F.filter("values", lambda v: low.contains(_lowered(v, folds)) | flat.contains(v))
     found = met.withColumn("value", F.explode(held)).withColumn("o", F.explode(value_occurrences(text, F.col("value"), folds, low, flat)))
     return found.select(
@@ -175,6 +189,9 @@ def text_native_boxes(items: DataFrame, pages: DataFrame) -> DataFrame:
     PDF. Items with a box pass through. The others take, in their order, successive
     occurrences of their value, page by page; an item that finds none is left out.
     """
+    # items are read five times and sizes twice below: written once, so that the texts they may be
+    # made from are not read for each
+    items, sizes = cut(items), cut(pages.select(*PAGE, "width", "height"))
     kept = items.filter(F.col("x_pct").isNotNull())
     asked = items.filter(F.col("x_pct").isNull() & (F.col("value") != "")).drop("x_pct", "y_pct", "w_pct", "h_pct")
     # read three times below: written once, as texts are searched for it
@@ -185,7 +202,7 @@ def text_native_boxes(items: DataFrame, pages: DataFrame) -> DataFrame:
     whole = pair_occurrences(asked.join(gaps, keys, "left_anti").select(*number), found.join(gaps, keys, "left_anti").drop("end"))
     past = _taken_past_gaps(asked.join(gaps, keys, "left_semi"), found.join(gaps, keys, "left_semi"))
     taken = whole.select(*number, "page", "box").unionByName(past.select(*number, "page", "box"))
-    placed = taken.join(page_offsets(pages), PAGE)
+    placed = taken.join(page_offsets(sizes), PAGE)
     box = F.col("box")
     sized = placed.select(
         *number, (box["left"] / F.col("max_w")).alias("x_pct"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..operators import text_layer as L
+from ..session import cut
 from .registry import query
 
 _BOX = ("x_pct", "y_pct", "w_pct", "h_pct")
@@ -31,10 +32,11 @@ def layer_pages(t):
             ),
         )
 
-    pages = t.spread("conversations").select(
+    # written once: dealing the texts out again for every use would shuffle them each time
+    pages = cut(t.spread("conversations").select(
         F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text",
         (F.length("text") % 300 + 100).cast("double").alias("width"), height.alias("height"),
-    )
+    ))
     whole = F.filter(F.aggregate(lines, start, placed, lambda acc: acc["out"]), lambda x: x["n"] > 0)
     return pages.withColumn("runs", F.flatten(F.transform(whole, characters)))
 
@@ -43,14 +45,14 @@ def layer_items(pages):
     """Of every page its first word; the letters around its first break, without it; a value that
     is nowhere; nothing; and an item that has a box."""
     nothing = F.lit(None).cast("double")
-    cut = F.instr("text", "\n")
-    around = F.concat(F.substring("text", cut - 4, F.lit(4)), F.substring("text", cut + 1, F.lit(4)))
+    at = F.instr("text", "\n")
+    around = F.concat(F.substring("text", at - 4, F.lit(4)), F.substring("text", at + 1, F.lit(4)))
 
     def item(n, field, value, box=nothing):
         return F.struct((F.col("page") * 5 + n).alias("item_idx"), F.lit(field).alias("field"), value.alias("value"), *[box.alias(c) for c in _BOX])
 
     values = [
-        item(0, "first", F.substring_index("text", " ", 1)), item(1, "around", F.when(cut > 4, around).otherwise("")),
+        item(0, "first", F.substring_index("text", " ", 1)), item(1, "around", F.when(at > 4, around).otherwise("")),
         item(2, "absent", F.lit("§ nowhere")), item(3, "none", F.lit("")), item(4, "boxed", F.lit("kept"), F.lit(0.25)),
     ]
     return pages.select("doc_id", F.explode(F.array(*values)).alias("i")).select("doc_id", "i.*")
@@ -133,10 +135,10 @@ def _(t):
     """Where values were taken from against where the search places them."""
     pages = layer_pages(t)
     items = layer_items(pages)
-    cut = F.instr("text", "\n")
+    at = F.instr("text", "\n")
     first = F.struct(F.lit("first").alias("field"), (F.col("page") * 5).alias("box_idx"), F.lit(0).alias("s"), F.length(F.substring_index("text", " ", 1)).alias("e"))
-    around = F.struct(F.lit("around").alias("field"), (F.col("page") * 5 + 1).alias("box_idx"), (cut - 5).alias("s"), F.least(cut + 4, F.length("text")).alias("e"))
-    spots = F.filter(F.array(first, F.when(cut > 4, around)), lambda s: s["e"] > s["s"])
+    around = F.struct(F.lit("around").alias("field"), (F.col("page") * 5 + 1).alias("box_idx"), (at - 5).alias("s"), F.least(at + 4, F.length("text")).alias("e"))
+    spots = F.filter(F.array(first, F.when(at > 4, around)), lambda s: s["e"] > s["s"])
     known = pages.withColumn("i", F.explode(spots)).withColumn("box", L.range_box(F.col("runs"), F.col("i.s"), F.col("i.e")))
     box = F.col("box")
     truth = known.select("doc_id", "page", "i.field", "i.box_idx", "box").join(L.page_offsets(pages), ["doc_id", "page"]).select(

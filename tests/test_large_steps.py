@@ -87,3 +87,11 @@ def test_cells_meet_their_fragments_once(spark):
     assert "collect_list" not in plan(boxes)
     # next to its label, though another stands further right; without a label the rightmost
     assert {r.field: (r.value, r.x1) for r in boxes.collect()} == {"total_assets": ("$9", 210.0), "total_equity": ("$9", 710.0)}
+
+
+def test_texts_are_dealt_out_once_for_a_layer(spark, tmp_path):
+    turns = [(1, 0, "user", "one two\nthree four"), (1, 1, "assistant", "one more")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    boxes = QUERIES["joi11_text_native_boxes"](spark, str(tmp_path))
+    assert "Repartition" not in plan(boxes)
+    assert sorted((r.item_idx, r.field) for r in boxes.collect()) == [(0, "first"), (1, "around"), (4, "boxed"), (5, "first"), (9, "boxed")]
