@@ -463,7 +463,9 @@ def recover_rows(frags: DataFrame, missing: DataFrame) -> DataFrame:
     )
     wanted = missing.groupBy(*PAGE).agg(F.collect_set("field").alias("wanted"))
     left_x = F.min("min_x").over(W.partitionBy(*TABLE))
-    edges = blocks.select(*band, "min_x").repartition(*PAGE).join(wanted, PAGE).select(*band, "wanted", left_x.alias("left_x"))
+    edges = blocks.select(*band, "min_x").repartition(*PAGE).join(wanted, PAGE).select(*band, "wanted", "min_x", left_x.alias("left_x"))
+    # only bands with a fragment of the leftmost column; a filter on what is found there would find it a second time
+    edges = edges.filter(F.col("min_x") - F.col("left_x") < V.LABEL_BAND)
     labels = F.filter("parts", lambda p: p["x1"] - F.col("left_x") < V.LABEL_BAND)
     rest = V.LABEL_RUN - 1
 
@@ -475,11 +477,10 @@ def recover_rows(frags: DataFrame, missing: DataFrame) -> DataFrame:
             F.slice(found, inside + 1, F.lit(rest)).alias("last"),
         )
 
-    seen = blocks.join(edges, band).withColumn("b", let(labels, in_block)).select(*band, "wanted", "left_x", "b.*")
+    seen = blocks.drop("min_x").join(edges, band).withColumn("b", let(labels, in_block)).select(*band, "wanted", "left_x", "b.*")
     after = F.flatten(F.collect_list("first").over(W.partitionBy(*TABLE).orderBy("band").rowsBetween(1, rest)))
     rows = (
-        seen.filter(F.size("last") > 0)
-        .withColumn("after", F.slice(after, 1, rest))
+        seen.withColumn("after", F.slice(after, 1, rest))
         .withColumn("across", let(F.concat("last", "after"), lambda a: _label_rows(a, F.size("last"), F.col("wanted"))))
         .select(*TABLE, "left_x", F.explode(F.concat("rows", "across")).alias("row"))
         .groupBy(*TABLE, "row.field")
@@ -489,9 +490,9 @@ def recover_rows(frags: DataFrame, missing: DataFrame) -> DataFrame:
     near = F.filter("parts", lambda p: (p["x1"] - F.col("left_x") >= V.LABEL_BAND) & p["y1"].between(top, bottom))
     by_x = F.transform(near, lambda p: F.struct(p["x1"], p["frag_idx"], p["y1"], p["text"]))
     values = rows.withColumn("band", F.explode(bands(top, bottom))).join(blocks, band).select(*TABLE, "field", by_x.alias("near"))
-    amounts = values.groupBy(*TABLE, "field").agg(
-        let(F.array_sort(F.flatten(F.collect_list("near"))), _rightmost_amount).alias("amount")
-    )
+    columns = values.groupBy(*TABLE, "field").agg(F.flatten(F.collect_list("near")).alias("near"))
+    # exploded: a filter on the amount itself would read it a second time
+    amounts = columns.select(*TABLE, "field", F.explode_outer(F.array(let(F.array_sort("near"), _rightmost_amount))).alias("amount"))
     found = amounts.filter(F.col("amount").isNotNull())
     return found.groupBy(*PAGE, "field").agg(F.min_by("amount", "table_idx").alias("value"))
 

@@ -95,3 +95,13 @@ def test_texts_are_dealt_out_once_for_a_layer(spark, tmp_path):
     boxes = QUERIES["joi11_text_native_boxes"](spark, str(tmp_path))
     assert "Repartition" not in plan(boxes)
     assert sorted((r.item_idx, r.field) for r in boxes.collect()) == [(0, "first"), (1, "around"), (4, "boxed"), (5, "first"), (9, "boxed")]
+
+
+def test_rows_of_lost_totals_are_searched_once(spark):
+    frags = [("d", 0, 0, i, x, 10.0 + 300 * (i % 2), 700.0 * (i // 2), 20.0, 9.0) for i, x in enumerate(["Total Assets", "$5", "Net Worth", "n/a"])]
+    frags = spark.createDataFrame(frags, "doc_id string, page int, table_idx int, frag_idx int, text string, x1 double, y1 double, x2 double, y2 double")
+    missing = spark.createDataFrame([("d", 0, "total_assets"), ("d", 0, "total_equity")], "doc_id string, page int, field string")
+    found = G.recover_rows(frags, missing)
+    # neither labels nor amounts are read in a condition, and then again
+    assert not [x for x in plan(found).splitlines() if ("Filter" in x or "Join" in x) and "transform(" in x]
+    assert [(r.field, r.value) for r in found.collect()] == [("total_assets", 5.0)]
