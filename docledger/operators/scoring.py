@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.amounts import parse_amount, parse_amount_bs, same_amount
+from ..session import cut
 
 # boxes that overlap share a tile of the page; tiles bound the pairs that are compared
 _TILES_X, _TILES_Y = 4, 64
@@ -130,7 +131,8 @@ def report_lines(scored: DataFrame, fields: list[str] | None = None) -> DataFram
 
 def write_report(scored: DataFrame, path: str, fields: list[str] | None = None) -> None:
     """Write the report as text, in order, by as many tasks as it needs."""
-    report_lines(scored, fields).orderBy("ord", "key").select("line").write.mode("overwrite").text(path)
+    # counted, listed and sampled for its order: scored once
+    report_lines(cut(scored), fields).orderBy("ord", "key").select("line").write.mode("overwrite").text(path)
 
 
 def doc_groups(files: DataFrame) -> DataFrame:

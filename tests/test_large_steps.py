@@ -8,6 +8,7 @@ from docledger.functions import text as T
 from docledger.functions.extract_au import context_name
 from docledger.operators import balance as B
 from docledger.operators import geometry as G
+from docledger.operators.scoring import write_report
 from docledger.operators.spans import mask_text
 from docledger.operators.views import join_known
 from docledger.plans.all_queries import QUERIES
@@ -105,3 +106,19 @@ def test_rows_of_lost_totals_are_searched_once(spark):
     # neither labels nor amounts are read in a condition, and then again
     assert not [x for x in plan(found).splitlines() if ("Filter" in x or "Join" in x) and "transform(" in x]
     assert [(r.field, r.value) for r in found.collect()] == [("total_assets", 5.0)]
+
+
+def test_a_report_scores_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def right(i):
+        calls.add(1)
+        return i % 3 > 0
+
+    scored = spark.range(30).select("id", right.asNondeterministic()("id").alias("correct"))
+    scored = scored.select(F.col("id").alias("doc_id"), F.lit("bsb").alias("field"), F.lit("e").alias("expected"), "correct", F.lit("g").alias("got"))
+    write_report(scored, f"{tmp_path}/report", ["bsb"])
+    assert calls.value == 30
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
+    assert len(lines) == 14 and {"Documents scored: 30", "Overall: 20 / 30  (66.7%)", "Misses (10):"} < set(lines)
