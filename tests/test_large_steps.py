@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docledger.functions import text as T
-from docledger.functions.extract_au import context_name
+from docledger.functions.extract_au import context_name, hit_columns, with_hits, with_text_fields
 from docledger.operators import balance as B
 from docledger.operators import geometry as G
 from docledger.operators.scoring import write_report
@@ -122,3 +122,19 @@ def test_a_report_scores_once(spark, tmp_path):
     assert calls.value == 30
     lines = [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
     assert len(lines) == 14 and {"Documents scored: 30", "Overall: 20 / 30  (66.7%)", "Misses (10):"} < set(lines)
+
+
+def test_boxes_share_matches_and_words(spark):
+    texts = [("a", 0, "BSB: 062-000\nBSB: 062-000 $5\nNet Pay: $5"), ("b", 0, ""), ("c", 0, None)]
+    pages = spark.createDataFrame(texts, "doc_id string, page int, text string")
+    hits = hit_columns()
+    once, again = (G.box_candidates(with_text_fields(p, hits=h), h) for p, h in ((with_hits(pages), hits), (pages, None)))
+    # no pattern is searched again
+    assert plan(once).count("B?SB") == plan(with_hits(pages)).count("B?SB")
+    want = sorted(map(tuple, again.collect()))
+    assert sorted(map(tuple, once.collect())) == want and len(want) == 7
+    words = T.match_spans(F.col("text"), r"\S+")
+    words = pages.select("doc_id", "page", F.explode(words).alias("w")).select("doc_id", "page", "w.start", "w.end", *[F.col(f"w.{e}").cast("double").alias(c) for c, e in (("x1", "start"), ("y1", "start"), ("x2", "end"), ("y2", "end"))])
+    boxed = G.union_box(again, words)
+    assert "regexp_replace" not in plan(boxed) and "s_start" not in plan(boxed)
+    assert boxed.count() == len(want)
