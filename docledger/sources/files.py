@@ -32,38 +32,40 @@ def regular_csv_as_text(text: Column) -> Column:
 
     A quote opens a value only at its start, so cutting at quotes gives stretches outside and
     inside of them in turn; outside, commas become blanks and row ends become line breaks."""
+    return let(F.split(text, '"', -1), lambda p: F.when(~_irregular(p), _join_stretches(p)))
 
-    def outside(piece: Column) -> Column:
+
+def _join_stretches(p: Column) -> Column:
+    last = F.size(p) - 1
+
+    def outside(piece: Column, i: Column) -> Column:
         # the reader ends a row at any of the three line ends and knows no row after the last
-        return F.translate(F.regexp_replace(piece, r"\r\n|\r", "\n"), ",", " ")
-
-    def join(p: Column) -> Column:
-        last = F.size(p) - 1
-        # an empty stretch between two quotes, not at the text's ends, is a doubled quote
-        doubled = lambda i: (i > 0) & (i < last)
-        made = F.transform(
-            p,
-            lambda x, i: F.when(i % 2 == 1, x).when(doubled(i) & (x == ""), F.lit('"')).otherwise(outside(x)),
-        )
-        whole = F.array_join(made, "")
+        rows = F.translate(F.regexp_replace(piece, r"\r\n|\r", "\n"), ",", " ")
         # blank rows give blank lines; the end of the last row starts no row
-        ended = (last % 2 == 0) & F.element_at(p, -1).rlike(r"[\r\n]$")
-        return F.when(ended, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+        return F.when((i == last) & piece.rlike(r"[\r\n]$"), F.substring(rows, F.lit(1), F.length(rows) - 1)).otherwise(rows)
 
-    def odd(p: Column) -> Column:
-        last = F.size(p) - 1
-        broken = F.transform(
-            p,
-            lambda x, i: (i % 2 == 0)
-            & (
-                ((i < last) & ~((x == "") | x.rlike(r"[,\r\n]$")))  # before an opening quote
-                | ((i > 0) & ~((x == "") | x.rlike(r"^[,\r\n]")))  # after a closing one
-            ),
-        )
-        # the library's reader also stops inside an open quote, and drops what is unquoted and NUL
-        return F.exists(broken, lambda b: b) | (last % 2 == 1)
-
-    return let(F.split(text, '"', -1), lambda p: F.when(~odd(p), join(p)))
+    # an empty stretch between two quotes, not at the text's ends, is a doubled quote
+    doubled = lambda i: (i > 0) & (i < last)
+    made = F.transform(
+        p,
+        lambda x, i: F.when(i % 2 == 1, x).when(doubled(i) & (x == ""), F.lit('"')).otherwise(outside(x, i)),
+    )
+    # of a known length, where array_join doubles what it has
+    return F.concat_ws("", made)
+
+
+def _irregular(p: Column) -> Column:
+    last = F.size(p) - 1
+    broken = F.transform(
+        p,
+        lambda x, i: (i % 2 == 0)
+        & (
+            ((i < last) & ~((x == "") | x.rlike(r"[,\r\n]$")))  # before an opening quote
+            | ((i > 0) & ~((x == "") | x.rlike(r"^[,\r\n]")))  # after a closing one
+        ),
+    )
+    # the library's reader also stops inside an open quote, and drops what is unquoted and NUL
+    return F.exists(broken, lambda b: b) | (last % 2 == 1)
 
 
 def csv_rows_as_text(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -95,13 +97,38 @@ def _csv_reader():
     return flatten
 
 
+#: Names of files that are unpacked while they are read, so that their size is not the text's.
+_PACKED = r"(?i)\.(?:gz|gzip|bz2|deflate|lz4|snappy|zst|zstd)$"
+_BOM_BYTES = 3
+
+
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, filename, text`` of CSV files, byte-order mark removed (SRC2)."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    named = files.select(
-        F.sha2(F.col("_metadata.file_path"), 256).alias("doc_id"), F.col("_metadata.file_name").alias("filename"), "value"
+    """``doc_id, filename, text`` of CSV files, byte-order mark removed (SRC2).
+
+    Files are read by blocks, in the stretches between their quotes; the stretches of a file
+    meet in order and are joined as they are. Only irregular files are made whole for the
+    library's reader, and only packed or tiny ones are read whole."""
+    size = F.col("_metadata.file_size")
+    names = [F.sha2(F.col("_metadata.file_path"), 256).alias("doc_id"), F.col("_metadata.file_name").alias("filename")]
+    unsplit = (size <= _BOM_BYTES) | F.col("_metadata.file_name").rlike(_PACKED)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).filter(unsplit).select(*names, "value")
+    at = [F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")]
+    stretches = spark.read.text(path, lineSep='"', recursiveFileLookup=True).filter(~unsplit).select(
+        *names, size.alias("size"), F.octet_length("value").alias("bytes"), F.struct(*at, F.make_valid_utf8("value").alias("text")).alias("piece")
     )
-    return csv_rows_as_text(named, "value", "text").select("doc_id", "filename", "text")
+    found = F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["text"])
+    # the reader takes off the mark, and a quote after each stretch; after a text's last quote it knows none
+    left = F.first("size") - F.sum("bytes") - F.count("*")
+    pieces = F.when(left.isin(0, _BOM_BYTES), F.concat(found, F.array(F.lit("")))).otherwise(found)
+
+    files = stretches.groupBy("doc_id", "filename").agg(pieces.alias("p"))
+    # told apart by their stretches: a condition on the text would need it as a column of a row
+    odd = _irregular(F.col("p"))
+    regular = files.filter(~odd).select("doc_id", "filename", _join_stretches(F.col("p")).alias("text"))
+    irregular = files.filter(odd).select("doc_id", "filename", F.concat_ws('"', "p").alias("value"))
+    read = irregular.select("doc_id", "filename", F.pandas_udf(_csv_reader(), StringType())("value").alias("text"))
+    rest = csv_rows_as_text(whole, "value", "text").select("doc_id", "filename", "text")
+    return regular.unionByName(read).unionByName(rest)
 
 
 def _joined(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers against the standard library's, on awkward and random texts."""
 
 import csv
+import gzip
 import html
 import io
 import random
@@ -37,6 +38,30 @@ def test_csv_file_is_one_text(spark, tmp_path):
     assert [(r.filename, r.text) for r in rows] == [("a.csv", "x two\nlines\ny z")]
 
 
+def test_csv_files_are_read_by_blocks(spark, tmp_path):
+    """Files of any quoting, cut into blocks anywhere, read as the library reads them whole."""
+    r = random.Random(3)
+    parts = ["a", "é", " ", ",", '"', "\n", "\r\n", "\r", '"a"', ',"x"', ',"y""z"\n', '"p,\nq"', "\ufeff"]
+    texts = ["\ufeff", "\ufeff\ufeff", "a", '""', '""""', '"a","b"', '\ufeff"a,b","c"\r\n', '\ufeffx,"', 'a,"b\n', "a\n", '\ufeffa"b', "a\r\n", '"a"\n\n', "\ufeffé"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(120)]
+    texts += ["".join(r.choice(['"a, ""b""\n",', "c,d\n", '"e",', "é\r\n"]) for _ in range(3000))]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i:04d}.csv").write_bytes(text.encode())
+    (tmp_path / "9999.csv.gz").write_bytes(gzip.compress(b'"g,h"\ni\n'))
+    csv.field_size_limit(10**9)
+    want = {f"{i:04d}.csv": "\n".join(" ".join(row) for row in csv.reader(io.StringIO(t.removeprefix("\ufeff"), newline=""))) for i, t in enumerate(texts)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        read = read_csv_text(spark, str(tmp_path))
+        rows = read.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {x.filename: x.text for x in rows} == {**want, "9999.csv.gz": "g,h\ni"} and len(rows) == len(want) + 1
+    # only packed and tiny files are read whole
+    assert "collect_list" in read._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_character_references_read_as_the_library_does(spark):
     r, names = random.Random(2), list(html5)
     texts = [
