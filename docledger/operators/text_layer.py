@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dewrap, let, literal_occurrences
+from ..functions.text import bisect, dewrap, let, literal_occurrences
 from ..session import cut
 from .geometry import PAGE, page_offsets, pair_occurrences
 
@@ -20,25 +20,6 @@ RUN = "struct<start:int,end:int,left:double,bottom:double,right:double,top:doubl
 _SPAN = "array<struct<start:int,end:int>>"
 
 
-def bisect(items: Column, before) -> Column:
-    """How many elements at the front of an array satisfy ``before``; it must hold for none behind the
-    first that fails it. Halves the array, so long arrays cost few steps."""
-
-    def halve(bounds: Column, _: Column) -> Column:
-        middle = F.floor((bounds["lo"] + bounds["hi"]) / 2).cast("int")
-        inside = before(F.get(items, middle))
-        return F.when(
-            bounds["lo"] < bounds["hi"],
-            F.struct(
-                F.when(inside, middle + 1).otherwise(bounds["lo"]).alias("lo"), F.when(inside, bounds["hi"]).otherwise(middle).alias("hi")
-            ),
-        ).otherwise(bounds)
-
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + 1)).cast("int"))
-    whole = F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi"))
-    return F.aggregate(rounds, whole, halve, lambda b: b["lo"])
-
-
 def layer_of(runs: DataFrame) -> DataFrame:
     """``doc_id, page, runs``: the pieces of each page, given as rows (doc_id, page, start, end, left, bottom,
     right, top), as one sorted array. A page is one value, as its text is."""

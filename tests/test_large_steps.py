@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from docledger.functions import text as T
@@ -138,3 +141,51 @@ def test_boxes_share_matches_and_words(spark):
     boxed = G.union_box(again, words)
     assert "regexp_replace" not in plan(boxed) and "s_start" not in plan(boxed)
     assert boxed.count() == len(want)
+
+
+def _box_around(rows, spans):
+    """Box of each item, as ``union_box`` finds it: word by word."""
+    out = {}
+    for page, item, *_ in spans:
+        ranges = [(s, e) for p, i, s, e in spans if (p, i) == (page, item)]
+        words = [w for w in rows if w[0] == page]
+        hit = [w[3:] for w in words if any(w[1] < e and w[2] > s for s, e in ranges)]
+        if hit:
+            x1, y1, x2, y2 = (pick(w[k] for w in hit) for k, pick in enumerate((min, min, max, max)))
+            below = [w[4] for w in words if w[4] > y2 or (w[4] == y2 and w[6] > w[4])]
+            h = y2 - y1
+            bottom = float(round(h * 0.35))
+            if below:
+                bottom = min(bottom, float((min(below) - y2) // 2))
+            out[page, item] = (x1 - round(h * 0.35), y1, x2 + round(h * 0.15), y2 + bottom)
+    return out
+
+
+@pytest.mark.parametrize("scanned", [64, 0])
+def test_words_of_a_page_meet_its_spans_in_a_row(spark, monkeypatch, scanned):
+    monkeypatch.setattr(G, "SCANNED", scanned)
+    r = random.Random(2)
+    rows, spans = [], []
+    for page in range(30):
+        at = 0
+        for _ in range(r.randint(1, 40)):
+            # words that lie apart; on every third page some within others, and some without height
+            at, n = at + r.randint(0, 4), r.randint(1, 9)
+            x, y = float(10 * at), float(20 * r.randint(0, 5))
+            rows.append((page, at, at + n, x, y, x + 10 * n, y + (r.choice([0.0, 20.0]) if page % 3 == 0 else 17.0)))
+            at += 0 if page % 3 == 0 else n
+        spans += [(page, r.randint(0, 9) if page % 4 == 0 else i, s, s + r.randint(0, 30)) for i, s in enumerate(r.choices(range(at + 9), k=9))]
+    word_table = spark.createDataFrame([("d", *w) for w in rows], "doc_id string, page int, start int, end int, x1 double, y1 double, x2 double, y2 double")
+    span_table = spark.createDataFrame([("d", *s) for s in spans], "doc_id string, page int, item_idx int, start int, end int")
+    pages = spark.createDataFrame([("d", 0, "BSB: 062-000\nBSB: 062-000 $5\nNet Pay: $5")], "doc_id string, page int, text string")
+    written = []
+    monkeypatch.setattr(G, "cut", lambda df: written.append(df) or df)
+    sensitive = G.sensitive_boxes(with_text_fields(with_hits(pages), hits=hit_columns()), word_table, pages.selectExpr("doc_id", "page", "100.0D AS width", "100.0D AS height"), hits=hit_columns())
+    # nothing is written, no word is joined by itself, and no range is searched for words twice
+    assert not written
+    assert "Window" not in plan(sensitive) and plan(sensitive).count("collect_list") == 2
+    assert not [x for x in plan(sensitive).splitlines() if "Filter" in x and "transform(" in x]
+    boxed = G.union_box(span_table, word_table)
+    found = {(x.page, x.item_idx): (x.x1, x.y1, x.x2, x.y2) for x in boxed.collect()}
+    want = _box_around(rows, spans)
+    assert len(want) > 150 and found == want and boxed.count() == len(want)
